@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from coppice.sources.tables import table
 
 
+def _entity_values(spark: SparkSession, folder: str) -> DataFrame:
+    from coppice.llm.splits import raw_values
+
+    repos = raw_values(table(spark, folder, "code_data", "repository"), "repository", "repository")
+    labels = raw_values(table(spark, folder, "train", "label"), "label", "label")
+    problems = raw_values(table(spark, folder, "cocos", "problem"), "problem", "problem")
+    return repos.union(labels).union(problems)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of raw values that must share a split."""
+    from coppice.llm.splits import related_pairs
+
+    return related_pairs(_entity_values(spark, folder), table(spark, folder, "repository_links"))
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of every record of code_data, train and cocos."""
+    from coppice.llm.splits import assign
+
+    code = table(spark, folder, "code_data", "file_id", "repository").select(F.lit("repository").alias("kind"), F.col("file_id").cast("string").alias("record"), F.col("repository").alias("raw"))
+    train = table(spark, folder, "train", "index", "label").select(F.lit("label").alias("kind"), F.col("index").alias("record"), F.col("label").alias("raw"))
+    cocos = table(spark, folder, "cocos", "query_id", "problem").select(F.lit("problem").alias("kind"), F.col("query_id").cast("string").alias("record"), F.col("problem").alias("raw"))
+    return assign(code.union(train).union(cocos), _entity_values(spark, folder), table(spark, folder, "repository_links"))
+
+
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the records of each kind that each split received."""
+    n = p2_splits(spark, folder).groupBy("kind", "split").agg(F.count("*").alias("records"), F.countDistinct("root").alias("components"))
+    return n.withColumn("share", F.round(F.col("records") / F.sum("records").over(Window.partitionBy("kind")), 6))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     from coppice.llm.bpe import encode
 
@@ -14,7 +47,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_ids": p8_ids}
+    names = [p2_found, p2_splits, p2_shares, p8_ids]
+    return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict:
