@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from coppice.sources.tables import table
 
 
+def _trees(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "code_trees", "file_id", "tokens", "parents", "descendants", "ingested_at")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of files that are small variations of one another."""
+    from coppice.llm.neardup import similar_pairs
+
+    return similar_pairs(_trees(spark, folder))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The class, the group and the number of links of every file."""
+    from coppice.llm.neardup import groups
+
+    return groups(_trees(spark, folder))
+
+
 def _entity_values(spark: SparkSession, folder: str) -> DataFrame:
     from coppice.llm.splits import raw_values
 
@@ -40,6 +58,24 @@ def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("records") / F.sum("records").over(Window.partitionBy("kind")), 6))
 
 
+def _programs(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, name, "index", "code", "repository", "collected_at") for name in ("train", "valid", "test")]
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Programs of valid and test that also stand in train."""
+    from coppice.llm.overlap import overlaps
+
+    return overlaps(*_programs(spark, folder))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping programs per split and repository."""
+    from coppice.llm.overlap import report
+
+    return report(*_programs(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     from coppice.llm.bpe import encode
 
@@ -47,7 +83,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p2_found, p2_splits, p2_shares, p8_ids]
+    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p7_found, p7_report, p8_ids]
     return {f.__name__: f for f in names}
 
 
