@@ -58,6 +58,19 @@ def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("records") / F.sum("records").over(Window.partitionBy("kind")), 6))
 
 
+def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The origin of every file of code_data with data."""
+    from coppice.llm.origin import origins
+
+    files = table(spark, folder, "code_data", "file_id", "data", "repository", "path", "ingested_at")
+    return origins(files, table(spark, folder, "vocabulary"), table(spark, folder, "known_libraries"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of code_data that nobody wrote by hand."""
+    return p4_labels(spark, folder).where("label <> 'handwritten'").select("file_id")
+
+
 def _programs(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [table(spark, folder, name, "index", "code", "repository", "collected_at") for name in ("train", "valid", "test")]
 
@@ -83,7 +96,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p7_found, p7_report, p8_ids]
+    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p4_found, p4_labels, p7_found, p7_report, p8_ids]
     return {f.__name__: f for f in names}
 
 
