@@ -1,6 +1,6 @@
 """Which files of a code collection were written by hand.
 
-Every file gets evidence for five labels: from its own words, its name, its form (line lengths, data
+Every file gets evidence for the five labels: from its own words, its name, its form (line lengths, data
 rows, repeated line shapes) and its likeness to known libraries. The directories of each repository
 form a tree; a directory has a label too, with evidence from its name. Exact belief propagation over
 the trees, messages up and then down, level by level, combines the evidence of a file with the
@@ -23,27 +23,44 @@ from coppice.llm.shingles import mixed
 from coppice.llm.splits import repository_key
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-HAND, GEN, MIN, VEND, BLOB = range(5)
-
-#: log P(label of child | label of parent): the rows are parents. A hand-written directory may hold
-#: anything; the other kinds of directory mostly hold their own kind. A parent's kind matters less
-#: than a file's clear evidence (fixed parameters).
-COMPATIBLE = np.log(np.array([
-    [0.960, 0.010, 0.010, 0.010, 0.010],
-    [0.040, 0.930, 0.010, 0.010, 0.010],
-    [0.150, 0.040, 0.760, 0.010, 0.040],
-    [0.004, 0.010, 0.010, 0.966, 0.010],
-    [0.150, 0.040, 0.010, 0.010, 0.790],
-]))
+#: The states of the model: a copy known by its content says nothing about its directory, unlike
+#: one known by its place, so "vendored" has two states.
+STATES = ("handwritten", "generated", "minified", "vendored", "copied", "blob")
+REPORTED = {"copied": "vendored"}
+N = len(STATES)
+HAND, GEN, MIN, VEND, COPY, BLOB = range(N)
+
+#: P(state of a child | state of its directory): the rows are directories. A hand-written directory
+#: may hold single files of any kind, but hardly a whole directory of another kind; the other kinds of
+#: directory mostly hold their own (fixed parameters). A file is a third-party copy by its place only
+#: where its directory is, so what files look like says nothing for or against that: the rows of
+#: hand-written and vendored directories mirror one another.
+_MINIFIED, _COPIED, _BLOB = [0.15, 0.04, 0.74, 0.01, 0.02, 0.04], [0.50, 0.10, 0.10, 0.10, 0.10, 0.10], [0.15, 0.04, 0.01, 0.01, 0.02, 0.77]
+OF_DIRECTORY = np.array([
+    [0.9880, 0.0020, 0.0040, 0.0010, 0.0010, 0.0040],
+    [0.0020, 0.9900, 0.0020, 0.0020, 0.0020, 0.0020],
+    _MINIFIED,
+    [0.0010, 0.0020, 0.0040, 0.9880, 0.0010, 0.0040],
+    _COPIED,
+    _BLOB,
+])
+OF_FILE = np.array([
+    [0.9380, 0.0200, 0.0100, 0.0020, 0.0200, 0.0100],
+    [0.0040, 0.9560, 0.0100, 0.0100, 0.0100, 0.0100],
+    _MINIFIED,
+    [0.0020, 0.0200, 0.0100, 0.9380, 0.0200, 0.0100],
+    _COPIED,
+    _BLOB,
+])
 #: Evidence weights (natural log odds) of the signals.
-STRONG, CLEAR, WEAK = 12.0, 8.0, 1.0
+STRONG, CLEAR, VARIED = 14.0, 10.0, 3.0
 
 # Directory names that say what lies below them.
 VENDOR_DIRS = "vendor third_party third-party thirdparty 3rdparty 3rd_party 3rd-party node_modules bower_components jspm_packages godeps external externals bundled deps site-packages dist-packages pods carthage"
 GENERATED_DIRS = "gen gen-src gen_src autogen auto-generated generated generated-src generated_src generated-sources generated_sources __generated__ src-gen"
 BUILT_DIRS = "dist"
 # File names of generated and of minified files.
-GENERATED_NAME = re.compile(r"(?:[._-]generated\.[^.]+|[._-]g\.[a-z]+|\.designer\.[a-z]+|\.gen\.[a-z]+|_pb2?(?:_grpc)?\.[a-z]+|\.pb\.[a-z.]+|\.pb-c\.[ch]|\.pb2\.[a-z]+)$", re.I)
+GENERATED_NAME = re.compile(r"(?:[._-]generated\.[^.]+|[._-]g\.[a-z]+|\.designer\.[a-z]+|\.gen\.[a-z]+|_pb2?(?:_grpc)?\.[a-z]+|\.pb\.[a-z.]+|\.pb-c\.[ch]|\.pb2\.[a-z]+|OuterClass\.java)$", re.I)
 MINIFIED_NAME = re.compile(r"(?:[.-]min\.(?:js|css|mjs)|\.bundle\.(?:js|css)|\.[0-9a-f]{5,}\.chunk\.(?:js|css)|\.chunk\.(?:js|css))$", re.I)
 # What generated files say of themselves in a comment.
 SAYS = re.compile(
@@ -59,7 +76,7 @@ STEMS = ("generat", "overwritten", "will be lost", "machine", "automatically", "
 DENIES = re.compile(r"\bnot (?:auto)?generated\b|\bby hand, not\b|\bedit it freely\b|\bgenerates\b", re.I)
 COMMENT = re.compile(r"^\s*(?://|#|/?\*|<!--|--|;|\"\"\"|'''|%)")
 
-EVIDENCE = T.StructType([T.StructField(f"e_{x}", T.DoubleType()) for x in LABELS])
+EVIDENCE = T.StructType([T.StructField(f"e_{x}", T.DoubleType()) for x in STATES])
 
 
 class TokenTable:
@@ -225,15 +242,17 @@ def evidence(files: DataFrame, vocabulary: dict[int, str], libraries: list[tuple
                 flat = np.asarray(data.flatten().fill_null(-1)).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(lens)])
                 m = measure(flat, offsets, table)
-                e = np.zeros((part.num_rows, 5))
-                e[:, HAND] = WEAK
+                e = np.zeros((part.num_rows, N))
+                e[:, COPY] = -VARIED  # a copy would show
                 big = m["visible"] >= 60
-                wide = big & (m["line"] - m["chars"] * 0 >= 120) & (m["longest"] >= 300) & (m["data"] < 0.5) & (m["quoted"] < 0.6)
+                wide = big & (m["line"] >= 120) & (m["longest"] >= 300) & (m["data"] < 0.5) & (m["quoted"] < 0.6)
                 e[wide, MIN] += CLEAR
                 e[big & (m["data"] >= 0.6), BLOB] += CLEAR
                 e[big & (m["quoted"] >= 0.7), BLOB] += CLEAR
-                formed = big & (m["shape"] >= 0.9) & (m["shaped"] >= 8)
+                formed = big & (m["shape"] >= 0.9) & (m["shaped"] >= 8) & (m["data"] < 0.6) & (m["quoted"] < 0.7)
                 e[formed, GEN] += CLEAR
+                varied = big & ~wide & (m["shape"] < 0.8) & (m["data"] < 0.4) & (m["quoted"] < 0.5)
+                e[np.ix_(varied, [HAND, VEND, COPY])] += VARIED  # copies of hand-written code look no different
                 ids = np.where((flat >= 0) & (flat < table.n - 1), flat, table.n - 1)
                 words = table.text
                 visible = table.item[ids]
@@ -253,14 +272,14 @@ def evidence(files: DataFrame, vocabulary: dict[int, str], libraries: list[tuple
                         like = known.likeness(runs[a:b])
                         own = np.array([r is not None and r == repos[i] for r in known.repos])
                         if (like[~own] >= 0.5).any() and not (like[own] >= 0.5).any():
-                            e[i, VEND] += STRONG
+                            e[i, COPY] += STRONG
                     name = (names[i] or "").rsplit("/", 1)[-1]
                     if GENERATED_NAME.search(name):
                         e[i, GEN] += CLEAR
                     if MINIFIED_NAME.search(name):
                         e[i, MIN] += CLEAR
                 cols = [part.column(k) for k in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(e[:, k]) for k in range(5))], names=["file_id", "repo", "path", "seen", *(f"e_{x}" for x in LABELS)])
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(e[:, k]) for k in range(N))], names=["file_id", "repo", "path", "seen", *(f"e_{x}" for x in STATES)])
 
     live = files.where("data is not null and file_id is not null")
     live = live.select("file_id", "data", repository_key(F.col("repository")).alias("repo"), F.col("path"), F.col("ingested_at").alias("seen"))
@@ -268,26 +287,19 @@ def evidence(files: DataFrame, vocabulary: dict[int, str], libraries: list[tuple
     return live.mapInArrow(run, T.StructType(fields + EVIDENCE.fields))
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    total = F.lit(0.0)
-    for x in terms:
-        total = total + F.exp(x - top)
-    return top + F.log(total)
+def _matrix(m: np.ndarray) -> Column:
+    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in m])
 
 
-def _up(e: list[Column]) -> list[Column]:
-    """The message of a child to its parent, by the parent's label."""
-    return [_log_sum([e[c] + float(COMPATIBLE[p, c]) for c in range(5)]) for p in range(5)]
+def _message(e: Column, weights: np.ndarray) -> Column:
+    """``log(weights @ exp(e))`` of an array column, without overflow."""
+    top = F.array_max(e)
+    add = lambda row: F.aggregate(F.zip_with(row, e, lambda w, x: w * F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
+    return F.transform(_matrix(weights), lambda row: top + F.log(add(row)))
 
 
-def _down(b: list[Column]) -> list[Column]:
-    """The message of a parent to a child, by the child's label."""
-    return [_log_sum([b[p] + float(COMPATIBLE[p, c]) for p in range(5)]) for c in range(5)]
-
-
-def _named(names: str) -> list[str]:
-    return sorted(names.split())
+def _plus(a: Column, b: Column, sign: float = 1.0) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y * F.lit(sign))
 
 
 def propagate(found: DataFrame) -> DataFrame:
@@ -297,59 +309,53 @@ def propagate(found: DataFrame) -> DataFrame:
     repository is a tree of its own; one without a path hangs on its repository's root. Directories
     are summed with partial aggregation, so one directory or repository may hold any share of rows.
     """
-    es = [f"e_{x}" for x in LABELS]
+    es = [f"e_{x}" for x in STATES]
     one = found.groupBy("file_id").agg(F.max_by(F.struct("repo", "path", *es), F.struct("seen", "path")).alias("v")).select("file_id", "v.*")
     parts = F.filter(F.split(F.coalesce(F.regexp_replace("path", r"\\", "/"), F.lit("")), "/"), lambda x: (x != "") & (x != "."))
     one = one.withColumn("tree", F.coalesce(F.concat(F.lit("="), "repo"), F.concat(F.lit("#"), F.col("file_id").cast("string"))))
     one = one.withColumn("dirs", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
     one = one.withColumn("depth", F.size("dirs")).withColumn("dir", F.array_join("dirs", "/"))
-    one = written(one.select("file_id", "tree", "dir", "depth", *es))
+    one = written(one.select("file_id", "tree", "dir", "depth", F.array(*es).alias("e")))
     deepest = one.agg(F.max("depth")).first()[0]
     if deepest is None:
         return one.select("file_id", F.lit(LABELS[0]).alias("label"), F.lit(0.0).alias("score"))
-    ups = [f"u{k}" for k in range(5)]
-
-    def to_parent(df: DataFrame, cols: list[str]) -> DataFrame:
-        return df.select("tree", "dir", "depth", *[m.alias(u) for m, u in zip(_up([F.col(c) for c in cols]), ups)])
-
-    def own(name: Column) -> list[Column]:
-        low = F.lower(name)
-        hand = F.lit(6.0)
-        is_vendor, is_gen, is_built = (low.isin(*_named(x)) for x in (VENDOR_DIRS, GENERATED_DIRS, BUILT_DIRS))
-        return [F.when(is_vendor | is_gen, 0.0).when(is_built, 3.0).otherwise(hand), F.when(is_gen, 14.0).otherwise(0.0), F.when(is_built, 2.0).otherwise(0.0), F.when(is_vendor, 14.0).otherwise(0.0), F.lit(0.0)]
-
-    heard = to_parent(one, es)
+    last_name = F.lower(F.element_at(F.split("dir", "/"), -1))
+    parent = F.regexp_replace("dir", r"/?[^/]*$", "")
+    one_of = lambda names: last_name.isin(*sorted(names.split()))
+    #: where its name decides, a directory says nothing of its parent, nor its parent of it
+    named = one_of(f"{VENDOR_DIRS} {GENERATED_DIRS}")
+
+    def own(root: bool) -> Column:
+        """What a directory's name says; a root is hand-written unless something speaks against it."""
+        if root:
+            return F.array(*[F.lit(6.0 if k == HAND else 0.0) for k in range(N)])
+        says = {GEN: F.when(one_of(GENERATED_DIRS), 14.0), VEND: F.when(one_of(VENDOR_DIRS), 14.0), MIN: F.when(one_of(BUILT_DIRS), 2.0)}
+        return F.array(*[says[k].otherwise(0.0) if k in says else F.lit(0.0) for k in range(N)])
+
+    zero = F.array(*[F.lit(0.0)] * N)
+    heard = one.select("tree", "dir", "depth", _message(F.col("e"), OF_FILE).alias("m"))
     levels: dict[int, DataFrame] = {}
     for d in range(deepest, -1, -1):
-        here = heard.where(F.col("depth") == d).groupBy("tree", "dir").agg(*[F.sum(u).alias(u) for u in ups])
-        name = F.element_at(F.split("dir", "/"), -1) if d else F.lit("")
-        here = here.select("tree", "dir", *[(F.col(u) + e).alias(u) for u, e in zip(ups, own(name))])
-        levels[d] = here = written(here)
+        here = heard.where(F.col("depth") == d).groupBy("tree", "dir").agg(F.array(*[F.sum(F.col("m")[k]) for k in range(N)]).alias("u"))
+        levels[d] = here = written(here.select("tree", "dir", _plus(F.col("u"), own(d == 0)).alias("u")))
         if d:
-            parent = F.regexp_replace("dir", r"/?[^/]*$", "")
-            below = here.select("tree", parent.alias("dir"), F.lit(d - 1).alias("depth"), *[m.alias(u) for m, u in zip(_up([F.col(u) for u in ups]), ups)])
-            heard = heard.where(F.col("depth") < d).union(below)
-    beliefs = levels[0].select("tree", "dir", *[F.col(u).alias(f"b{k}") for k, u in enumerate(ups)])
-    every = beliefs
-    above = beliefs
+            vote = F.when(named, zero).otherwise(_message(F.col("u"), OF_DIRECTORY))
+            heard = heard.where(F.col("depth") < d).union(here.select("tree", parent.alias("dir"), F.lit(d - 1).alias("depth"), vote.alias("m")))
+    above = every = levels[0].withColumnRenamed("u", "b")
     for d in range(1, deepest + 1):
-        kid = levels[d].withColumn("parent", F.regexp_replace("dir", r"/?[^/]*$", ""))
-        back = _up([F.col(u) for u in ups])
+        kid = levels[d].withColumn("parent", parent)
         met = kid.join(above.withColumnRenamed("dir", "parent"), ["tree", "parent"])
-        news = _down([F.col(f"b{k}") - back[k] for k in range(5)])
-        above = written(met.select("tree", "dir", *[(F.col(u) + n).alias(f"b{k}") for k, (u, n) in enumerate(zip(ups, news))]))
+        rest = _plus(F.col("b"), _message(F.col("u"), OF_DIRECTORY), -1.0)
+        above = written(met.select("tree", "dir", F.when(named, F.col("u")).otherwise(_plus(F.col("u"), _message(rest, OF_DIRECTORY.T))).alias("b")))
         every = every.union(above)
-    back = _up([F.col(c) for c in es])
     met = one.join(every, ["tree", "dir"])
-    news = _down([F.col(f"b{k}") - back[k] for k in range(5)])
-    final = met.select("file_id", *[(F.col(c) + n).alias(f"f{k}") for k, (c, n) in enumerate(zip(es, news))])
-    best = F.greatest(*[F.col(f"f{k}") for k in range(5)])
-    label = F.lit(LABELS[0])
-    for k in range(4, 0, -1):
-        label = F.when((F.col(f"f{k}") == best) & (F.col("f0") < best), LABELS[k]).otherwise(label)
-    other = _log_sum([F.col(f"f{k}") for k in range(1, 5)])
-    # the first label of the greatest belief; hand-written at a tie
-    return final.select("file_id", label.alias("label"), F.round(other - F.col("f0"), 6).alias("score"))
+    final = met.select("file_id", _plus(F.col("e"), _message(_plus(F.col("b"), _message(F.col("e"), OF_FILE), -1.0), OF_FILE.T)).alias("f"))
+    names = F.array(*[F.lit(REPORTED.get(x, x)) for x in STATES])
+    best = F.array_max("f")
+    others = F.slice("f", 2, N - 1)
+    score = _message(others, np.ones((1, N - 1)))[0] - F.col("f")[HAND]
+    # the first label of the greatest belief, so hand-written at a tie
+    return final.select("file_id", F.element_at(names, F.array_position("f", best).cast("int")).alias("label"), F.round(score, 6).alias("score"))
 
 
 def origins(files: DataFrame, vocabulary: DataFrame, libraries: DataFrame) -> DataFrame:
