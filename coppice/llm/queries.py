@@ -71,6 +71,55 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_labels(spark, folder).where("label <> 'handwritten'").select("file_id")
 
 
+def _sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """code_data with canonical languages; a null language is ``any``, as is one without limits."""
+    from coppice.functions.languages import language_identifier
+
+    known = [r[0] for r in table(spark, folder, "batch_limits", "language").where("language is not null").collect()]
+    lang = language_identifier(F.col("language"), spellings=True)
+    lang = F.when(lang.isin(*known), lang).otherwise("any")
+    return table(spark, folder, "code_data", "file_id", "data", "language").select("file_id", "data", lang.alias("language"))
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every oversized sequence of code_data."""
+    from coppice.llm.pieces import penalties, pieces
+
+    cost = penalties(table(spark, folder, "truncated_trees", "tokens", "parents", "cutout_indices"))
+    return pieces(_sequences(spark, folder), table(spark, folder, "batch_limits"), cost)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Oversized sequences and whether a cut had to fall within a line."""
+    return p5_pieces(spark, folder).where("piece = 0").select("file_id", "cut")
+
+
+def _packed_items(spark: SparkSession, folder: str) -> DataFrame:
+    from coppice.llm.packing import parts_of
+
+    files = _sequences(spark, folder).select("file_id", F.size("data").alias("n_tokens"), "language")
+    return parts_of(files, table(spark, folder, "batch_limits"))
+
+
+def p6_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch of every sequence of code_data, or of each part of one larger than a batch."""
+    from coppice.llm.packing import batches
+
+    return batches(_packed_items(spark, folder))
+
+
+def p6_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the batches are, per language."""
+    from coppice.llm.packing import usage
+
+    return usage(p6_batches(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences that had to be divided among batches."""
+    return p6_batches(spark, folder).where("n_parts > 1").select("file_id").distinct()
+
+
 def _programs(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [table(spark, folder, name, "index", "code", "repository", "collected_at") for name in ("train", "valid", "test")]
 
@@ -96,7 +145,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p4_found, p4_labels, p7_found, p7_report, p8_ids]
+    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids]
     return {f.__name__: f for f in names}
 
 
