@@ -58,6 +58,26 @@ def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("records") / F.sum("records").over(Window.partitionBy("kind")), 6))
 
 
+def p3_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every file of parsing_outputs, with place and cause of the failure."""
+    from coppice.llm.syntax import check
+
+    return check(table(spark, folder, "parsing_outputs", "file_id", "code", "language", "repository", "path", "parsed_at"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of parsing_outputs that are not valid in their language."""
+    return p3_files(spark, folder).where("not valid").select("file_id")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of invalid files per repository and language."""
+    from coppice.llm.splits import repository_key
+    from coppice.llm.syntax import rates
+
+    return rates(p3_files(spark, folder).withColumn("repository", repository_key(F.col("repository"))))
+
+
 def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The origin of every file of code_data with data."""
     from coppice.llm.origin import origins
@@ -145,7 +165,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids]
+    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p3_found, p3_files, p3_rates, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids]
     return {f.__name__: f for f in names}
 
 
