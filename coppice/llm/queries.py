@@ -164,8 +164,22 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal information replaced by typed placeholders."""
+    from coppice.llm.pii import redact
+
+    common = [r[0] for r in table(spark, folder, "vocabulary", "token").collect()]
+    return redact(table(spark, folder, "documents", "doc_id", "text"), common)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct personal texts of each type in each document."""
+    one = p10_redacted(spark, folder).select("doc_id", F.explode("found").alias("f"))
+    return one.select("doc_id", "f.pii_type", "f.pii_text").distinct()
+
+
 def queries() -> dict:
-    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p3_found, p3_files, p3_rates, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids]
+    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p3_found, p3_files, p3_rates, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids, p10_found, p10_redacted]
     return {f.__name__: f for f in names}
 
 
