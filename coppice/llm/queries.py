@@ -164,6 +164,20 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of the documents: every output slot with its block."""
+    from coppice.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source reaches in the mix."""
+    from coppice.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))[1]
+
+
 def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its personal information replaced by typed placeholders."""
     from coppice.llm.pii import redact
@@ -179,7 +193,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p3_found, p3_files, p3_rates, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids, p10_found, p10_redacted]
+    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p3_found, p3_files, p3_rates, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids, p9_mix, p9_shares, p10_found, p10_redacted]
     return {f.__name__: f for f in names}
 
 
