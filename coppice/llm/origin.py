@@ -287,15 +287,21 @@ def evidence(files: DataFrame, vocabulary: dict[int, str], libraries: list[tuple
     return live.mapInArrow(run, T.StructType(fields + EVIDENCE.fields))
 
 
-def _matrix(m: np.ndarray) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in m])
-
-
 def _message(e: Column, weights: np.ndarray) -> Column:
     """``log(weights @ exp(e))`` of an array column, without overflow."""
+    # the exponentials are made once, as the only element of an array that is then mapped
     top = F.array_max(e)
-    add = lambda row: F.aggregate(F.zip_with(row, e, lambda w, x: w * F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return F.transform(_matrix(weights), lambda row: top + F.log(add(row)))
+    powers = F.array(F.transform(e, lambda x: F.exp(x - top)))
+    rows = [[F.lit(float(w)) for w in row] for row in weights]
+
+    def total(p: Column, row: list[Column]) -> Column:
+        out = row[0] * p[0]
+        for k in range(1, len(row)):
+            out = out + row[k] * p[k]
+        return F.log(out)
+
+    logs = F.transform(powers, lambda p: F.array(*[total(p, row) for row in rows]))[0]
+    return F.transform(logs, lambda x: x + top)
 
 
 def _plus(a: Column, b: Column, sign: float = 1.0) -> Column:
@@ -315,7 +321,8 @@ def propagate(found: DataFrame) -> DataFrame:
     one = one.withColumn("tree", F.coalesce(F.concat(F.lit("="), "repo"), F.concat(F.lit("#"), F.col("file_id").cast("string"))))
     one = one.withColumn("dirs", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
     one = one.withColumn("depth", F.size("dirs")).withColumn("dir", F.array_join("dirs", "/"))
-    one = written(one.select("file_id", "tree", "dir", "depth", F.array(*es).alias("e")))
+    one = one.select("file_id", "tree", "dir", "depth", F.array(*es).alias("e"))
+    one = written(one.select("*", _message(F.col("e"), OF_FILE).alias("m")))
     deepest = one.agg(F.max("depth")).first()[0]
     if deepest is None:
         return one.select("file_id", F.lit(LABELS[0]).alias("label"), F.lit(0.0).alias("score"))
@@ -333,23 +340,27 @@ def propagate(found: DataFrame) -> DataFrame:
         return F.array(*[says[k].otherwise(0.0) if k in says else F.lit(0.0) for k in range(N)])
 
     zero = F.array(*[F.lit(0.0)] * N)
-    heard = one.select("tree", "dir", "depth", _message(F.col("e"), OF_FILE).alias("m"))
+    heard = one.select("tree", "dir", "depth", "m")
     levels: dict[int, DataFrame] = {}
     for d in range(deepest, -1, -1):
         here = heard.where(F.col("depth") == d).groupBy("tree", "dir").agg(F.array(*[F.sum(F.col("m")[k]) for k in range(N)]).alias("u"))
-        levels[d] = here = written(here.select("tree", "dir", _plus(F.col("u"), own(d == 0)).alias("u")))
+        here = here.select("tree", "dir", _plus(F.col("u"), own(d == 0)).alias("u"))
+        levels[d] = here = written(here.select("*", _message(F.col("u"), OF_DIRECTORY).alias("m")) if d else here)
         if d:
-            vote = F.when(named, zero).otherwise(_message(F.col("u"), OF_DIRECTORY))
+            vote = F.when(named, zero).otherwise(F.col("m"))
             heard = heard.where(F.col("depth") < d).union(here.select("tree", parent.alias("dir"), F.lit(d - 1).alias("depth"), vote.alias("m")))
     above = every = levels[0].withColumnRenamed("u", "b")
     for d in range(1, deepest + 1):
         kid = levels[d].withColumn("parent", parent)
         met = kid.join(above.withColumnRenamed("dir", "parent"), ["tree", "parent"])
-        rest = _plus(F.col("b"), _message(F.col("u"), OF_DIRECTORY), -1.0)
-        above = written(met.select("tree", "dir", F.when(named, F.col("u")).otherwise(_plus(F.col("u"), _message(rest, OF_DIRECTORY.T))).alias("b")))
+        met = met.select("tree", "dir", "u", _plus(F.col("b"), F.col("m"), -1.0).alias("rest"))
+        met = met.select("tree", "dir", "u", _message(F.col("rest"), OF_DIRECTORY.T).alias("news"))
+        above = written(met.select("tree", "dir", F.when(named, F.col("u")).otherwise(_plus(F.col("u"), F.col("news"))).alias("b")))
         every = every.union(above)
     met = one.join(every, ["tree", "dir"])
-    final = met.select("file_id", _plus(F.col("e"), _message(_plus(F.col("b"), _message(F.col("e"), OF_FILE), -1.0), OF_FILE.T)).alias("f"))
+    final = met.select("file_id", "e", _plus(F.col("b"), F.col("m"), -1.0).alias("rest"))
+    final = final.select("file_id", "e", _message(F.col("rest"), OF_FILE.T).alias("news"))
+    final = final.select("file_id", _plus(F.col("e"), F.col("news")).alias("f"))
     names = F.array(*[F.lit(REPORTED.get(x, x)) for x in STATES])
     best = F.array_max("f")
     others = F.slice("f", 2, N - 1)
