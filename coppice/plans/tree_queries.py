@@ -175,10 +175,10 @@ def subtree_hash(spark, folder):
     return N.tree_map(_trees(spark, folder), ["file_id"], ["parents", "tokens"], lambda p, t: list(enumerate(hash_subtrees(p, t))), "idx int, hash long")
 
 
-_T = "t AS (SELECT * FROM code_trees WHERE file_id IS NOT NULL AND tokens IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1)"
-_P = _T + ", p AS (SELECT file_id, generate_subscripts(tokens, 1)::INT - 1 AS idx, unnest(parents) AS parent, unnest(tokens) AS token FROM t)"
+_T = "t AS MATERIALIZED (SELECT * FROM code_trees WHERE file_id IS NOT NULL AND tokens IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1)"
+_P = _T + ", p AS MATERIALIZED (SELECT file_id, generate_subscripts(tokens, 1)::INT - 1 AS idx, unnest(parents) AS parent, unnest(tokens) AS token FROM t)"
 _A = _P + ", a AS (SELECT file_id, idx, idx AS anc, parent AS up FROM p UNION ALL SELECT a.file_id, a.idx, p.idx, p.parent FROM a JOIN p ON p.file_id = a.file_id AND p.idx = a.up)"
-_N = _A + ", lv AS (SELECT file_id, idx, count(*)::INT - 1 AS level FROM a GROUP BY 1, 2), de AS (SELECT file_id, anc AS idx, count(*)::INT - 1 AS descendants FROM a GROUP BY 1, 2), n AS (SELECT p.*, level, descendants FROM p JOIN lv USING (file_id, idx) JOIN de USING (file_id, idx))"
+_N = _A + ", am AS MATERIALIZED (SELECT file_id, idx, anc FROM a), lv AS MATERIALIZED (SELECT file_id, idx, count(*)::INT - 1 AS level FROM am GROUP BY 1, 2), de AS MATERIALIZED (SELECT file_id, anc AS idx, count(*)::INT - 1 AS descendants FROM am GROUP BY 1, 2), n AS MATERIALIZED (SELECT p.*, level, descendants FROM p JOIN lv USING (file_id, idx) JOIN de USING (file_id, idx))"
 _R = "WITH RECURSIVE "
 
 QUERIES = [
@@ -189,14 +189,15 @@ SQL = {
     "tree_levels": _R + _N + " SELECT file_id, idx, level FROM n",
     "tree_descendants": _R + _N + " SELECT file_id, idx, descendants FROM n",
     "tree_parents": "WITH " + _P + " SELECT p.file_id, idx, parent FROM p JOIN t USING (file_id) WHERE t.descendants IS NOT NULL",
-    "tree_heights": _R + _N + " SELECT a.file_id, a.anc AS idx, (max(n.level) - min(m.level))::INT AS height FROM a JOIN n ON n.file_id = a.file_id AND n.idx = a.idx JOIN n m ON m.file_id = a.file_id AND m.idx = a.anc GROUP BY 1, 2",
+    "tree_heights": _R + _N + " SELECT a.file_id, a.anc AS idx, (max(n.level) - min(m.level))::INT AS height FROM am a JOIN n ON n.file_id = a.file_id AND n.idx = a.idx JOIN n m ON m.file_id = a.file_id AND m.idx = a.anc GROUP BY 1, 2",
     "tree_ancestors": _R + _N + " SELECT file_id, idx, (level + 1)::BIGINT AS path_nodes, descendants::BIGINT AS below FROM n",
     "tree_adjacency": "WITH " + _P + " SELECT file_id, parent AS source, idx AS target FROM p WHERE parent >= 0 UNION ALL SELECT file_id, idx, parent FROM p WHERE parent >= 0",
     "tree_siblings": "WITH " + _P + " SELECT file_id, idx, (row_number() OVER w)::INT - 1 AS ordinal, lag(idx) OVER w AS left_sibling, lead(idx) OVER w AS right_sibling, count(*) OVER (PARTITION BY file_id, parent) - 1 AS n_siblings FROM p WHERE parent >= 0 WINDOW w AS (PARTITION BY file_id, parent ORDER BY idx)",
     "tree_leaf_distances": _R + _N + """, l AS (SELECT file_id, idx AS left_leaf, lead(idx) OVER (PARTITION BY file_id ORDER BY idx) AS right_leaf FROM n WHERE descendants = 0),
-        c AS (SELECT l.file_id, left_leaf, right_leaf, max(x.anc) AS lca FROM l JOIN a x ON x.file_id = l.file_id AND x.idx = left_leaf JOIN a y ON y.file_id = l.file_id AND y.idx = right_leaf AND y.anc = x.anc GROUP BY 1, 2, 3)
-        SELECT c.file_id, left_leaf, right_leaf, lca, (i.level - k.level)::INT AS up, (j.level - k.level)::INT AS down, (i.level + j.level - 2 * k.level)::INT AS distance
-        FROM c JOIN n i ON i.file_id = c.file_id AND i.idx = left_leaf JOIN n j ON j.file_id = c.file_id AND j.idx = right_leaf JOIN n k ON k.file_id = c.file_id AND k.idx = lca""",
+        al AS MATERIALIZED (SELECT am.file_id, am.idx, any_value(n.level) AS level, list(anc) AS up FROM am JOIN n ON n.file_id = am.file_id AND n.idx = am.idx GROUP BY 1, 2),
+        c1 AS MATERIALIZED (SELECT l.*, x.level AS li, x.up AS ux FROM l JOIN al x ON x.file_id = l.file_id AND x.idx = l.left_leaf),
+        c2 AS MATERIALIZED (SELECT c1.*, y.level AS lj, list_max(list_intersect(ux, y.up)) AS lca, len(list_intersect(ux, y.up)) - 1 AS lk FROM c1 JOIN al y ON y.file_id = c1.file_id AND y.idx = c1.right_leaf)
+        SELECT file_id, left_leaf, right_leaf, lca, (li - lk)::INT AS up, (lj - lk)::INT AS down, (li + lj - 2 * lk)::INT AS distance FROM c2""",
     "tree_next_stepout": _R + _N + """, h AS (SELECT *, CASE WHEN idx + descendants + 1 < count(*) OVER (PARTITION BY file_id) THEN idx + descendants + 1 END AS nb FROM n)
         SELECT h.file_id, h.idx, h.nb AS next_branch, u.nb AS step_out FROM h LEFT JOIN h u ON u.file_id = h.file_id AND u.idx = h.parent""",
     "tree_leaves": "WITH " + _P + " SELECT file_id, idx, token FROM p WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.file_id = p.file_id AND c.parent = p.idx)",
@@ -212,8 +213,6 @@ SQL = {
         k AS (SELECT n.file_id, n.idx, n.descendants FROM n, v WHERE n.token = v.d AND n.descendants > 0),
         o AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k u WHERE u.file_id = k.file_id AND u.idx < k.idx AND k.idx <= u.idx + u.descendants)),
         x AS (SELECT n.file_id, n.idx, n.token, o.idx AS lo FROM n LEFT JOIN o ON o.file_id = n.file_id AND n.idx BETWEEN o.idx AND o.idx + o.descendants WHERE n.descendants = 0),
-        y AS (SELECT file_id, coalesce(lo, idx) AS at, max(lo) AS lo, min(token) AS own, count(*) AS c FROM x GROUP BY 1, 2)
-        SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY at))::INT - 1 AS position, CASE WHEN lo IS NULL THEN own ELSE (SELECT f FROM v) END AS token, (CASE WHEN lo IS NULL THEN 0 ELSE c END)::INT AS removed FROM y""",
-    "tree_insert_eos": "WITH t AS (SELECT * FROM code_trees WHERE file_id IS NOT NULL AND tokens IS NOT NULL AND len(tokens) > 0 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1) SELECT 1 WHERE false",
+        y AS (SELECT file_id, coalesce(lo, idx) AS pos, max(lo) AS lo, min(token) AS own, count(*) AS c FROM x GROUP BY 1, 2)
+        SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY pos))::INT - 1 AS position, CASE WHEN lo IS NULL THEN own ELSE (SELECT f FROM v) END AS token, (CASE WHEN lo IS NULL THEN 0 ELSE c END)::INT AS removed FROM y""",
 }
-del SQL["tree_insert_eos"]
