@@ -1,2 +1,200 @@
-QUERIES = []
-SQL = {}
+"""Queries over token sequences: code_data and its vocabulary."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coppice.functions.languages import language_identifier
+from coppice.functions.uniform import uniform, uniform_sql
+from coppice.operators import batching as B
+from coppice.operators import tokens as X
+from coppice.operators.trees import newest
+from coppice.sources.tables import table
+
+SEED = 42
+#: Mask tokens of these queries: ids beyond the vocabulary.
+MASKS = list(range(2000, 4000))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return newest(table(spark, folder, "code_data"), "file_id", "ingested_at")
+
+
+def _data(spark, folder):
+    return _files(spark, folder).where("data is not null").select("file_id", "data", "language")
+
+
+def _joined(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+def line_count_filter(spark, folder):
+    kept = X.lines_between(_data(spark, folder), least=10, most=200)
+    return kept.select("file_id", X.newline_count(F.col("data")).alias("lines"))
+
+
+def language_filter(spark, folder):
+    """Files of three languages, whatever the spelling of the language."""
+    kept = _files(spark, folder).where(language_identifier(F.col("language")).isin("python", "go", "cpp"))
+    return kept.select("file_id", language_identifier(F.col("language")).alias("language"))
+
+
+def whitespace_files(spark, folder):
+    return _data(spark, folder).where(X.is_whitespace(F.col("data"))).select("file_id", F.size("data").alias("size"))
+
+
+def token_text(spark, folder):
+    """Length and checksum of every file's text, by looking up its tokens."""
+    long = X.exploded(_data(spark, folder), "file_id").withColumnRenamed("token", "token_id")
+    words = long.join(F.broadcast(table(spark, folder, "vocabulary")), "token_id")
+    packed = words.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
+    text = F.array_join(F.col("w.token"), "")
+    return packed.select("file_id", F.length(text).alias("chars"), F.md5(text).alias("checksum"))
+
+
+def truncate_tokens(spark, folder):
+    return _data(spark, folder).select("file_id", F.size("data").alias("original_length"), _joined(X.truncated(F.col("data"), 64, 2)).alias("tokens"))
+
+
+def add_eos_cls(spark, folder):
+    both = X.with_token(X.with_token(F.col("data"), F.lit(X.EOS), front=False), F.lit(X.CLS))
+    return _data(spark, folder).select("file_id", both.alias("t")).where("t is not null").select("file_id", F.size("t").alias("n"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+
+
+LANGUAGE_IDS = {lang: 4000 + k for k, lang in enumerate(("c", "cpp", "go", "java", "javascript", "python"))}
+
+
+def add_language_token(spark, folder):
+    ids = F.create_map(*[F.lit(x) for kv in LANGUAGE_IDS.items() for x in kv])
+    lang = language_identifier(F.col("language"))
+    t = X.with_token(F.col("data"), F.element_at(ids, lang))
+    return _data(spark, folder).select("file_id", t.alias("t")).where("t is not null").select("file_id", F.element_at("t", 1).alias("first"), F.size("t").alias("n"))
+
+
+def shifted_targets(spark, folder):
+    return _data(spark, folder).select("file_id", _joined(X.shifted(X.truncated(F.col("data"), 32))).alias("tokens"))
+
+
+def pad_tokens(spark, folder):
+    """The first 40 tokens, padded to 40, and which places hold one."""
+    cut = X.truncated(F.col("data"), 40)
+    return _data(spark, folder).select("file_id", _joined(X.padded(cut, F.lit(40))).alias("tokens"), F.size(F.filter(X.attention(cut, F.lit(40)), lambda x: x)).alias("length"))
+
+
+def token_runs(spark, folder):
+    """Runs of equal tokens of length 2 or more."""
+    return X.runs(X.exploded(_data(spark, folder), "file_id"), "file_id").where("length > 1")
+
+
+def mask_bernoulli(spark, folder):
+    """Tokens masked at random, one in eight; fold tokens never."""
+    long = X.exploded(_data(spark, folder), "file_id")
+    masked = X.random_mask(long, "file_id", 0.125, SEED, protected=F.col("token") == 1177)
+    out = X.source_and_target(masked, "file_id", MASKS)
+    return out.select("file_id", F.md5(_joined(F.col("source"))).alias("source"), F.md5(_joined(F.col("target"))).alias("target"), F.size("source").alias("n_source"), F.size("target").alias("n_target"))
+
+
+def mask_token_span(spark, folder):
+    u = uniform(SEED, "mask_span", F.col("file_id"))
+    pair = X.span_masked(F.col("data"), 0.25, u, MASKS[0])
+    out = _data(spark, folder).select("file_id", pair.alias("p")).where("p is not null")
+    return out.select("file_id", F.md5(_joined(F.col("p.source"))).alias("source"), F.md5(_joined(F.col("p.target"))).alias("target"))
+
+
+def pair_truncate(spark, folder):
+    """Masked pairs cut to 300 source tokens."""
+    masked = X.random_mask(X.exploded(_data(spark, folder), "file_id"), "file_id", 0.01, SEED, "pair_truncate")
+    pairs = X.source_and_target(masked, "file_id", MASKS)
+    masks = F.filter("source", lambda t: t >= MASKS[0])
+    cut = pairs.withColumn("masks", masks).withColumn("c", X.truncated_pair(F.col("source"), F.col("target"), 300, F.col("masks"))).where("c is not null")
+    return cut.select("file_id", F.size("c.source").alias("n_source"), F.md5(_joined(F.col("c.target"))).alias("target"))
+
+
+def dispatch(spark, folder):
+    """Each file goes to one of three transforms at random; what a transform cannot do, the next does."""
+    d = F.col("data")
+    whole = F.when(F.size(d) <= 400, F.struct(F.lit("whole").alias("how"), F.size(d).alias("n")))
+    cut = F.struct(F.lit("cut").alias("how"), F.size(X.truncated(d, 100)).alias("n"))
+    eos = F.struct(F.lit("eos").alias("how"), F.size(X.with_token(d, F.lit(X.EOS), front=False)).alias("n"))
+    r = X.dispatched(uniform(SEED, "dispatch", F.col("file_id")), [0.5, 0.3, 0.2], [whole, cut, eos])
+    return _data(spark, folder).select("file_id", r.alias("r")).select("file_id", "r.how", "r.n")
+
+
+def first_n_per_language(spark, folder):
+    known = _files(spark, folder).withColumn("lang", language_identifier(F.col("language"))).where("lang is not null")
+    return B.first_per_group(known, "lang", "file_id", 5).select("lang", "file_id")
+
+
+def shard_scan(spark, folder):
+    return B.sharded(_files(spark, folder), "file_id", 1, 4).select("file_id", F.size("data").alias("size"))
+
+
+def _sized(spark, folder):
+    lang = F.coalesce(language_identifier(F.col("language")), F.lit("unknown"))
+    return _data(spark, folder).select("file_id", lang.alias("lang"), F.size("data").alias("size"))
+
+
+def bucket_batches(spark, folder):
+    """Batches of all files of up to 4000 tokens, budget 32000, ten buckets, four shards."""
+    return B.batched(_sized(spark, folder), [], "size", ["file_id"], budget=32_000, longest=4_000, buckets=10, shards=4)
+
+
+def language_batches(spark, folder):
+    b = B.batched(_sized(spark, folder), ["lang"], "size", ["file_id"], budget=32_000, longest=4_000, buckets=10)
+    return B.batch_report(b, ["lang", "bucket0", "shard", "batch"], "size")
+
+
+def collated_batches(spark, folder):
+    """Batches of the files of up to 300 tokens, padded."""
+    d = _data(spark, folder).select("file_id", "data", F.size("data").alias("size"))
+    b = B.batched(d, [], "size", ["file_id"], budget=6_000, longest=300, buckets=3)
+    c = X.collated(b, ["bucket0", "batch"], "data", "file_id")
+    return c.select("bucket0", "batch", "nsamples", "ntokens", F.size(F.col("tokens")[0]).alias("width"), F.md5(_joined(F.flatten("tokens"))).alias("tokens"), _joined(F.col("ids")).alias("ids"))
+
+
+_F = "f AS (SELECT * FROM code_data WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1), d AS (SELECT file_id, data, language FROM f WHERE data IS NOT NULL)"
+_X = _F + ", x AS (SELECT file_id, generate_subscripts(data, 1)::INT - 1 AS pos, unnest(data) AS token FROM d)"
+
+
+def _lang_sql(c: str) -> str:
+    from coppice.functions.languages import ALIAS_OF
+
+    cases = " ".join(f"WHEN '{a}' THEN '{x}'" for a, x in ALIAS_OF.items())
+    return f"CASE WHEN {c} IS NULL THEN NULL ELSE coalesce(CASE {c} {cases} END, CASE lower({c}) {cases} END, {c}) END"
+
+
+def _masked_sql(p: float, op: str, extra: str = "") -> str:
+    return f"""{_X}, m AS (SELECT *, {uniform_sql(SEED, op, 'file_id', 'pos')} < {p} {extra} AS masked FROM x),
+        n AS (SELECT *, CASE WHEN lag(masked) OVER (PARTITION BY file_id ORDER BY pos) IS NOT DISTINCT FROM masked THEN 0 ELSE 1 END AS new FROM m),
+        k AS (SELECT *, 1999 + sum(CASE WHEN masked THEN new ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS mask FROM n)"""
+
+
+_JOIN = "array_to_string(list_transform({0}, lambda z: z::VARCHAR), ',')"
+
+QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, pad_tokens, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, bucket_batches, language_batches, collated_batches]
+SQL = {
+    "line_count_filter": f"WITH {_F}, n AS (SELECT file_id, (len(list_filter(data, lambda t: t = 10)) + 2 * len(list_filter(data, lambda t: t = 9)))::INT AS lines FROM d) SELECT * FROM n WHERE lines BETWEEN 10 AND 200",
+    "language_filter": f"WITH {_F} SELECT file_id, {_lang_sql('language')} AS language FROM f WHERE {_lang_sql('language')} IN ('python', 'go', 'cpp')",
+    "whitespace_files": f"WITH {_F} SELECT file_id, len(data)::INT AS size FROM d WHERE len(list_filter(data, lambda t: t > 14)) = 0",
+    "token_text": f"WITH {_X}, w AS (SELECT file_id, string_agg(v.token, '' ORDER BY pos) AS text FROM x JOIN vocabulary v ON v.token_id = x.token GROUP BY 1) SELECT file_id, length(text)::INT AS chars, md5(text) AS checksum FROM w",
+    "truncate_tokens": f"WITH {_F} SELECT file_id, len(data)::INT AS original_length, {_JOIN.format('data[1:62]')} AS tokens FROM d",
+    "add_eos_cls": f"WITH {_F} SELECT file_id, (len(data) + 2)::INT AS n, 1::INT AS first, 2::INT AS last FROM d WHERE (len(data) = 0 OR (data[len(data)] <> 2 AND data[1] <> 1))",
+    "add_language_token": f"WITH {_F}, g AS (SELECT file_id, data, CASE {_lang_sql('language')} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in LANGUAGE_IDS.items())} END AS i FROM d) SELECT file_id, i::INT AS first, (len(data) + 1)::INT AS n FROM g WHERE i IS NOT NULL",
+    "shifted_targets": f"WITH {_F}, c AS (SELECT file_id, data[1:32] AS t FROM d) SELECT file_id, {_JOIN.format('CASE WHEN len(t) > 0 THEN list_concat(t[len(t):len(t)], t[1:len(t) - 1]) ELSE t END')} AS tokens FROM c",
+    "pad_tokens": f"WITH {_F} SELECT file_id, {_JOIN.format('list_resize(data[1:40], 40, 3)')} AS tokens, least(len(data), 40)::INT AS length FROM d",
+    "token_runs": f"""WITH {_X}, n AS (SELECT *, CASE WHEN lag(token) OVER (PARTITION BY file_id ORDER BY pos) = token THEN 0 ELSE 1 END AS new FROM x), r AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY pos) AS run FROM n)
+        SELECT file_id, min(pos) AS start, count(*)::INT AS length, min(token) AS value FROM r GROUP BY file_id, run HAVING count(*) > 1""",
+    "mask_bernoulli": f"""WITH {_masked_sql(0.125, 'mask_random', 'AND token <> 1177')},
+        o AS (SELECT file_id, string_agg((CASE WHEN masked THEN mask ELSE token END)::INT::VARCHAR, ',' ORDER BY pos) FILTER (WHERE NOT masked OR new = 1) AS s, count(*) FILTER (WHERE NOT masked OR new = 1) AS ns,
+          string_agg((CASE WHEN new = 1 THEN mask::INT::VARCHAR || ',' ELSE '' END) || token::VARCHAR, ',' ORDER BY pos) FILTER (WHERE masked) AS t, count(*) FILTER (WHERE masked) + count(*) FILTER (WHERE masked AND new = 1) AS nt FROM k GROUP BY 1)
+        SELECT file_id, md5(s) AS source, md5(t) AS target, ns::INT AS n_source, nt::INT AS n_target FROM o WHERE t IS NOT NULL""",
+    "mask_token_span": f"""WITH {_F}, a AS (SELECT file_id, data, len(data) AS n, floor(len(data) * 0.25::DOUBLE + 0.5::DOUBLE)::INT AS k0, {uniform_sql(SEED, 'mask_span', 'file_id')} AS u FROM d),
+        b AS (SELECT *, CASE WHEN k0 >= n THEN n - 1 ELSE k0 END AS k FROM a), c AS (SELECT *, floor(u * (n - k + 1))::INT AS at0 FROM b WHERE n > 1 AND k > 0)
+        SELECT file_id, md5({_JOIN.format('list_concat(list_concat(data[1:at0], [2000]), data[at0 + k + 1:n])')}) AS source, md5({_JOIN.format('data[at0 + 1:at0 + k]')}) AS target FROM c""",
+    "dispatch": f"""WITH {_F}, a AS (SELECT file_id, data, len(data) AS n, {uniform_sql(SEED, 'dispatch', 'file_id')} AS u FROM d)
+        SELECT file_id, CASE WHEN u < 0.5 THEN CASE WHEN n <= 400 THEN 'whole' ELSE 'cut' END WHEN u < 0.8 THEN 'cut' ELSE 'eos' END AS how,
+          (CASE WHEN u < 0.5 THEN CASE WHEN n <= 400 THEN n ELSE least(n, 100) END WHEN u < 0.8 THEN least(n, 100) WHEN n > 0 AND data[n] = 2 THEN NULL ELSE n + 1 END)::INT AS n FROM a""",
+    "first_n_per_language": f"WITH {_F}, g AS (SELECT file_id, {_lang_sql('language')} AS lang FROM f) SELECT lang, file_id FROM g WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY file_id) <= 5",
+    "shard_scan": f"WITH {_F} SELECT file_id, len(data)::INT AS size FROM f WHERE file_id % 4 = 1",
+}
