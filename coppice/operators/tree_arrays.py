@@ -7,6 +7,8 @@ keep three arrays consistent by hand.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 
@@ -176,7 +178,7 @@ class Tree:
     def of_levels(cls, levels, *columns) -> Tree:
         return cls(parents_of_levels(as_ints(levels)), *columns)
 
-    @property
+    @cached_property
     def descendants(self) -> np.ndarray:
         return descendants_of_levels(self.levels)
 
