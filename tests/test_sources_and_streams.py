@@ -63,9 +63,11 @@ def test_batches_of_a_stream(spark, tmp_path):
     rows.where("id >= 30").coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = batched_stream(stream, "k", "size", "id", budget=120, longest=40, buckets=2)
-    q = out.writeStream.format("memory").queryName("batches").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would run on and on
+    q = out.writeStream.format("memory").queryName("batches").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    done = q.awaitTermination(45)
     q.stop()
+    assert done
     got = spark.table("batches").collect()
     assert got and all(r["cost"] <= 120 for r in got)
     for b in (0, 1):
