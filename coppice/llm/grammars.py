@@ -11,7 +11,7 @@ file <- (NEWLINE / stmt)* EOF
 stmt <- compound / simple
 simple <- small (';' small)* ';'? NEWLINE
 small <- 'pass' / 'break' / 'continue' / 'return' starexprs? / 'raise' (expr ('from' expr)?)? / ('global' / 'nonlocal') NAME (',' NAME)*
-    / 'del' starexprs / 'assert' expr (',' expr)? / importstmt / typealias / assignment / starexprs
+    / 'del' starexprs / 'assert' expr (',' expr)? / yieldexpr / importstmt / typealias / assignment / starexprs
 typealias <- &'type' NAME NAME typeparams? '=' expr
 importstmt <- 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)* / 'from' (('.' / '...')* dotted / ('.' / '...')+) 'import' ('*' / '(' names ','? ')' / names)
 names <- NAME ('as' NAME)? (',' NAME ('as' NAME)?)*

@@ -77,22 +77,37 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def relieved(sizes: np.ndarray, part: np.ndarray, k: int, capacity: int) -> np.ndarray | None:
-    """Move items out of the overfull containers into the room of others, if that suffices."""
+    """Take small items from each overfull container until the rest fits, and put them where they fit
+    best; an item that fits nowhere takes the place of a smaller one. None if that does not end well."""
     part, load = part.copy(), np.bincount(part, weights=sizes, minlength=k)
+    pool: list[int] = []
     for c in np.flatnonzero(load > capacity):
         mine = np.flatnonzero(part == c)
-        for i in mine[np.argsort(sizes[mine], kind="stable")]:
+        for i in mine[np.argsort(sizes[mine], kind="stable")].tolist():
             if load[c] <= capacity:
                 break
-            room = np.where(load + sizes[i] <= capacity, load, -1.0)
-            room[c] = -1.0
-            to = int(np.argmax(room))
-            if room[to] < 0:
+            part[i], load[c] = -1, load[c] - sizes[i]
+            pool.append(i)
+    for _ in range(8 * len(sizes)):
+        if not pool:
+            return part
+        pool.sort(key=lambda i: sizes[i])
+        x = pool.pop()
+        room = capacity - load - sizes[x]
+        if (room >= 0).any():
+            c = int(np.argmin(np.where(room >= 0, room, np.inf)))
+        else:
+            # the smallest item whose place is large enough; it is smaller than x, so this ends
+            lack = np.where(part >= 0, -room[part], np.inf)
+            can = np.flatnonzero((part >= 0) & (sizes >= lack) & (sizes < sizes[x]))
+            if not len(can):
                 return None
-            part[i], load[c], load[to] = to, load[c] - sizes[i], load[to] + sizes[i]
-        if load[c] > capacity:
-            return None
-    return part
+            y = int(can[np.argmin(sizes[can])])
+            c = int(part[y])
+            part[y], load[c] = -1, load[c] - sizes[y]
+            pool.append(y)
+        part[x], load[c] = c, load[c] + sizes[x]
+    return None
 
 
 def parts_of(files: DataFrame, limits: DataFrame) -> DataFrame:
