@@ -163,13 +163,16 @@ def mask_subtrees(t: ta.Tree, masks: list[int], p: float, mean: float, rng: np.r
     the mean, masked until about p of the leaves are. Branches of white space stay. None below two."""
     low, high = central_bounds(mean)
     leaves, d = leaf_counts(t.parents), t.descendants
-    can = [i for i in range(1, len(t)) if low <= leaves[i] <= high and any(x > 14 for x in t.subtree(i).leaves())]
+    inked = np.concatenate([[0], np.cumsum((d == 0) & (np.array(t.columns[0]) > 14))])
+    can = [i for i in range(1, len(t)) if low <= leaves[i] <= high and inked[i + d[i] + 1] > inked[i]]
     picks: list[int] = []
+    taken = np.zeros(len(t), bool)
     total, goal = 0, p * int(leaves[0])
     for i in rng.permutation(can).tolist() if can else []:
         if total >= goal or len(picks) == len(masks):
             break
-        if all(i + d[i] < j or j + d[j] < i for j in picks):
+        if not taken[i : i + d[i] + 1].any():
+            taken[i : i + d[i] + 1] = True
             picks.append(i)
             total += int(leaves[i])
     if len(picks) < 2:
