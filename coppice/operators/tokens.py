@@ -143,7 +143,7 @@ def random_mask(long: DataFrame, key: str, p: float, seed: int, op: str = "mask_
     return long.withColumn("masked", m if protected is None else m & ~protected)
 
 
-def source_and_target(masked: DataFrame, key: str, masks: list[int]) -> DataFrame:
+def source_and_target(masked: DataFrame, key: str, masks: list[int] | range) -> DataFrame:
     """``key, source, target`` of rows ``key, pos, token, masked``: each masked run becomes the next mask
     token in the source and, behind that token, a segment of the target. Rows without a masked run
     are left out; more runs than mask tokens are an error."""
@@ -151,8 +151,11 @@ def source_and_target(masked: DataFrame, key: str, masks: list[int]) -> DataFram
     new = F.when(F.coalesce(F.lag("masked").over(order) == F.col("masked"), F.lit(False)), 0).otherwise(1)
     numbered = masked.withColumn("__new", new)
     numbered = numbered.withColumn("__m", F.sum(F.when(F.col("masked"), F.col("__new")).otherwise(0)).over(order))
-    table = F.array(*[F.lit(m) for m in masks])
-    mask = F.when(F.col("__m") > len(masks), F.raise_error(F.lit("more masked runs than mask tokens")).cast("int")).otherwise(F.element_at(table, F.greatest(F.col("__m"), F.lit(1)).cast("int")))
+    if isinstance(masks, range):  # consecutive ids need no table
+        nth = (F.lit(masks.start) + F.col("__m") - 1).cast("int")
+    else:
+        nth = F.element_at(F.array(*[F.lit(m) for m in masks]), F.greatest(F.col("__m"), F.lit(1)).cast("int"))
+    mask = F.when(F.col("__m") > len(masks), F.raise_error(F.lit("more masked runs than mask tokens")).cast("int")).otherwise(nth)
     first = F.col("masked") & (F.col("__new") == 1)
     rows = numbered.select(key, "pos", "token", "masked", first.alias("first"), F.when(F.col("masked"), mask).alias("mask"))
     s = F.when(~F.col("masked"), F.col("token")).when(F.col("first"), F.col("mask"))

@@ -198,7 +198,7 @@ def mask_random_spans(spark, folder):
 
 def mask_subtrees(spark, folder):
     def build(file_id, parents, tokens):
-        got = A.mask_subtrees(ta.Tree(parents, tokens), list(range(2000, 2500)), 0.15, 6.0, generator(SEED, "subtrees", file_id))
+        got = A.mask_subtrees(ta.Tree(parents, tokens), range(2000, 1 << 20), 0.15, 6.0, generator(SEED, "subtrees", file_id))
         return [] if got is None else [tuple([int(x) for x in side] for side in got)]
 
     return N.tree_map(_trees(spark, folder), ["file_id"], ["file_id", "parents", "tokens"], build, "source array<int>, target array<int>")
@@ -219,7 +219,7 @@ def identifier_mask(spark, folder):
     symbol = _vocabulary_ids(spark, folder, "[identifier]")[0]
 
     def build(file_id, parents, tokens):
-        got = I.mask_identifiers(parents, tokens, symbol, list(range(2000, 3000)), generator(SEED, "identifiers", file_id))
+        got = I.mask_identifiers(parents, tokens, symbol, range(2000, 1 << 20), generator(SEED, "identifiers", file_id))
         return [] if got is None else [tuple([int(x) for x in side] for side in got)]
 
     return N.tree_map(_trees(spark, folder), ["file_id"], ["file_id", "parents", "tokens"], build, "source array<int>, target array<int>")
@@ -236,7 +236,7 @@ def unique_identifiers_pair(spark, folder):
             return []
         half = len(kids) // 2
         pair = [ta.Tree.cat([t.subtree(k) for k in part], tokens[0]) for part in (kids[:half], kids[half:])]
-        got = I.unique_identifiers(tuple((x.parents, x.columns[0]) for x in pair), symbol, list(range(2000, 3000)), generator(SEED, "unique", file_id))
+        got = I.unique_identifiers(tuple((x.parents, x.columns[0]) for x in pair), symbol, range(2000, 1 << 20), generator(SEED, "unique", file_id))
         return [] if got is None else [tuple([int(x) for x in side] for side in got)]
 
     return N.tree_map(_trees(spark, folder), ["file_id"], ["file_id", "parents", "tokens"], build, "source array<int>, target array<int>")

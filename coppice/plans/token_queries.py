@@ -14,7 +14,7 @@ from coppice.sources.tables import table
 
 SEED = 42
 #: Mask tokens of these queries: ids beyond the vocabulary.
-MASKS = list(range(2000, 4000))
+MASKS = range(2000, 1 << 30)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
