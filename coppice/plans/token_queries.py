@@ -135,6 +135,11 @@ def _sized(spark, folder):
     return _data(spark, folder).select("file_id", lang.alias("lang"), F.size("data").alias("size"))
 
 
+def _longest(spark, folder, buckets: int) -> int:
+    """The largest size of the table, outdated rows included: no file is above it, and no bucket has width 0."""
+    return max(table(spark, folder, "code_data").agg(F.max(F.size("data"))).first()[0] or 0, buckets)
+
+
 def bucket_batches(spark, folder):
     """Batches of all files of up to 4000 tokens, budget 32000, ten buckets, four shards."""
     return B.batched(_sized(spark, folder), [], "size", ["file_id"], budget=32_000, longest=4_000, buckets=10, shards=4)
@@ -146,10 +151,11 @@ def language_batches(spark, folder):
 
 
 def collated_batches(spark, folder):
-    """Batches of the files of up to 300 tokens, padded."""
-    d = _data(spark, folder).select("file_id", "data", F.size("data").alias("size"))
-    b = B.batched(d, [], "size", ["file_id"], budget=6_000, longest=300, buckets=3)
-    c = X.collated(b, ["bucket0", "batch"], "data", "file_id")
+    """Batches of all files, padded. Batches are made from sizes alone: a bucket's tokens are never one task."""
+    d = _data(spark, folder).select("file_id", "data")
+    longest = _longest(spark, folder, 3)
+    b = B.batched(d.select("file_id", F.size("data").alias("size")), [], "size", ["file_id"], budget=max(6_000, longest), longest=longest, buckets=3)
+    c = X.collated(b.join(d, "file_id"), ["bucket0", "batch"], "data", "file_id")
     return c.select("bucket0", "batch", "nsamples", "ntokens", F.size(F.col("tokens")[0]).alias("width"), F.md5(_joined(F.flatten("tokens"))).alias("tokens"), _joined(F.col("ids")).alias("ids"))
 
 
