@@ -29,21 +29,22 @@ def cut(sizes: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
-def batched(df: DataFrame, keys: list[str], size: str, order: list[str], *, budget: int, longest: int, buckets: int, sizes: list[str] | None = None, shards: int = 1) -> DataFrame:
+def batched(df: DataFrame, keys: list[str], size: str, order: list[str], *, budget: int, longest: int, buckets: int, sizes: list[str] | None = None, shards: int = 1, even: int | None = None) -> DataFrame:
     """``df`` with ``bucket..., shard, batch``: samples of a key and bucket in order of ``order`` (unique),
     cut into batches of at most ``budget`` padded tokens.
 
     ``size`` may be a pair through ``sizes`` (source and target): then there is a grid of buckets, and
     the longer of both counts. Sizes of 0 or null are dropped, sizes above ``longest`` too (see
     :func:`oversized`). ``shards`` splits a bucket by a hash of the order columns, so that no bucket
-    is one task; each shard has its own last, underfull batch.
+    is one task; each shard has its own last, underfull batch. ``even``, by default ``longest``, is
+    divided evenly among the buckets; the last one holds what is above it.
     """
     if budget < longest:
         raise ValueError("a batch must hold the longest sample")
     parts = sizes or [size]
     known = df
     for k, s in enumerate(parts):
-        known = known.where((F.col(s) > 0) & (F.col(s) <= longest)).withColumn(f"bucket{k}", bucket(F.col(s), longest, buckets))
+        known = known.where((F.col(s) > 0) & (F.col(s) <= longest)).withColumn(f"bucket{k}", bucket(F.col(s), even or longest, buckets))
     known = known.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")).withColumn("__size", F.greatest(*parts) if len(parts) > 1 else F.col(parts[0]))
     group = [*keys, *[f"bucket{k}" for k in range(len(parts))], "shard"]
     schema = T.StructType([f for f in known.schema.fields if f.name != "__size"] + [T.StructField("batch", T.IntegerType())])

@@ -141,12 +141,14 @@ def _longest(spark, folder, buckets: int) -> int:
 
 
 def bucket_batches(spark, folder):
-    """Batches of all files of up to 4000 tokens, budget 32000, ten buckets, four shards."""
-    return B.batched(_sized(spark, folder), [], "size", ["file_id"], budget=32_000, longest=4_000, buckets=10, shards=4)
+    """Batches of all files, budget 32000 or the longest file, ten buckets with files above 4000 tokens in the last, four shards."""
+    longest = _longest(spark, folder, 10)
+    return B.batched(_sized(spark, folder), [], "size", ["file_id"], budget=max(32_000, longest), longest=longest, buckets=10, even=4_000, shards=4)
 
 
 def language_batches(spark, folder):
-    b = B.batched(_sized(spark, folder), ["lang"], "size", ["file_id"], budget=32_000, longest=4_000, buckets=10)
+    longest = _longest(spark, folder, 10)
+    b = B.batched(_sized(spark, folder), ["lang"], "size", ["file_id"], budget=max(32_000, longest), longest=longest, buckets=10, even=4_000)
     return B.batch_report(b, ["lang", "bucket0", "shard", "batch"], "size")
 
 

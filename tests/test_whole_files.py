@@ -30,3 +30,17 @@ def test_collated_batches_hold_every_file(spark, folder):
     assert sum(r["ntokens"] for r in rows) == sum(LENGTHS.values())
     for r in rows:
         assert r["width"] == max(LENGTHS[int(x)] for x in r["ids"].split(",")) and r["width"] * r["nsamples"] <= 9000
+
+
+def test_bucket_and_language_batches_hold_every_file(spark, folder):
+    rows = run(spark, folder, "bucket_batches")
+    assert sorted(r["file_id"] for r in rows) == [k for k, n in LENGTHS.items() if n]
+    batches = run(spark, folder, "language_batches")
+    assert sum(r["n"] for r in batches) == len(rows) and sum(r["tokens"] for r in batches) == sum(LENGTHS.values())
+    assert all(r["cost"] <= 32_000 for r in batches)
+
+
+def test_a_budget_grows_to_the_longest_file(spark, tmp_path):
+    rows = [(1, [15] * 40_000, "go", datetime(2026, 1, 2)), (2, [15] * 3_999, "go", datetime(2026, 1, 2))]
+    spark.createDataFrame(rows, "file_id long, data array<int>, language string, ingested_at timestamp").write.parquet(f"{tmp_path}/code_data.parquet")
+    assert sorted(r["size"] for r in run(spark, str(tmp_path), "bucket_batches")) == [3_999, 40_000]
