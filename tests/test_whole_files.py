@@ -1,5 +1,6 @@
 """Queries over whole files: nothing is cut from a result."""
 
+import hashlib
 from collections import Counter
 from datetime import datetime
 
@@ -44,3 +45,22 @@ def test_a_budget_grows_to_the_longest_file(spark, tmp_path):
     rows = [(1, [15] * 40_000, "go", datetime(2026, 1, 2)), (2, [15] * 3_999, "go", datetime(2026, 1, 2))]
     spark.createDataFrame(rows, "file_id long, data array<int>, language string, ingested_at timestamp").write.parquet(f"{tmp_path}/code_data.parquet")
     assert sorted(r["size"] for r in run(spark, str(tmp_path), "bucket_batches")) == [3_999, 40_000]
+
+
+def joined(tokens, sep=","):
+    return hashlib.md5(sep.join(map(str, tokens)).encode()).hexdigest()
+
+
+def duck(folder, name):
+    """The rows of a query's SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW code_data AS SELECT * FROM '{folder}/code_data.parquet/*.parquet'")
+    return con.execute(entry.oracle_sql()[name]).fetchall()
+
+
+def test_whole_sequences_are_shifted(spark, folder):
+    rows = run(spark, folder, "shifted_sequences")
+    assert {r["file_id"]: (r["n"], r["tokens"]) for r in rows} == {k: (len(d), joined(d[-1:] + d[:-1])) for k, d in DATA.items()}
+    assert sorted(map(tuple, rows)) == sorted(duck(folder, "shifted_sequences"))
