@@ -87,6 +87,13 @@ def pad_tokens(spark, folder):
     return _data(spark, folder).select("file_id", _joined(X.padded(cut, F.lit(40))).alias("tokens"), F.size(F.filter(X.attention(cut, F.lit(40)), lambda x: x)).alias("length"))
 
 
+def padded_sequences(spark, folder):
+    """Every whole sequence, padded to the next multiple of 64, and which places hold a token."""
+    d, width = F.col("data"), (F.ceil(F.size("data") / 64) * 64).cast("int")
+    mask = F.array_join(F.transform(X.attention(d, width), lambda x: x.cast("int").cast("string")), "")
+    return _data(spark, folder).select("file_id", width.alias("width"), F.md5(_joined(X.padded(d, width))).alias("tokens"), F.md5(mask).alias("mask"))
+
+
 def token_runs(spark, folder):
     """Runs of equal tokens of length 2 or more."""
     return X.runs(X.exploded(_data(spark, folder), "file_id"), "file_id").where("length > 1")
@@ -185,7 +192,7 @@ def _masked_sql(p: float, op: str, extra: str = "") -> str:
 
 _JOIN = "array_to_string(list_transform({0}, lambda z: z::VARCHAR), ',')"
 
-QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, shifted_sequences, pad_tokens, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, bucket_batches, language_batches, collated_batches]
+QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, shifted_sequences, pad_tokens, padded_sequences, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, bucket_batches, language_batches, collated_batches]
 SQL = {
     "line_count_filter": f"WITH {_F}, n AS (SELECT file_id, (len(list_filter(data, lambda t: t = 10)) + 2 * len(list_filter(data, lambda t: t = 9)))::INT AS lines FROM d) SELECT * FROM n WHERE lines BETWEEN 10 AND 200",
     "language_filter": f"WITH {_F} SELECT file_id, {_lang_sql('language')} AS language FROM f WHERE {_lang_sql('language')} IN ('python', 'go', 'cpp')",
@@ -197,6 +204,7 @@ SQL = {
     "shifted_targets": f"WITH {_F}, c AS (SELECT file_id, data[1:32] AS t FROM d) SELECT file_id, {_JOIN.format('CASE WHEN len(t) > 0 THEN list_concat(t[len(t):len(t)], t[1:len(t) - 1]) ELSE t END')} AS tokens FROM c",
     "shifted_sequences": f"WITH {_F} SELECT file_id, len(data)::INT AS n, md5({_JOIN.format('CASE WHEN len(data) > 0 THEN list_concat(data[len(data):len(data)], data[1:len(data) - 1]) ELSE data END')}) AS tokens FROM d",
     "pad_tokens": f"WITH {_F} SELECT file_id, {_JOIN.format('list_resize(data[1:40], 40, 3)')} AS tokens, least(len(data), 40)::INT AS length FROM d",
+    "padded_sequences": f"WITH {_F}, w AS (SELECT file_id, data, len(data)::INT AS n, ((len(data) + 63) // 64 * 64)::INT AS width FROM d) SELECT file_id, width, md5({_JOIN.format('list_resize(data, width, 3)')}) AS tokens, md5(repeat('1', n) || repeat('0', width - n)) AS mask FROM w",
     "token_runs": f"""WITH {_X}, n AS (SELECT *, CASE WHEN lag(token) OVER (PARTITION BY file_id ORDER BY pos) = token THEN 0 ELSE 1 END AS new FROM x), r AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY pos) AS run FROM n)
         SELECT file_id, min(pos) AS start, count(*)::INT AS length, min(token) AS value FROM r GROUP BY file_id, run HAVING count(*) > 1""",
     "mask_bernoulli": f"""WITH {_masked_sql(0.125, 'mask_random', 'AND token <> 1177')},

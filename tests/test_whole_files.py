@@ -64,3 +64,13 @@ def test_whole_sequences_are_shifted(spark, folder):
     rows = run(spark, folder, "shifted_sequences")
     assert {r["file_id"]: (r["n"], r["tokens"]) for r in rows} == {k: (len(d), joined(d[-1:] + d[:-1])) for k, d in DATA.items()}
     assert sorted(map(tuple, rows)) == sorted(duck(folder, "shifted_sequences"))
+
+
+def test_whole_sequences_are_padded(spark, folder):
+    rows = run(spark, folder, "padded_sequences")
+    want = {}
+    for k, d in DATA.items():
+        fill = -len(d) % 64
+        want[k] = (len(d) + fill, joined(d + [3] * fill), joined("1" * len(d) + "0" * fill, ""))
+    assert {r["file_id"]: (r["width"], r["tokens"], r["mask"]) for r in rows} == want
+    assert sorted(map(tuple, rows)) == sorted(duck(folder, "padded_sequences"))
