@@ -356,14 +356,13 @@ def render(parents, labels, most: int | None = None, style: str = "continued") -
     """A drawing of a tree, one node a line; nodes beyond ``most`` are replaced by one ``[...]``."""
     p = as_ints(parents)
     bar, tee, last = STYLES[style]
-    final = np.zeros(len(p), bool)
-    for node in set(p[1:].tolist()):
-        final[children_of(p, node)[-1]] = True
-    lines = []
+    up = p.tolist()
+    final = set({a: i for i, a in enumerate(up)}.values())  # the last child of every node
+    lines, stems = [], []
     for i in range(len(p) if most is None else min(most, len(p))):
-        path = ancestors_of(p, i)[1:]
-        lead = "".join(("    " if final[a] else bar) for a in path[:-1]) + ((last if final[i] else tee) if path else "")
-        lines.append(lead + visible(str(labels[i])))
+        stem = stems[up[i]] if up[i] >= 0 else ""
+        stems.append(stem + ("    " if i in final else bar) if up[i] >= 0 else "")
+        lines.append(stem + ((last if i in final else tee) if up[i] >= 0 else "") + visible(str(labels[i])))
     if most is not None and len(p) > most:
         lines.append("[...]")
     return "\n".join(lines)

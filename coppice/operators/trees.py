@@ -147,8 +147,9 @@ def sibling_ngrams(node_rows: DataFrame, least: int = 2, most: int = 6, key: str
     return parts
 
 
-def drawings(trees: DataFrame, labels: DataFrame, most: int = 40, style: str = "continued", key: str = "file_id") -> DataFrame:
-    """``key, drawing``: each tree as text. ``labels(token_id, token)`` is a vocabulary of fixed size."""
+def drawings(trees: DataFrame, labels: DataFrame, most: int | None = None, style: str = "continued", key: str = "file_id") -> DataFrame:
+    """``key, drawing``: each tree as text, whole or up to ``most`` nodes. ``labels(token_id, token)`` is a
+    vocabulary of fixed size."""
     names = {r[0]: r[1] for r in labels.select("token_id", "token").collect()}
     return tree_map(trees, [key], ["parents", "tokens"], lambda p, t: [(ta.render(p, [names.get(int(x), str(x)) for x in t], most, style),)], "drawing string")
 

@@ -74,3 +74,22 @@ def test_whole_sequences_are_padded(spark, folder):
         want[k] = (len(d) + fill, joined(d + [3] * fill), joined("1" * len(d) + "0" * fill, ""))
     assert {r["file_id"]: (r["width"], r["tokens"], r["mask"]) for r in rows} == want
     assert sorted(map(tuple, rows)) == sorted(duck(folder, "padded_sequences"))
+
+
+@pytest.fixture(scope="module")
+def forest(spark, tmp_path_factory):
+    """A code_trees of a deep, a wide and a mixed tree of more than 40 nodes and a single node, with its vocabulary."""
+    at = tmp_path_factory.mktemp("trees")
+    shapes = {1: [-1, *range(59)], 2: [-1] + [0] * 70, 3: [-1] + [0, 1, 2, 2, 1, 0, 6, 6] * 1 + [0] * 40, 4: [-1]}
+    rows = [(k, [20 + i % 30 for i in range(len(p))], p, None, datetime(2026, 1, 1)) for k, p in shapes.items()]
+    spark.createDataFrame(rows, "file_id long, tokens array<int>, parents array<int>, descendants array<int>, ingested_at timestamp").write.parquet(f"{at}/code_trees.parquet")
+    spark.createDataFrame([(i, f"t{i}") for i in range(15, 60)], "token_id int, token string").write.parquet(f"{at}/vocabulary.parquet")
+    return str(at), shapes
+
+
+def test_trees_are_drawn_whole(spark, forest):
+    folder, shapes = forest
+    drawn = {r["file_id"]: r["drawing"].split("\n") for r in run(spark, folder, "tree_drawings")}
+    assert {k: len(lines) for k, lines in drawn.items()} == {k: len(p) for k, p in shapes.items()}
+    for lines in drawn.values():
+        assert [int(x.rpartition("t")[2]) for x in lines] == [20 + i % 30 for i in range(len(lines))]
