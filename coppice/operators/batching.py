@@ -67,9 +67,14 @@ def batch_report(batches: DataFrame, group: list[str], size: str) -> DataFrame:
     return batches.groupBy(*group).agg(F.count("*").alias("n"), F.sum(size).alias("tokens"), (F.max(size) * F.count("*")).alias("cost"))
 
 
+def shard(key: str, workers: int) -> Column:
+    """Which of several workers reads a row, by its key."""
+    return F.pmod(F.col(key), F.lit(workers)).cast("int")
+
+
 def sharded(df: DataFrame, key: str, worker: int, workers: int) -> DataFrame:
     """The rows that one of several workers reads: every row belongs to exactly one, by its key."""
-    return df.where(F.pmod(F.col(key), F.lit(workers)) == worker)
+    return df.where(shard(key, workers) == worker)
 
 
 def per_class(df: DataFrame, label: str, key: str, m: int, seed: int) -> DataFrame:

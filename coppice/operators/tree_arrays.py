@@ -112,15 +112,17 @@ def incidence_matrix(descendants) -> np.ndarray:
 
 def ancestral_matrix(descendants) -> np.ndarray:
     """The level of the lowest common ancestor of every pair of nodes."""
-    m = incidence_matrix(descendants).astype(np.int64)
-    return m.T @ m - 1
+    return levels_of(parents_of(descendants)).astype(np.int64)[lca_matrix(descendants)]
 
 
 def lca_matrix(descendants) -> np.ndarray:
-    """The lowest common ancestor of every pair: the last node whose branch holds both."""
-    m = incidence_matrix(descendants)
-    both = m[:, :, None] & m[:, None, :]
-    return (both * np.arange(len(m))[:, None, None]).max(axis=0)
+    """The lowest common ancestor of every pair: for an earlier node, that of the parent and it."""
+    p = as_ints(parents_of(descendants))
+    m = np.zeros((len(p), len(p)), np.int64)
+    for i in range(1, len(p)):
+        m[i, :i] = m[:i, i] = m[p[i], :i]
+        m[i, i] = i
+    return m
 
 
 def movements(descendants) -> np.ndarray:

@@ -126,6 +126,18 @@ def leaf_distances(trees: DataFrame, key: str = "file_id") -> DataFrame:
     return tree_map(trees, [key], ["parents", "descendants", "levels"], build, "left_leaf int, right_leaf int, lca int, up int, down int, distance int")
 
 
+def pair_sums(trees: DataFrame, key: str = "file_id") -> DataFrame:
+    """For every node, over its pairs with all nodes of its tree: ``idx, nodes, lca, up, down, distance``,
+    the sums of the lowest common ancestors, of the steps up and down, and of the distances."""
+
+    def build(descendants):
+        lca, up = ta.lca_matrix(descendants), ta.movements(descendants)
+        sums = (lca.sum(1), up.sum(1), up.sum(0), ta.distances(descendants).sum(1))
+        return list(zip(range(len(lca)), [len(lca)] * len(lca), *(x.tolist() for x in sums)))
+
+    return tree_map(trees, [key], ["descendants"], build, "idx int, nodes int, lca long, up long, down long, distance long")
+
+
 def steps(node_rows: DataFrame, key: str = "file_id") -> DataFrame:
     """``key, idx, next_branch, step_out``: the first node after a node's branch and after its parent's
     branch; null past the end."""

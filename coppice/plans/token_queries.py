@@ -142,6 +142,11 @@ def shard_scan(spark, folder):
     return B.sharded(_files(spark, folder), "file_id", 1, 4).select("file_id", F.size("data").alias("size"))
 
 
+def file_shards(spark, folder):
+    """Every file with the worker of four that reads it."""
+    return _files(spark, folder).select("file_id", B.shard("file_id", 4).alias("shard"), F.size("data").alias("size"))
+
+
 def _sized(spark, folder):
     lang = F.coalesce(language_identifier(F.col("language")), F.lit("unknown"))
     return _data(spark, folder).select("file_id", lang.alias("lang"), F.size("data").alias("size"))
@@ -192,7 +197,7 @@ def _masked_sql(p: float, op: str, extra: str = "") -> str:
 
 _JOIN = "array_to_string(list_transform({0}, lambda z: z::VARCHAR), ',')"
 
-QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, shifted_sequences, pad_tokens, padded_sequences, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, bucket_batches, language_batches, collated_batches]
+QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, shifted_sequences, pad_tokens, padded_sequences, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, file_shards, bucket_batches, language_batches, collated_batches]
 SQL = {
     "line_count_filter": f"WITH {_F}, n AS (SELECT file_id, (len(list_filter(data, lambda t: t = 10)) + 2 * len(list_filter(data, lambda t: t = 9)))::INT AS lines FROM d) SELECT * FROM n WHERE lines BETWEEN 10 AND 200",
     "language_filter": f"WITH {_F} SELECT file_id, {_lang_sql('language')} AS language FROM f WHERE {_lang_sql('language')} IN ('python', 'go', 'cpp')",
@@ -219,4 +224,5 @@ SQL = {
           (CASE WHEN u < 0.5 THEN CASE WHEN n <= 400 THEN n ELSE least(n, 100) END WHEN u < 0.8 THEN least(n, 100) WHEN n > 0 AND data[n] = 2 THEN NULL ELSE n + 1 END)::INT AS n FROM a""",
     "first_n_per_language": f"WITH {_F}, g AS (SELECT file_id, {_lang_sql('language')} AS lang FROM f) SELECT lang, file_id FROM g WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY file_id) <= 5",
     "shard_scan": f"WITH {_F} SELECT file_id, len(data)::INT AS size FROM f WHERE file_id % 4 = 1",
+    "file_shards": f"WITH {_F} SELECT file_id, ((file_id % 4 + 4) % 4)::INT AS shard, len(data)::INT AS size FROM f",
 }

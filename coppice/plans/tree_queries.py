@@ -64,6 +64,11 @@ def tree_leaf_distances(spark, folder):
     return N.leaf_distances(_trees(spark, folder))
 
 
+def tree_pair_sums(spark, folder):
+    """Lowest common ancestors, movements and distances of all pairs of nodes, summed for each node."""
+    return N.pair_sums(_trees(spark, folder))
+
+
 def tree_next_stepout(spark, folder):
     return N.steps(_nodes(spark, folder))
 
@@ -182,7 +187,7 @@ _N = _A + ", am AS MATERIALIZED (SELECT file_id, idx, anc FROM a), lv AS MATERIA
 _R = "WITH RECURSIVE "
 
 QUERIES = [
-    tree_levels, tree_descendants, tree_parents, tree_heights, tree_ancestors, tree_adjacency, tree_siblings, tree_leaf_distances, tree_next_stepout, tree_leaves, tree_sizes, tree_valid, sibling_ngrams,
+    tree_levels, tree_descendants, tree_parents, tree_heights, tree_ancestors, tree_adjacency, tree_siblings, tree_leaf_distances, tree_pair_sums, tree_next_stepout, tree_leaves, tree_sizes, tree_valid, sibling_ngrams,
     nonterminal_histogram, tree_text, tree_round_trip, tree_fold_definitions, tree_delete_first_child, tree_replace_children, tree_swap_ends, tree_insert_eos, tree_cat_twice, tree_crop, tree_drawings, subtree_hash,
 ]
 SQL = {
@@ -198,6 +203,9 @@ SQL = {
         c1 AS MATERIALIZED (SELECT l.*, x.level AS li, x.up AS ux FROM l JOIN al x ON x.file_id = l.file_id AND x.idx = l.left_leaf),
         c2 AS MATERIALIZED (SELECT c1.*, y.level AS lj, list_max(list_intersect(ux, y.up)) AS lca, len(list_intersect(ux, y.up)) - 1 AS lk FROM c1 JOIN al y ON y.file_id = c1.file_id AND y.idx = c1.right_leaf)
         SELECT file_id, left_leaf, right_leaf, lca, (li - lk)::INT AS up, (lj - lk)::INT AS down, (li + lj - 2 * lk)::INT AS distance FROM c2""",
+    "tree_pair_sums": _R + _N + """, q AS (SELECT am.file_id, am.idx, anc, n.level, n.descendants + 1 - coalesce(lead(n.descendants + 1) OVER (PARTITION BY am.file_id, am.idx ORDER BY anc), 0) AS w FROM am JOIN n ON n.file_id = am.file_id AND n.idx = am.anc),
+        s AS (SELECT file_id, idx, sum(w)::INT AS nodes, sum(anc * w) AS lca, sum(level * w) AS shared FROM q GROUP BY 1, 2), z AS (SELECT file_id, sum(level) AS levels FROM n GROUP BY 1)
+        SELECT s.file_id, s.idx, nodes, lca::BIGINT AS lca, (level * nodes - shared)::BIGINT AS up, (levels - shared)::BIGINT AS down, (level * nodes + levels - 2 * shared)::BIGINT AS distance FROM s JOIN n ON n.file_id = s.file_id AND n.idx = s.idx JOIN z ON z.file_id = s.file_id""",
     "tree_next_stepout": _R + _N + """, h AS (SELECT *, CASE WHEN idx + descendants + 1 < count(*) OVER (PARTITION BY file_id) THEN idx + descendants + 1 END AS nb FROM n)
         SELECT h.file_id, h.idx, h.nb AS next_branch, u.nb AS step_out FROM h LEFT JOIN h u ON u.file_id = h.file_id AND u.idx = h.parent""",
     "tree_leaves": "WITH " + _P + " SELECT file_id, idx, token FROM p WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.file_id = p.file_id AND c.parent = p.idx)",

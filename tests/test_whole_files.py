@@ -93,3 +93,22 @@ def test_trees_are_drawn_whole(spark, forest):
     assert {k: len(lines) for k, lines in drawn.items()} == {k: len(p) for k, p in shapes.items()}
     for lines in drawn.values():
         assert [int(x.rpartition("t")[2]) for x in lines] == [20 + i % 30 for i in range(len(lines))]
+
+
+def test_sums_over_all_pairs_of_nodes(spark, forest):
+    folder, shapes = forest
+    got = {(r["file_id"], r["idx"]): tuple(r)[2:] for r in run(spark, folder, "tree_pair_sums")}
+    assert len(got) == sum(map(len, shapes.values()))
+    for k, parents in shapes.items():
+        paths = []
+        for i, p in enumerate(parents):
+            paths.append([*(paths[p] if p >= 0 else []), i])
+        for i, a in enumerate(paths):
+            shared = [[x for x, y in zip(a, b) if x == y] for b in paths]
+            up, down = sum(len(a) - len(s) for s in shared), sum(len(b) - len(s) for s, b in zip(shared, paths))
+            assert got[k, i] == (len(paths), sum(s[-1] for s in shared), up, down, up + down)
+
+
+def test_every_file_has_a_shard(spark, folder):
+    rows = run(spark, folder, "file_shards")
+    assert sorted((r["file_id"], r["shard"]) for r in rows) == [(k, k % 4) for k in range(1, 10)]
