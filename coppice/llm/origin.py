@@ -260,7 +260,8 @@ def evidence(files: DataFrame, vocabulary: dict[int, str], libraries: list[tuple
                 runs = _runs(flat[visible])
                 if len(known.hashes) and len(runs):
                     at = np.minimum(np.searchsorted(known.hashes, runs), len(known.hashes) - 1)
-                    hits = np.concatenate([[0], np.cumsum(known.hashes[at] == runs)])
+                    hit = known.hashes[at] == runs
+                    hits = np.concatenate([[0], np.cumsum(hit)])
                 repos, names = part.column(2).to_pylist(), part.column(3).to_pylist()
                 listed = ids.tolist()
                 for i in range(part.num_rows):
@@ -268,7 +269,8 @@ def evidence(files: DataFrame, vocabulary: dict[int, str], libraries: list[tuple
                     if hi > lo and says_generated("".join([words[k] for k in listed[lo:hi]])):
                         e[i, GEN] += STRONG
                     a, b = int(where[i]), int(where[i + 1]) - 3
-                    if b > a and len(known.hashes) and hits[b] - hits[a] >= 0.4 * (b - a):
+                    # half of the distinct runs are common wherever a likeness is 0.5
+                    if b > a and len(known.hashes) and hits[b] > hits[a] and 2 * len(np.unique(runs[a:b][hit[a:b]])) >= len(np.unique(runs[a:b])):
                         like = known.likeness(runs[a:b])
                         own = np.array([r is not None and r == repos[i] for r in known.repos])
                         if (like[~own] >= 0.5).any() and not (like[own] >= 0.5).any():
