@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions.scratch import written
+from coppice.functions.scratch import dropped, shuffled, written
 
 
 def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
@@ -35,17 +35,20 @@ def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataF
         forest = forest.union(hooks.select("x", "y").distinct())
         # two components that chose one another: the smaller is the root of the tree of hooks
         back = hooks.select(F.col("u").alias("v"), F.col("v").alias("u_back"))
-        up = hooks.join(back, "v").select("u", F.when((F.col("u_back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p"))
-        up = written(up)
+        up = hooks.join(shuffled(back), "v").select("u", F.when((F.col("u_back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p"))
+        up = at = written(up)
         while True:
-            jump = up.join(up.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p")
+            jump = up.join(shuffled(up.select(F.col("u").alias("p"), F.col("p").alias("pp"))), "p")
             nxt = written(jump.select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
-            up = nxt.select("u", "p")
+            dropped(at)
+            up, at = nxt.select("u", "p"), nxt
             if nxt.where("moved").isEmpty():
                 break
-        labels = written(labels.join(up.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-        step = live.join(up.select("u", F.col("p").alias("pu")), "u").join(up.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
-        live = written(step.where("pu <> pv").select("x", "y", F.col("pu").alias("u"), F.col("pv").alias("v"), "w"))
+        named = written(labels.join(shuffled(up.withColumnRenamed("u", "root")), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        step = live.join(shuffled(up.select("u", F.col("p").alias("pu"))), "u").join(shuffled(up.select(F.col("u").alias("v"), F.col("p").alias("pv"))), "v")
+        step = written(step.where("pu <> pv").select("x", "y", F.col("pu").alias("u"), F.col("pv").alias("v"), "w"))
+        dropped(labels, live, at)
+        labels, live = named, step
     least = labels.groupBy("root").agg(F.min("node").alias("least"))
-    named = labels.join(least, "root").select("node", F.col("least").alias("root"))
+    named = labels.join(shuffled(least), "root").select("node", F.col("least").alias("root"))
     return named, forest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

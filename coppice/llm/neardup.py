@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions.scratch import written
+from coppice.functions.scratch import dropped, shuffled, written
 from coppice.llm.forest import spanning_forest
 from coppice.llm.shingles import classes, tree_sets
 from coppice.llm.triejoin import expand, trie_join
@@ -23,7 +23,9 @@ def similar_classes(trees: DataFrame, *, num: int = NUM, den: int = DEN, width:
     """
     sets = written(tree_sets(trees.where("file_id is not null"), ["file_id", "ingested_at"], width=width, least=least, first_id=FIRST_ID))
     members, heads = classes(sets, "file_id", "ingested_at")
-    return written(members), written(trie_join(heads, num=num, den=den))
+    members, pairs = written(members), trie_join(heads, num=num, den=den)
+    dropped(sets)
+    return members, pairs
 
 
 def similar_pairs(trees: DataFrame, **how) -> DataFrame:
@@ -43,11 +45,11 @@ def groups(trees: DataFrame, **how) -> DataFrame:
     members, pairs = similar_classes(trees, **how)
     size = members.groupBy("rep").agg(F.count("*").alias("copies"))
     both = pairs.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).union(pairs.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))
-    links = both.join(size.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("links"))
+    links = both.join(shuffled(size.select(F.col("rep").alias("other"), "copies")), "other").groupBy("rep").agg(F.sum("copies").alias("links"))
     roots, _ = spanning_forest(pairs, "rep_a", "rep_b")
-    heads = size.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    heads = size.join(shuffled(links), "rep", "left").join(shuffled(roots.withColumnRenamed("node", "rep")), "rep", "left")
     heads = heads.select("rep", F.coalesce("root", "rep").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    placed = members.join(heads, "rep").select("file_id", F.col("rep").alias("class_id"), "group_id", "links")
+    placed = members.join(shuffled(heads), "rep").select("file_id", F.col("rep").alias("class_id"), "group_id", "links")
     own = F.col("file_id")
-    every = trees.select("file_id").where("file_id is not null").distinct().join(placed, "file_id", "left")
+    every = trees.select("file_id").where("file_id is not null").distinct().join(shuffled(placed), "file_id", "left")
     return every.select("file_id", F.coalesce("class_id", own).alias("class_id"), F.coalesce("group_id", own).alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

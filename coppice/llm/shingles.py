@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coppice.functions.scratch import shuffled
+
 #: A word: a run of ASCII letters, digits and underscores, or any other single character that is not white space.
 WORD = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -144,6 +146,6 @@ def classes(sets: DataFrame, key: str, newest: str | None) -> tuple[DataFrame, D
     order = F.struct(newest, "sig") if newest else F.struct("sig")
     live = light.groupBy(key).agg(F.max_by("sig", order).alias("sig"))
     reps = live.groupBy("sig").agg(F.min(key).alias("rep"))
-    members = live.join(reps, "sig").select(key, "rep")
-    heads = sets.select("sig", "n", "shingles").dropDuplicates(["sig"]).join(reps, "sig").select("rep", "n", "shingles")
+    members = live.join(shuffled(reps), "sig").select(key, "rep")
+    heads = sets.select("sig", "n", "shingles").dropDuplicates(["sig"]).join(shuffled(reps), "sig").select("rep", "n", "shingles")
     return members, heads

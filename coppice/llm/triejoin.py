@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions.scratch import written
+from coppice.functions.scratch import dropped, shuffled, written
 
 #: Sets per block of a home; larger homes are cut into blocks, and pairs of blocks meet in cells.
 BLOCK = 384
@@ -112,14 +112,16 @@ def trie_join(heads: DataFrame, *, num: int, den: int, block: int = BLOCK) -> Da
 
     ``heads(rep bigint, n, shingles)``: distinct sets. Returns ``rep_a, rep_b, overlap, n_a, n_b``
     with rep_a < rep_b, each pair once. Exact: no candidate is capped or sampled. Empty sets have
-    no partner. Homes of more than ``block`` sets are cut into cells of two blocks.
+    no partner. Homes of more than ``block`` sets are cut into cells of two blocks; a home of c sets
+    reads each set ceil(c / block) times, which is the price of exactness. All joins shuffle: what is
+    joined here grows with the data, and its size is not what a file's size suggests.
     """
     items = heads.where("n > 0").select("rep", "n", F.explode("shingles").alias("s"))
     places = items.groupBy("s").agg(F.count("*").alias("df"), F.min("rep").alias("home")).where("df > 1")
     # global order: the frequency's power of two, then the hash; one long per item
     low = F.col("s").bitwiseAND(F.lit((1 << 57) - 1))
     item = F.shiftleft(F.floor(F.log2("df")).cast("long"), 57).bitwiseOR(low)
-    held = items.join(places, "s").select("rep", "n", F.struct(item.alias("i"), F.col("home").alias("h")).alias("x"))
+    held = items.join(shuffled(places), "s").select("rep", "n", F.struct(item.alias("i"), F.col("home").alias("h")).alias("x"))
     lists = held.groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("x")).alias("x"))
     m, need = F.size("x"), F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)).cast("int")
     prefix = F.col("n") - need + 1 - (F.col("n") - m)  # items of a single set come first and never match
@@ -129,8 +131,8 @@ def trie_join(heads: DataFrame, *, num: int, den: int, block: int = BLOCK) -> Da
     at_home = lists.select("rep", F.explode("homes").alias("home"))
     crowd = at_home.groupBy("home").agg(F.count("*").alias("c")).where("c > 1").select("home", F.ceil(F.col("c") / block).cast("int").alias("k"))
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(F.col("b"), j).alias("lo"), F.greatest(F.col("b"), j).alias("hi"))))
-    routed = at_home.join(crowd, "home").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int")).select("rep", "home", "b", cell.alias("cell"))
-    routed = routed.select("rep", "home", "b", "cell.lo", "cell.hi").join(lists, "rep")
+    routed = at_home.join(shuffled(crowd), "home").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int")).select("rep", "home", "b", cell.alias("cell"))
+    routed = routed.select("rep", "home", "b", "cell.lo", "cell.hi").join(shuffled(lists), "rep")
     routed = routed.select("home", "lo", "hi", "b", "rep", "n", "items", "homes").repartition("home", "lo", "hi").sortWithinPartitions("home", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +172,15 @@ def trie_join(heads: DataFrame, *, num: int, den: int, block: int = BLOCK) -> Da
         if held_rows and (out := close()) is not None:
             yield out
 
-    return routed.mapInArrow(run, "rep_a long, rep_b long, overlap int, n_a int, n_b int")
+    pairs = written(routed.mapInArrow(run, "rep_a long, rep_b long, overlap int, n_a int, n_b int"))
+    dropped(lists)
+    return pairs
 
 
 def expand(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Pairs of keys from pairs of classes plus the pairs within classes: ``a, b`` with a < b."""
-    within = members.select(F.col(key).alias("a"), "rep").join(members.select(F.col(key).alias("b"), "rep"), "rep").where("a < b").select("a", "b")
+    within = members.select(F.col(key).alias("a"), "rep").join(shuffled(members.select(F.col(key).alias("b"), "rep")), "rep").where("a < b").select("a", "b")
     left = members.select(F.col(key).alias("x"), F.col("rep").alias("rep_a"))
     right = members.select(F.col(key).alias("y"), F.col("rep").alias("rep_b"))
-    across = pairs.select("rep_a", "rep_b").join(left, "rep_a").join(right, "rep_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    across = pairs.select("rep_a", "rep_b").join(shuffled(left), "rep_a").join(shuffled(right), "rep_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return within.union(across)
