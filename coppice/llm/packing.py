@@ -23,102 +23,76 @@ SHARD = 96
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     """Partition ``sizes`` into k parts by Karmarkar-Karp multiway differencing; the part of each item.
 
-    A partial partition is k loads, sorted; the two with the greatest spread are merged, the largest
-    loads of one onto the smallest of the other, until one remains.
+    A partial partition is k loads, sorted, and begins as a single item. The two with the greatest
+    spread are merged, the largest loads of one onto the smallest of the other, until one remains.
     """
     n = len(sizes)
     if k <= 1 or not n:
         return np.zeros(n, np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    heap: list[tuple[float, int, np.ndarray, list[list[int]]]] = []
-    # k items at a time make a first partition: sorted items of about equal size
-    for tick, at in enumerate(range(0, n, k)):
-        part = order[at : at + k]
-        loads = np.zeros(k)
-        loads[: len(part)] = sizes[part]
-        heap.append((-(loads[0] - loads[-1]), tick, loads, [[int(x)] for x in part] + [[] for _ in range(k - len(part))]))
-    heapq.heapify(heap)
-    tick = len(heap)
+    # spread, tie, loads, items of each load as nested pairs; single items are unfolded when they are merged
+    heap: list[tuple[int, int, np.ndarray | None, list | int]] = [(-int(sizes[i]), tick, None, int(i)) for tick, i in enumerate(np.argsort(-sizes, kind="stable"))]
+    tick = n
+
+    def opened(loads: np.ndarray | None, items: list | int) -> tuple[np.ndarray, list]:
+        if loads is not None:
+            return loads, items
+        first = np.zeros(k, np.int64)
+        first[0] = sizes[items]
+        return first, [items, *[None] * (k - 1)]
+
     while len(heap) > 1:
-        _, _, a, ia = heapq.heappop(heap)
-        _, _, b, ib = heapq.heappop(heap)
+        a, ia = opened(*heapq.heappop(heap)[2:])
+        b, ib = opened(*heapq.heappop(heap)[2:])
         loads = a + b[::-1]
-        items = [x + y for x, y in zip(ia, reversed(ib))]
+        items = [x if y is None else y if x is None else (x, y) for x, y in zip(ia, reversed(ib))]
         rank = np.argsort(-loads, kind="stable")
         loads = loads[rank]
-        heapq.heappush(heap, (-(loads[0] - loads[-1]), tick, loads, [items[r] for r in rank]))
+        heapq.heappush(heap, (-int(loads[0] - loads[-1]), tick, loads, [items[r] for r in rank.tolist()]))
         tick += 1
     out = np.zeros(n, np.int64)
-    for c, items in enumerate(heap[0][3]):
-        out[items] = c
+    for c, held in enumerate(opened(*heap[0][2:])[1]):
+        stack = [held]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, tuple):
+                stack.extend(x)
+            elif x is not None:
+                out[x] = c
     return out
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The container of each item (each at most ``capacity``), as few containers as the method finds.
-    Items that leave no room for even the smallest other get a container of their own first."""
+    """The container of each item (each at most ``capacity``), as few containers as differencing finds:
+    one more whenever a container overflows. Items that leave no room for even the smallest other get
+    a container of their own first."""
     alone = sizes + sizes.min(initial=capacity) > capacity
-    if alone.any() and not alone.all():
+    if alone.all():
+        return np.arange(len(sizes))
+    if alone.any():
         out = np.zeros(len(sizes), np.int64)
         out[~alone] = pack(sizes[~alone], capacity)
-        out[alone] = out.max() + 1 + np.arange(int(alone.sum()))
+        out[alone] = out[~alone].max() + 1 + np.arange(int(alone.sum()))
         return out
-    if alone.all():
-        return np.arange(len(sizes))
     k = max(1, int(-(-int(sizes.sum()) // capacity)))
     while True:
         part = difference(sizes, k)
         if np.bincount(part, weights=sizes, minlength=k).max(initial=0) <= capacity:
             return part
-        part = relieved(sizes, part, k, capacity)
-        if part is not None:
-            return part
         k += 1
 
 
-def relieved(sizes: np.ndarray, part: np.ndarray, k: int, capacity: int) -> np.ndarray | None:
-    """Take small items from each overfull container until the rest fits, and put them where they fit
-    best; an item that fits nowhere takes the place of a smaller one. None if that does not end well."""
-    part, load = part.copy(), np.bincount(part, weights=sizes, minlength=k)
-    pool: list[int] = []
-    for c in np.flatnonzero(load > capacity):
-        mine = np.flatnonzero(part == c)
-        for i in mine[np.argsort(sizes[mine], kind="stable")].tolist():
-            if load[c] <= capacity:
-                break
-            part[i], load[c] = -1, load[c] - sizes[i]
-            pool.append(i)
-    for _ in range(8 * len(sizes)):
-        if not pool:
-            return part
-        pool.sort(key=lambda i: sizes[i])
-        x = pool.pop()
-        room = capacity - load - sizes[x]
-        if (room >= 0).any():
-            c = int(np.argmin(np.where(room >= 0, room, np.inf)))
-        else:
-            # the smallest item whose place is large enough; it is smaller than x, so this ends
-            lack = np.where(part >= 0, -room[part], np.inf)
-            can = np.flatnonzero((part >= 0) & (sizes >= lack) & (sizes < sizes[x]))
-            if not len(can):
-                return None
-            y = int(can[np.argmin(sizes[can])])
-            c = int(part[y])
-            part[y], load[c] = -1, load[c] - sizes[y]
-            pool.append(y)
-        part[x], load[c] = c, load[c] + sizes[x]
-    return None
-
-
 def parts_of(files: DataFrame, limits: DataFrame) -> DataFrame:
     """The items to pack: ``file_id, language, capacity, n_tokens, part, n_parts, start, stop``.
 
     ``files(file_id, n_tokens, language)``; a sequence larger than its capacity is divided into parts
     of the capacity and a rest, any other is one part. Rows with a null file_id, null or no tokens,
-    or without a limit for their language give nothing; redelivered rows count once.
+    or without a limit for their language give nothing. Rows of one file count once: with a column
+    ``ingested_at`` the newest, else, and of equally new ones, the longest.
     """
-    sized = files.where("file_id is not null and n_tokens > 0").join(F.broadcast(limits.select("language", F.col("max_tokens_in_batch").alias("capacity"))), "language")
-    sized = sized.where("capacity > 0").dropDuplicates(["file_id"])
+    time = F.col("ingested_at") if "ingested_at" in files.columns else F.lit(0)
+    files = files.where("file_id is not null").groupBy("file_id").agg(F.max_by(F.struct("n_tokens", "language"), F.struct(time.alias("t"), "n_tokens", "language")).alias("v")).select("file_id", "v.*")
+    sized = files.where("n_tokens > 0").join(F.broadcast(limits.select("language", F.col("max_tokens_in_batch").alias("capacity"))), "language")
+    sized = sized.where("capacity > 0")
     n = F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int")
     cut = sized.withColumn("n_parts", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     start = (F.col("part") * F.col("capacity")).cast("long")
@@ -150,6 +124,11 @@ def batches(items: DataFrame, shard: int = SHARD) -> DataFrame:
     return dealt.select(*columns).groupBy("language", "shard").applyInArrow(run, schema)
 
 
+def divided(packed: DataFrame) -> DataFrame:
+    """``file_id`` of the sequences that fill more than one place of the containers."""
+    return packed.groupBy("file_id").agg(F.count("*").alias("places")).where("places > 1").select("file_id")
+
+
 def usage(packed: DataFrame) -> DataFrame:
     """Per language: items, containers, tokens and the share of the containers' room that is used."""
     each = packed.groupBy("language", "capacity", "shard", "batch").agg(F.count("*").alias("items"), F.sum(F.col("stop") - F.col("start")).alias("load"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coppice.functions.scratch import shuffled
+
 #: Line-end tokens: two line breaks and one (fixed values of the vocabulary).
 LINE_ENDS = (9, 10)
 BLANK_LINE = 9
@@ -154,9 +156,10 @@ def pieces(files: DataFrame, limits: DataFrame, cost: np.ndarray) -> DataFrame:
 
     ``files(file_id, data, language)`` with ``language`` a canonical name or ``any``, and
     ``limits(language, max_tokens, overlap)`` (a handful of rows, broadcast). Sequences within the
-    limit, null data, null file_ids and languages without a limit give no rows; redelivered rows (of
-    equal content) count once. ``cut`` is ``forced`` if a line is longer than the limit, else
-    ``clean``.
+    limit, null data, null file_ids and languages without a limit give no rows. Of several rows of
+    one file (redelivered) the newest by ``ingested_at``, where that column is given, counts, and of
+    equally new ones the longest; it is chosen by key, time and size alone. ``cut`` is ``forced`` if a
+    line is longer than the limit, else ``clean``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,11 @@ def pieces(files: DataFrame, limits: DataFrame, cost: np.ndarray) -> DataFrame:
             if cuts:
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), pa.array(cuts)], names=["file_id", "piece", "start", "stop", "n_pieces", "cut"])
 
-    big = files.join(F.broadcast(limits.select("language", "max_tokens", "overlap")), "language")
-    big = big.where("file_id is not null and size(data) > max_tokens")
+    time = F.col("ingested_at") if "ingested_at" in files.columns else F.lit(0)
+    mark = F.struct(time.alias("t"), F.size("data").alias("n"), "language", F.xxhash64("data").alias("h"))
+    marked = files.where("file_id is not null").withColumn("mark", mark)
+    several = marked.groupBy("file_id").agg(F.max("mark").alias("best"), F.count("*").alias("rows")).where("rows > 1").select(F.col("file_id").alias("again"), "best")
+    big = marked.join(F.broadcast(limits.select("language", "max_tokens", "overlap")), "language")
+    big = big.where("size(data) > max_tokens").join(shuffled(several), F.col("file_id") == F.col("again"), "left").where("again is null or mark = best")
     big = big.select("file_id", "data", F.greatest("max_tokens", F.lit(1)).cast("long"), F.coalesce("overlap", F.lit(0)).cast("long"))
     return big.mapInArrow(run, PIECES).dropDuplicates(["file_id", "piece"])

@@ -52,6 +52,31 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return assign(code.union(train).union(cocos), _entity_values(spark, folder), table(spark, folder, "repository_links"))
 
 
+def _record_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    from coppice.llm.splits import node_of
+
+    code = table(spark, folder, "code_data", "file_id", "repository").select(F.lit("repository").alias("kind"), F.col("file_id").cast("string").alias("record"), F.array(node_of("repository", "repository")).alias("nodes"))
+    train = table(spark, folder, "train", "index", "label", "repository").select(F.lit("label").alias("kind"), F.col("index").alias("record"), F.array(node_of("label", "label"), node_of("repository", "repository")).alias("nodes"))
+    cocos = table(spark, folder, "cocos", "query_id", "problem").select(F.lit("problem").alias("kind"), F.col("query_id").cast("string").alias("record"), F.array(node_of("problem", "problem")).alias("nodes"))
+    return code.union(train).union(cocos).where("record is not null")
+
+
+def p2_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of every record where also the repositories of train's programs keep together."""
+    from coppice.llm.splits import assign_across
+
+    return assign_across(_record_nodes(spark, folder), table(spark, folder, "repository_links"))
+
+
+def p2_crossings(spark: SparkSession, folder: str) -> DataFrame:
+    """For both ways of splitting: entities of each kind, and those with records in several splits."""
+    from coppice.llm.splits import crossings
+
+    nodes, links = _record_nodes(spark, folder), table(spark, folder, "repository_links")
+    ways = [crossings(f(spark, folder), nodes, links).withColumn("way", F.lit(f.__name__)) for f in (p2_splits, p2_strict)]
+    return ways[0].union(ways[1]).select("way", "entity_kind", "entities", "in_several_splits")
+
+
 def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The share of the records of each kind that each split received."""
     n = p2_splits(spark, folder).groupBy("kind", "split").agg(F.count("*").alias("records"), F.countDistinct("root").alias("components"))
@@ -98,7 +123,7 @@ def _sequences(spark: SparkSession, folder: str) -> DataFrame:
     known = [r[0] for r in table(spark, folder, "batch_limits", "language").where("language is not null").collect()]
     lang = language_identifier(F.col("language"), spellings=True)
     lang = F.when(lang.isin(*known), lang).otherwise("any")
-    return table(spark, folder, "code_data", "file_id", "data", "language").select("file_id", "data", lang.alias("language"))
+    return table(spark, folder, "code_data", "file_id", "data", "language", "ingested_at").select("file_id", "data", lang.alias("language"), "ingested_at")
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +142,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def _packed_items(spark: SparkSession, folder: str) -> DataFrame:
     from coppice.llm.packing import parts_of
 
-    files = _sequences(spark, folder).select("file_id", F.size("data").alias("n_tokens"), "language")
+    files = _sequences(spark, folder).select("file_id", F.size("data").alias("n_tokens"), "language", "ingested_at")
     return parts_of(files, table(spark, folder, "batch_limits"))
 
 
@@ -137,7 +162,9 @@ def p6_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences that had to be divided among batches."""
-    return p6_batches(spark, folder).where("n_parts > 1").select("file_id").distinct()
+    from coppice.llm.packing import divided
+
+    return divided(p6_batches(spark, folder))
 
 
 def _programs(spark: SparkSession, folder: str) -> list[DataFrame]:
@@ -193,7 +220,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p3_found, p3_files, p3_rates, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids, p9_mix, p9_shares, p10_found, p10_redacted]
+    names = [p1_found, p1_groups, p2_found, p2_splits, p2_shares, p2_strict, p2_crossings, p3_found, p3_files, p3_rates, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_batches, p6_usage, p7_found, p7_report, p8_ids, p9_mix, p9_shares, p10_found, p10_redacted]
     return {f.__name__: f for f in names}
 
 

@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from coppice.functions.scratch import written
+from coppice.functions.scratch import shuffled, written
 from coppice.llm.forest import spanning_forest
 
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 #: Relations of two repositories that carry the same content (fixed values of the data).
 SAME_CONTENT = ("fork", "mirror", "rename")
-#: Buckets of the random order within a band; ranks are counted per bucket, so no band is one task.
-DEAL_BUCKETS = 256
+#: Components a bucket of a band's random order aims at; ranks are counted per bucket, so no band is one task.
+PER_BUCKET = 50_000
 
 #: White space of any kind, with byte-order marks and zero-width spaces.
 _BLANK = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -100,24 +100,16 @@ def deal(roots: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS) -> Da
     largest size down; each band's components are shared out so that the rows of every split come as
     near as possible to its proportion of all rows served so far, so smaller bands make up for the
     coarse steps of larger ones. Within a band, components in random order go to the splits
-    systematically: evenly spaced, not in runs. Only counts per band and bucket are ever brought
-    together (at most 64 bands of 256 buckets a kind).
+    systematically: evenly spaced, not in runs. Only counts per band come to the driver (at most 64 a
+    kind); a band has as many buckets as its components need, and their first ranks are sums over
+    the buckets.
     """
     spark = roots.sparkSession
     keyed = roots.select("kind", "root", "n", F.floor(F.log2("n")).cast("int").alias("band"), F.xxhash64("root", F.lit(29)).alias("h"))
-    keyed = keyed.withColumn("bucket", F.shiftrightunsigned("h", 56).cast("int"))
-    counts = keyed.groupBy("kind", "band", "bucket").agg(F.count("*").alias("m"), F.sum("n").alias("rows"))
-    starts, plan = [], []
+    plan = []
     served: dict[str, list[float]] = {}
-    bands: dict[tuple[str, int], list] = {}
-    for r in counts.collect():
-        bands.setdefault((r["kind"], r["band"]), []).append((r["bucket"], r["m"], r["rows"]))
-    for (kind, band), parts in sorted(bands.items(), key=lambda x: (x[0][0], -x[0][1])):
-        at = 0
-        for bucket, m, _ in sorted(parts):
-            starts.append((kind, band, bucket, at))
-            at += m
-        rows = sum(p[2] for p in parts)
+    bands = keyed.groupBy("kind", "band").agg(F.count("*").alias("m"), F.sum("n").alias("rows")).collect()
+    for kind, band, at, rows in sorted(bands, key=lambda x: (x["kind"], -x["band"])):
         have = served.setdefault(kind, [0.0] * len(splits))
         total = sum(have) + rows
         need = [max(0.0, p * total - got) for (_, p), got in zip(splits, have)]
@@ -129,10 +121,12 @@ def deal(roots: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS) -> Da
         served[kind] = [got + g * rows / max(at, 1) for got, g in zip(have, give)]
         plan.append((kind, band, at, give))
     names = [s for s, _ in splits]
-    starts_df = spark.createDataFrame(starts, "kind string, band int, bucket int, start long")
     plan_df = spark.createDataFrame(plan, "kind string, band int, of long, give array<long>")
+    keyed = keyed.join(F.broadcast(plan_df), ["kind", "band"]).withColumn("bucket", F.pmod("h", F.ceil(F.col("of") / PER_BUCKET).cast("long")))
+    sums = keyed.groupBy("kind", "band", "bucket").agg(F.count("*").alias("m"))
+    starts = sums.select("kind", "band", "bucket", (F.sum("m").over(W.partitionBy("kind", "band").orderBy("bucket")) - F.col("m")).alias("start"))
     ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("kind", "band", "bucket").orderBy("h", "root")))
-    ranked = ranked.join(F.broadcast(starts_df), ["kind", "band", "bucket"]).join(F.broadcast(plan_df), ["kind", "band"])
+    ranked = ranked.join(starts, ["kind", "band", "bucket"])
     rank = F.col("start") + F.col("r") - 1
     # the component of rank r goes to the last split whose evenly spaced places include r
     split = F.lit(names[0])
@@ -148,12 +142,13 @@ def deal(roots: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS) -> Da
 
 
 def assign(records: DataFrame, values: DataFrame, links: DataFrame, splits=SPLITS) -> DataFrame:
-    """The split of every record.
+    """The split of every record, each table by its own entity.
 
     ``records(kind, record, raw)``: the record's table kind, its key (text) and the raw entity value.
     Redelivered records (same kind and key) count once and share a split; the smallest raw value
     stands for a record delivered with several. A record without a value is alone with itself.
-    Returns ``kind, record, root, split`` with one row per record.
+    Returns ``kind, record, root, split`` with one row per record. Entities of different kinds are not
+    tied to one another; :func:`assign_across` does that.
     """
     one = records.groupBy("kind", "record").agg(F.min("raw").alias("raw"))
     rooted, _ = entities(values, links)
@@ -162,3 +157,46 @@ def assign(records: DataFrame, values: DataFrame, links: DataFrame, splits=SPLIT
     placed = written(placed.select("kind", "record", F.coalesce(F.concat(F.lit("="), "root"), F.concat(F.lit("#"), "record")).alias("root")))
     dealt = deal(placed.groupBy("kind", "root").agg(F.count("*").alias("n")), splits)
     return placed.join(dealt.select("kind", "root", "split"), ["kind", "root"]).select("kind", "record", "root", "split")
+
+
+def node_of(kind: str, column: str) -> Column:
+    """The entity that a raw value names, as a node that is unlike the nodes of other kinds; null for null."""
+    raw = F.col(column)
+    return F.concat(F.lit(f"{kind}="), F.coalesce(KEYS[kind](raw), raw))
+
+
+def assign_across(records: DataFrame, links: DataFrame, splits=SPLITS) -> DataFrame:
+    """The split of every record, where all entities of a record stay together, of whatever kind.
+
+    ``records(kind, record, nodes)``: ``nodes`` an array of :func:`node_of`. All nodes of a record are
+    joined, so a label ties together all the repositories of its programs, and the proportions hold
+    only as far as the components allow: one that holds most records goes whole to one split. Nulls
+    among the nodes are no entities; a record without a node is alone; redelivered records join the
+    nodes of all deliveries. Returns ``kind, record, root, split``, one row per record.
+    """
+    nodes = records.select("kind", "record", F.explode("nodes").alias("node")).where("node is not null").distinct()
+    first = nodes.groupBy("kind", "record").agg(F.min("node").alias("first"))
+    ties = nodes.join(shuffled(first), ["kind", "record"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    same = link_edges(links).select(F.concat(F.lit("repository="), "a").alias("a"), F.concat(F.lit("repository="), "b").alias("b"))
+    labels, _ = spanning_forest(ties.union(same))
+    every = records.select("kind", "record").distinct().join(shuffled(first), ["kind", "record"], "left")
+    placed = every.join(shuffled(labels.withColumnRenamed("node", "first")), "first", "left")
+    placed = written(placed.select("kind", "record", F.coalesce("root", "first", F.concat_ws("#", "kind", "record")).alias("root")))
+    dealt = deal(placed.groupBy("root").agg(F.count("*").alias("n")).select(F.lit("all").alias("kind"), "root", "n"), splits)
+    return placed.join(shuffled(dealt.select("root", "split")), "root").select("kind", "record", "root", "split")
+
+
+def crossings(assigned: DataFrame, records: DataFrame, links: DataFrame) -> DataFrame:
+    """Per kind of entity: the entities of all records, and those whose records are in several splits.
+
+    ``assigned(kind, record, split)``; ``records(kind, record, nodes)`` as for :func:`assign_across`, so
+    that every entity column of a record counts. Linked repositories are one entity.
+    """
+    labels, _ = spanning_forest(link_edges(links))
+    labels = labels.select(F.concat(F.lit("repository="), "node").alias("node"), F.concat(F.lit("repository="), "root").alias("root"))
+    nodes = records.select("kind", "record", F.explode("nodes").alias("node")).where("node is not null").distinct()
+    rooted = nodes.join(shuffled(labels), "node", "left").select("kind", "record", F.coalesce("root", "node").alias("entity"))
+    met = rooted.join(shuffled(assigned.select("kind", "record", "split")), ["kind", "record"])
+    per = met.groupBy("entity").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+    per = per.groupBy(F.substring_index("entity", "=", 1).alias("entity_kind"))
+    return per.agg(F.count("*").alias("entities"), F.count_if(F.col("lo") != F.col("hi")).alias("in_several_splits"))
