@@ -1,7 +1,8 @@
 """Records of evaluation splits that also stand in the training split.
 
 Min-wise hashes of the word shingles, cut into bands, bring similar programs into common buckets.
-Only pairs across the splits are candidates; their exact Jaccard similarity decides.
+Pairs across the splits that meet in several buckets are candidates; their exact Jaccard similarity
+decides. Shingle sets are never stored: the sets of candidates are made again from their texts.
 """
 
 from __future__ import annotations
@@ -12,70 +13,96 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from coppice.functions.scratch import written
-from coppice.llm.shingles import classes, mixed, text_sets
+from coppice.functions.scratch import dropped, shuffled, written
+from coppice.llm.shingles import Words, classes, mixed, runs_of, signature, text_sets
 
 #: Runs of four words; at least 20 words; similarity 6/10 (fixed by the task).
 WIDTH, LEAST, NUM, DEN = 4, 20, 6, 10
-#: With 3 hashes a band and 64 bands, a pair of similarity 0.6 is missed with probability 1.7e-7.
-ROWS, BANDS = 3, 64
+#: Hashes a band, bands, and the bands that two programs must have in common. A pair of similarity 0.6
+#: shares a band with probability 0.216 and is missed with probability 9e-7; of pairs of similarity
+#: 0.2, three in a hundred are compared.
+ROWS, BANDS, COMMON = 3, 80, 3
 
 
-def band_keys(sets: list[np.ndarray], rows: int, bands: int) -> np.ndarray:
-    """The bucket of each set in each band, as a matrix of longs."""
-    seeds = mixed(np.arange(1, rows * bands + 1, dtype=np.uint64))
-    out = np.zeros((len(sets), bands), np.int64)
-    for i, s in enumerate(sets):
-        low = np.full(rows * bands, np.iinfo(np.uint64).max, np.uint64)
-        x = s.view(np.uint64)
-        for at in range(0, len(x), 2048):  # bounded memory for very long texts
-            low = np.minimum(low, mixed(x[at : at + 2048, None] ^ seeds[None, :]).min(axis=0))
-        h = np.arange(1, bands + 1, dtype=np.uint64)
-        for k in range(rows):
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + low[k::rows])
-        out[i] = h.view(np.int64)
-    return out
+def band_keys(x: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """The bucket of a set of hashes in each band; the band is part of the bucket's number.
 
+    The hashes are uniform already, so multiplying their upper halves by an odd number orders them anew."""
+    factors = (mixed(np.arange(1, rows * bands + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    low = np.full(rows * bands, np.iinfo(np.uint32).max, np.uint32)
+    upper = (x.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 1024):  # bounded memory for very long texts
+        low = np.minimum(low, np.multiply.outer(factors, upper[at : at + 1024]).min(axis=1))
+    h = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + low[k::rows])
+    return h.view(np.int64)
 
-def buckets(heads: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """``rep, bucket`` for each band of each set; the band is part of the bucket's number."""
+
+def signed(df: DataFrame, *, width: int, least: int, rows: int, bands: int) -> DataFrame:
+    """``index, collected_at, sig, n, bands`` of every program of at least ``least`` words: its set's
+    signature and size, and its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys = band_keys([np.asarray(x.values) for x in part.column(1)], rows, bands)
-                reps = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), bands)))
-                yield pa.RecordBatch.from_arrays([reps, pa.array(keys.ravel())], names=["rep", "bucket"])
-
-    return heads.where("n > 0").select("rep", "shingles").mapInArrow(run, f"rep {heads.schema['rep'].dataType.simpleString()}, bucket long")
-
-
-def overlap_classes(train: DataFrame, held_out: DataFrame, *, num: int = NUM, den: int = DEN, width: int = WIDTH, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+            keep, sigs, sizes, keys = [], [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                w = words(t) if t else ()
+                if len(w) < least:
+                    continue
+                s = runs_of(w, width)
+                keep.append(i)
+                sigs.append(signature(s))
+                sizes.append(len(s))
+                keys.append(band_keys(s, rows, bands))
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            ends = pa.array(np.arange(len(keep) + 1) * bands, pa.int32())
+            take = pa.array(keep, pa.int64())
+            cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, names=["index", "collected_at", "sig", "n", "bands"])
+
+    fields = [df.schema["index"], df.schema["collected_at"], T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return df.where("index is not null").select("index", "collected_at", "code").mapInArrow(run, T.StructType(fields))
+
+
+def overlap_classes(
+    train: DataFrame, held_out: DataFrame, *, num: int = NUM, den: int = DEN, width: int = WIDTH, least: int = LEAST, rows: int = ROWS, bands: int = BANDS, common: int = COMMON
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(train members(index, rep), held-out members(index, rep), pairs(train_rep, eval_rep))``.
 
     ``train(index, code, collected_at)`` and ``held_out`` likewise, ``index`` unique over both apart
     from redelivered rows, of which the last counts. Equal sets are collapsed on each side before the
     buckets are joined. Null indexes, null codes and programs below ``least`` words have no pair.
+    In a bucket, pairs whose sizes alone rule them out are never made; a hot bucket is split among
+    tasks by the join, as both its sides may be large.
     """
     sides = []
     for df in (train, held_out):
-        sets = written(text_sets(df.where("index is not null"), ["index", "collected_at"], "code", width=width, least=least))
-        members, heads = classes(sets, "index", "collected_at")
-        heads = written(heads)
-        sides.append((written(members), heads, buckets(heads)))
+        marks = written(signed(df, width=width, least=least, rows=rows, bands=bands))
+        members, heads = classes(marks, "index", "collected_at", ("sig", "n", "bands"))
+        members, heads = written(members), written(heads)
+        dropped(marks)
+        sides.append((members, heads, heads.select("rep", "n", F.explode("bands").alias("bucket"))))
     (tm, th, tb), (em, eh, eb) = sides
-    met = tb.withColumnRenamed("rep", "train_rep").join(eb.withColumnRenamed("rep", "eval_rep"), "bucket").select("train_rep", "eval_rep").distinct()
-    a = th.select(F.col("rep").alias("train_rep"), F.col("n").alias("n_t"), F.col("shingles").alias("s_t"))
-    b = eh.select(F.col("rep").alias("eval_rep"), F.col("n").alias("n_e"), F.col("shingles").alias("s_e"))
-    # sizes alone rule out many candidates before any set moves
-    sized = met.join(a.select("train_rep", "n_t"), "train_rep").join(b.select("eval_rep", "n_e"), "eval_rep")
-    sized = sized.where((F.least("n_t", "n_e") * den >= F.greatest("n_t", "n_e") * num)).select("train_rep", "eval_rep")
-    both = sized.join(a, "train_rep").join(b, "eval_rep")
-    common = F.size(F.array_intersect("s_t", "s_e"))
-    pairs = both.select("train_rep", "eval_rep", common.alias("o"), (F.col("n_t") + F.col("n_e")).alias("n")).where(F.col("o") * (num + den) >= F.col("n") * num)
-    return tm, em, written(pairs.select("train_rep", "eval_rep"))
+    b = eb.select(F.col("rep").alias("eval_rep"), F.col("n").alias("m"), "bucket")
+    met = tb.withColumnRenamed("rep", "train_rep").join(shuffled(b), "bucket").where(F.least("n", "m") * den >= F.greatest("n", "m") * num)
+    met = met.groupBy("train_rep", "eval_rep").agg(F.count("*").alias("shared")).where(F.col("shared") >= common)
+    met = written(met.select("train_rep", "eval_rep"))
+    both = met
+    for df, heads, rep, n, s in ((train, th, "train_rep", "n_t", "s_t"), (held_out, eh, "eval_rep", "n_e", "s_e")):
+        # the delivery of a candidate that its class stands for is the one with its signature
+        chosen = heads.join(shuffled(met.select(F.col(rep).alias("rep")).distinct()), "rep").select(F.col("rep").alias("index"), "sig")
+        texts = df.join(shuffled(chosen.select("index")), "index", "left_semi")
+        sets = text_sets(texts, ["index"], "code", width=width, least=least).join(shuffled(chosen), ["index", "sig"], "left_semi").dropDuplicates(["index"])
+        both = both.join(shuffled(sets.select(F.col("index").alias(rep), F.col("n").alias(n), F.col("shingles").alias(s))), rep)
+    overlap = F.size(F.array_intersect("s_t", "s_e"))
+    pairs = both.select("train_rep", "eval_rep", overlap.alias("o"), (F.col("n_t") + F.col("n_e")).alias("n")).where(F.col("o") * (num + den) >= F.col("n") * num)
+    pairs = written(pairs.select("train_rep", "eval_rep"))
+    dropped(th, eh)
+    return tm, em, pairs
 
 
 def overlaps(train: DataFrame, valid: DataFrame, test: DataFrame, **how) -> DataFrame:
@@ -84,10 +111,10 @@ def overlaps(train: DataFrame, valid: DataFrame, test: DataFrame, **how) -> Data
     held = valid.select(*cols).union(test.select(*cols))
     tm, em, pairs = overlap_classes(train.select(*cols), held, **how)
     which = valid.select("index", F.lit("valid").alias("split")).union(test.select("index", F.lit("test").alias("split"))).where("index is not null").distinct()
-    em = em.join(which, "index")
+    em = em.join(shuffled(which), "index")
     left = tm.select(F.col("index").alias("train_index"), F.col("rep").alias("train_rep"))
     right = em.select(F.col("index").alias("eval_index"), "split", F.col("rep").alias("eval_rep"))
-    return pairs.join(left, "train_rep").join(right, "eval_rep").select("split", "train_index", "eval_index")
+    return pairs.join(shuffled(left), "train_rep").join(shuffled(right), "eval_rep").select("split", "train_index", "eval_index")
 
 
 def report(train: DataFrame, valid: DataFrame, test: DataFrame, **how) -> DataFrame:

@@ -72,7 +72,8 @@ def leaves_of(tokens: np.ndarray, parents: np.ndarray | None, descendants: np.nd
     return tokens
 
 
-def _signature(h: np.ndarray) -> bytes:
+def signature(h: np.ndarray) -> bytes:
+    """A digest that is equal exactly for equal sets."""
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
@@ -90,7 +91,7 @@ def _emit(keys: list[pa.Array], names: list[str], sets: list[np.ndarray | None])
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in full])]).astype(np.int32)
     flat = np.concatenate(full) if full else np.zeros(0, np.int64)
     arrays = [k.take(take) for k in keys]
-    arrays += [pa.array([_signature(s) for s in full], pa.binary()), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+    arrays += [pa.array([signature(s) for s in full], pa.binary()), pa.array(np.diff(offsets), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
     return pa.RecordBatch.from_arrays(arrays, names=[*names, "sig", "n", "shingles"])
 
 
@@ -135,17 +136,17 @@ def tree_sets(df: DataFrame, keys: list[str], *, width: int, least: int, first_i
     return df.select(*keys, "tokens", "parents", "descendants").mapInArrow(run, schema)
 
 
-def classes(sets: DataFrame, key: str, newest: str | None) -> tuple[DataFrame, DataFrame]:
-    """Collapse equal sets: ``(members(key, rep), heads(rep, n, shingles))``.
+def classes(sets: DataFrame, key: str, newest: str | None, carried: tuple[str, ...] = ("n", "shingles")) -> tuple[DataFrame, DataFrame]:
+    """Collapse equal sets: ``(members(key, rep), heads(rep, carried...))``.
 
     One row per key in members; of several deliveries of a key the one with the greatest ``newest``
     counts. ``rep`` is the smallest key of the class. Only signatures are shuffled to find the
-    classes; each class's set moves once.
+    classes; what heads carry moves once for each class.
     """
     light = sets.select(key, "sig", *([newest] if newest else []))
     order = F.struct(newest, "sig") if newest else F.struct("sig")
     live = light.groupBy(key).agg(F.max_by("sig", order).alias("sig"))
     reps = live.groupBy("sig").agg(F.min(key).alias("rep"))
     members = live.join(shuffled(reps), "sig").select(key, "rep")
-    heads = sets.select("sig", "n", "shingles").dropDuplicates(["sig"]).join(shuffled(reps), "sig").select("rep", "n", "shingles")
+    heads = sets.select("sig", *[c for c in carried if c != "sig"]).dropDuplicates(["sig"]).join(shuffled(reps), "sig").select("rep", *carried)
     return members, heads
