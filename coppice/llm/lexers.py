@@ -45,13 +45,14 @@ _MARK = '"'
 
 
 def _pattern(lang: str) -> re.Pattern:
-    skip = rf"(?P<SKIP>[ \t\f\v\r\ufeff\u00a0]+|\\\r?\n|//[^\n]*|{_BLOCK})"
+    skip = rf"(?P<SKIP>\\\r?\n|//[^\n]*|{_BLOCK})"
     name = r"(?P<NAME>(?:[^\W\d]|\$)[\w$]*)" if lang in ("java", "javascript") else rf"(?P<NAME>{_NAME})"
     # an unclosed comment is an error of its own
-    return re.compile(rf"(?P<NL>\n)|{skip}|(?P<OPEN>/\*)|{_STRINGS[lang]}|(?P<NUM>{_NUMBER})|{name}|(?P<SIGN>{_signs(SIGNS[lang])})")
+    return re.compile(rf"[ \t\f\v\r\ufeff\u00a0]*(?:(?P<NL>\n)|{skip}|(?P<OPEN>/\*)|{_STRINGS[lang]}|(?P<NUM>{_NUMBER})|{name}|(?P<SIGN>{_signs(SIGNS[lang])})|(?P<END>\Z))")
 
 
 _patterns: dict[str, re.Pattern] = {}
+_SPACE = re.compile(r"[ \t\f\v\r\ufeff\u00a0]*")
 _keywords = {lang: frozenset(words.split()) for lang, words in KEYWORDS.items()}
 #: After these a slash begins a regular expression in JavaScript.
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
@@ -93,6 +94,7 @@ def _braces(text: str, lang: str) -> Tokens:
         m = match(text, at)
         if not m:
             # an unclosed string or a strange character
+            at = _SPACE.match(text, at).end()
             out.add("ERROR", text[at], at, nl)
             at += 1
             nl = False
@@ -100,14 +102,16 @@ def _braces(text: str, lang: str) -> Tokens:
         kind = m.lastgroup
         if kind == "d":
             kind = "STR"
-        start, at = at, m.end()
+        start, at = m.start(kind), m.end()
+        if kind == "END":
+            break
         if kind == "NL":
             if go and kinds and not nl and (kinds[-1] in ends or texts[-1] in _GO_ENDS):
                 out.add("SIGN", ";", start, False)
             nl = True
             continue
         if kind == "SKIP":
-            if text[start] == "/" and text[start + 1] == "*" and "\n" in m[0]:
+            if text.startswith("/*", start) and "\n" in m[kind]:
                 if go and kinds and not nl and (kinds[-1] in ends or texts[-1] in _GO_ENDS):
                     out.add("SIGN", ";", start, False)
                 nl = True
@@ -124,7 +128,7 @@ def _braces(text: str, lang: str) -> Tokens:
                 breaks.append(nl)
                 at, nl = r.end(), False
                 continue
-        word = m[0]
+        word = m[kind]
         if kind == "NAME":
             if word in words:
                 kind = "KEYWORD"
@@ -146,10 +150,10 @@ _GO_ENDS = frozenset("break continue fallthrough return ++ -- ) ] }".split())
 _DIRECTIVES = frozenset("include include_next import define undef if ifdef ifndef elif elifdef elifndef else endif line error warning pragma ident assert unassert embed sccs".split())
 
 _PY = re.compile(
-    r"(?P<NL>\r?\n|\r)|(?P<SKIP>[ \t\f]+|\\\r?\n|\#[^\r\n]*)"
+    r"[ \t\f]*(?:(?P<NL>\r?\n|\r)|(?P<SKIP>\\\r?\n|\#[^\r\n]*)"
     r"|(?P<STR>(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|(?!\"\"\"|''')(?:\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*')))"
     r"|(?P<NUM>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:[0-9](?:_?[0-9])*(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?)(?P<stuck>[^\W\d]\w*)?"
-    rf"|(?P<NAME>{_NAME})|(?P<SIGN>{_signs(SIGNS['python'])}|!=)"
+    rf"|(?P<NAME>{_NAME})|(?P<SIGN>{_signs(SIGNS['python'])}|!=)|(?P<END>\Z))"
 )
 _INDENT = re.compile(r"[ \t\f]*")
 _OPENING, _CLOSING = frozenset("([{"), {")": "(", "]": "[", "}": "{"}
@@ -192,12 +196,16 @@ def _python(text: str) -> Tokens:
             break
         m = _PY.match(text, at)
         if not m:
+            at = _INDENT.match(text, at).end()
             out.add("ERROR", text[at], at, False)
             at += 1
             continue
-        kind, start, at = m.lastgroup, at, m.end()
+        kind = m.lastgroup
         if kind == "stuck":
             kind = "NUM"
+        start, at = m.start(kind), m.end()
+        if kind == "END":
+            break
         if kind == "NL":
             if not stack:
                 out.add("NEWLINE", "", start, False)
@@ -205,7 +213,7 @@ def _python(text: str) -> Tokens:
             continue
         if kind == "SKIP":
             continue
-        word = m[0]
+        word = m[kind]
         if kind == "NAME":
             kind = "KEYWORD" if word in words else "NAME"
         elif kind == "SIGN":

@@ -109,7 +109,7 @@ class Grammar:
         self.C: list[int] = []
         self.NL: list[bool] = []
         self.far = [0]
-        self.classes: dict[tuple[str, str | None], int] = {}
+        self.by_kind: dict[str, tuple[dict[str, int], int]] = {}
         self.members: list[tuple[str, str | None]] = []
         self.memos: list[dict[int, int]] = []
         self._firsts()
@@ -160,6 +160,13 @@ class Grammar:
                 return got, False
         return got, True
 
+    def _add_kind(self, kind: str) -> None:
+        """Number the classes of a kind's tokens: one for each text the grammar names, one for all others."""
+        at = len(self.members)
+        texts = {t: at + 1 + i for i, t in enumerate(sorted(self.literals))}
+        self.members += [(kind, None), *((kind, t) for t in texts)]
+        self.by_kind[kind] = (texts, at)
+
     def _starts(self, node: tuple, c: int) -> bool:
         firsts, empty = self._first(node)
         kind, text = self.members[c]
@@ -168,6 +175,9 @@ class Grammar:
     def _rule(self, name: str) -> Callable[[int], int]:
         if name in self.made:
             return self.made[name]
+        if self._flat(self.rules[name]):
+            self.made[name] = self._make(self.rules[name])
+            return self.made[name]
         memo: dict[int, int] = {}
         self.memos.append(memo)
         body: list[Callable[[int], int]] = []
@@ -182,6 +192,11 @@ class Grammar:
         body.append(self._make(self.rules[name]))
         return run
 
+    def _flat(self, node: tuple) -> bool:
+        """Whether a rule looks at a fixed number of tokens only: to remember that costs more than to look."""
+        parts = [y for x in node[1:] for y in (x if isinstance(x, list) else [x]) if isinstance(y, tuple)]
+        return node[0] not in ("rule", "star", "plus") and all(self._flat(y) for y in parts)
+
     def _make(self, node: tuple) -> Callable[[int], int]:
         op, far = node[0], self.far
         if op == "lit":
@@ -227,6 +242,20 @@ class Grammar:
             can: dict[int, bool] = {}
             starts = self._starts
 
+            if op == "opt" and inner[0] in ("lit", "kind"):
+
+                def token(p: int) -> int:
+                    c = C[p]
+                    ok = can.get(c)
+                    if ok is None:
+                        ok = can[c] = starts(inner, c)
+                    if ok:
+                        return p + 1
+                    if p > far[0]:
+                        far[0] = p
+                    return p
+
+                return token
             if op == "opt":
 
                 def opt(p: int) -> int:
@@ -283,14 +312,19 @@ class Grammar:
 
             return seq
         options = [(x, self._make(x)) for x in node[1]]
-        table: dict[int, tuple] = {}
+        table: dict[int, tuple | None] = {}
         starts = self._starts
 
         def alt(p: int) -> int:
             c = C[p]
-            fs = table.get(c)
+            if c in table:
+                fs = table[c]
+            else:
+                fit = [(x, f) for x, f in options if starts(x, c)]
+                # a token that the first fitting alternative is made of decides at once
+                fs = table[c] = None if fit and fit[0][0][0] in ("lit", "kind") else tuple(f for _, f in fit)
             if fs is None:
-                fs = table[c] = tuple(f for x, f in options if starts(x, c))
+                return p + 1
             for f in fs:
                 q = f(p)
                 if q >= 0:
@@ -307,15 +341,10 @@ class Grammar:
         self.K[:] = [*tokens.kinds, "EOF"]
         self.T[:] = [*tokens.texts, ""]
         self.NL[:] = [*tokens.nl, True]
-        lits, classes, members = self.literals, self.classes, self.members
-        C = []
-        for k, t in zip(self.K, self.T):
-            key = (k, t if t in lits else None)
-            c = classes.get(key)
-            if c is None:
-                c = classes[key] = len(members)
-                members.append(key)
-            C.append(c)
+        by_kind = self.by_kind
+        for k in set(self.K).difference(by_kind):
+            self._add_kind(k)
+        C = [texts.get(t, other) for (texts, other), t in zip([by_kind[k] for k in self.K], self.T)]
         self.C[:] = C
         for m in self.memos:
             m.clear()

@@ -54,9 +54,10 @@ def recognise(text: str, lang: str) -> tuple[bool, int, str | None]:
 def diagnose(text: str | None, lang: str | None) -> tuple[bool | None, int | None, int | None, str | None]:
     """``(valid, offset, line, cause)`` of a file. Null text and languages without a grammar give nulls.
 
-    Causes: ``conflict`` (a merge conflict's marker begins the line of the failure or one nearby),
-    ``language`` (another language's grammar takes the whole text), ``truncated`` (all was well up to
-    the end), ``unclosed`` (a comment or a string that never ends) and ``syntax``.
+    Causes, the first that applies: ``conflict`` (a merge conflict's marker begins the line of the
+    failure or one nearby), ``truncated`` (all was well up to the end), ``unclosed`` (a comment or a
+    string that never ends), ``language`` (another language's grammar takes the whole text; these
+    grammars are tried for such failures only) and ``syntax``.
     """
     if text is None or lang not in languages():
         return None, None, None, None
@@ -67,12 +68,12 @@ def diagnose(text: str | None, lang: str | None) -> tuple[bool | None, int | Non
     start = text.rfind("\n", 0, max(0, at)) + 1
     if any(start - 400 <= m.start() <= at + 400 for m in _CONFLICT.finditer(text)):
         cause = "conflict"
-    elif any(recognise(text, x)[0] for x in languages() if x != lang):
-        cause = "language"
     elif kind == "EOF" or not text[at:].strip():
         cause = "truncated"
     elif kind == "ERROR" and text[at : at + 1] in "/\"'`":
         cause = "unclosed"
+    elif any(recognise(text, x)[0] for x in languages() if x != lang):
+        cause = "language"
     else:
         cause = "syntax"
     return False, at, line, cause
