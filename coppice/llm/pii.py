@@ -8,6 +8,7 @@ overlapping spans the better one. Texts are searched whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,8 +109,13 @@ ID_FORMS = (
 )
 
 
+#: All number forms but the last hold six digits with at most four signs after each; a text without
+#: such a run has none of them (tested for every form).
+DIGITS = re.compile(r"(?:\d[ .\-/()‑ A-Z]{0,4}){6}")
+
+
 def _ids(text: str) -> Iterator[Span]:
-    for form, valid, good, poor in ID_FORMS:
+    for form, valid, good, poor in ID_FORMS if DIGITS.search(text) else ID_FORMS[-1:]:
         for m in form.finditer(text):
             bare = re.sub(r"[ ./-]", "", m[0])
             score = good if valid is None or valid(bare) else poor
@@ -138,6 +144,8 @@ PHONE_FORMS = (
 
 
 def _phones(text: str) -> Iterator[Span]:
+    if not DIGITS.search(text):
+        return
     for form, least, most, score in PHONE_FORMS:
         for m in form.finditer(text):
             if least <= sum(c.isdigit() for c in m[0]) <= most:
@@ -178,23 +186,32 @@ ADDRESS_FR = re.compile(rf"(?<![\w.-])\d{{1,4}}(?: ?(?:bis|ter|[A-D]))?,? (?:rue
 ADDRESS_ES = re.compile(rf"(?<![\w.-])(?:Calle|C/|C\.|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|P\.º|Camino|Carretera|Ronda|Travesía|Callejón)(?: (?:de la|de los|de las|del|de))? ?{_C}(?: (?:(?:de la|de los|de las|del|de|y) )?{_C}){{0,3}},? (?:n\.?º ?)?\d{{1,4}}(?: ?[A-Za-z]\b)?(?:, ?\d{{1,2}}\.?[ºª](?: ?[A-Za-z])?)?(?![\w])(?:,? {_ZIP} {_CITY})?")
 
 
+#: What every address of a form contains; only texts that do are searched with the form itself.
+ADDRESS_FORMS = (
+    (re.compile(r"\d[A-Za-z]? [A-ZÀ-ÖØ-Þ]"), ADDRESS_EN),
+    (re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm) \d|\d ?[a-z]?,? (?:[A-Z]{1,2}-)?\d{4,5} [A-ZÀ-ÖØ-Þ]"), ADDRESS_DE),
+    (re.compile(r"\d(?: ?(?:bis|ter|[A-D]))?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours|square|passage|sentier) "), ADDRESS_FR),
+    (re.compile(r"Calle|C/|C\.|Avenida|Avda|Av\.|Plaza|Pza|Paseo|P\.º|Camino|Carretera|Ronda|Travesía|Callejón"), ADDRESS_ES),
+)
+
+
 def _addresses(text: str) -> Iterator[Span]:
-    for form in (ADDRESS_EN, ADDRESS_DE, ADDRESS_FR, ADDRESS_ES):
-        for m in form.finditer(text):
-            stop = m.end()
-            yield Span(m.start(), stop, "address", 0.9)
+    for hint, form in ADDRESS_FORMS:
+        if hint.search(text):
+            for m in form.finditer(text):
+                yield Span(m.start(), m.end(), "address", 0.9)
 
 
 # ---------------------------------------------------------------------------- names
-# Common given names of the four languages.
+# Given names that are among the most common of their countries (English, German, French,
+# Spanish). Other names count where words nearby say that a person is named.
 GIVEN_NAMES = frozenset(
-    """Aaron Adam Adele Ahmed Aisha Alan Albert Alex Alexander Alice Alicia Amelia Amir Amy Ana Andrea Andrew Angela Anita Anna Anne Anneliese Antoine Antonio Arthur
-    Beatrice Beatriz Ben Benjamin Bernd Brigitte Bruno Camille Carlos Carmen Caroline Catherine Cédric Charles Charlotte Chen Chloé Chris Claire Clara Claudia Daniel David Diego
-    Dieter Dmitri Edwin Elena Elise Élise Élodie Elizabeth Emily Emma Eric Erik Esther Eva Fatima Felix Fernando Florian Francisco Frank Fritz Gaspard George Grace Greta Hannah Hans
-    Harriet Heike Helen Henri Henry Hugo Ingrid Íñigo Isabel Ivan Jack Jacques James Jan Jana Javier Jean Joaquín Johann John Jorge José Juan Julia Julien Jürgen Karin Käthe Katrin
-    Kofi Laura Léa Lena Lothar Louis Lucas Lucía Luis Mabel Maëlle Manuel Margaret María Marie Marisol Mark Markus Martin Mary Matthew Mei Michael Miguel Mohamed Nadia Nicolas Nina
-    Noémie Nolan Nora Núria Olivia Oscar Otis Pablo Paul Paula Pedro Peter Philippe Pierre Priya Ramón Raquel Rémi Robert Rocío Rosa Ruben Rubén Ruth Sabine Samuel Sara Sarah Sofia
-    Solène Sophie Stefan Susan Thibault Thomas Tomás Tomas Uwe Valentina Werner Wei William Yusuf Álvaro""".split()
+    """James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy Matthew Betty Anthony Sandra Mark Margaret
+    Donald Ashley Steven Kimberly Paul Emily Andrew Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah Edward Stephanie Ronald Rebecca Timothy Laura Jason Helen Jeffrey Sharon Ryan Cynthia
+    Jacob Kathleen Gary Amy Nicholas Shirley Eric Angela Jonathan Anna Stephen Brenda Larry Pamela Justin Emma Scott Nicole Brandon Samantha Benjamin Katherine Samuel Christine Oliver Sophie Harry Olivia Jack Amelia
+    Peter Wolfgang Andreas Klaus Jürgen Stefan Markus Hans Uwe Monika Petra Sabine Ursula Renate Karin Brigitte Ingrid Heike Claudia Gabriele Lukas Leon Lena Hannah Werner Martin Frank Bernd Dieter Günther Jan Julia
+    Jean Pierre Philippe Alain Nicolas Jacques Julien Louis Antoine Camille Marie Nathalie Isabelle Sylvie Catherine Françoise Chloé Léa Manon Claire Élodie Rémi Luc Hugo Gabriel Céline Aurélie Mathieu
+    Antonio José Manuel Francisco Juan Carlos Javier Jesús Miguel Alejandro Pablo Luis María Carmen Ana Isabel Dolores Pilar Teresa Rosa Cristina Lucía Elena Raquel Sofía Marta Pedro Diego Álvaro Beatriz Jorge Ramón""".split()
 )
 _N = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿß]+(?:['’][A-ZÀ-ÖØ-Þ]?[a-zà-öø-ÿ]+)?"
 _GIVEN = rf"{_N}(?:-{_N})?"
@@ -207,6 +224,8 @@ NAME_FORMS = (
     (re.compile(rf"(?<![\w.@/-])(?P<given>[A-ZÀ-ÖØ-Þ]\.(?: ?[A-ZÀ-ÖØ-Þ]\.)?) (?P<family>{_FAMILY})(?![\w@])"), 0.0),
     (re.compile(rf"(?<![\w.@/-])(?P<family>{_FAMILY}), (?P<given>[A-ZÀ-ÖØ-Þ]\.)(?![\w@])"), 0.0),
 )
+#: Two capitalised words of which every form of a name has such a pair.
+PAIR = re.compile(rf"[A-ZÀ-ÖØ-Þ][\w'’.-]*,? {_PARTICLE}[A-ZÀ-ÖØ-Þ]")
 NAME_BEFORE = re.compile(
     r"(?:\b(?:written|reviewed|created|authored|maintained|reported|implemented|designed|fixed|found|signed-off|acked|tested|co-authored|patch|suggested|approved)[ -]by:?|@author:?|\bauthors?:?|\bmaintainers?\s?[:=]|original idea:|\bidea (?:by|of|from):?|copyright(?: \(c\))?(?: ©)? ?(?:\d{4}(?:[-–, ]+\d{4})*)?,?(?: by)?|©(?: ?\d{4})?|\(c\)(?: \d{4})?|todo\(|fixme\(|xxx\(|\bthanks(?: go)? to|\bthank you,?|\bask(?:ed)?|\bcustomer,?|\bclient,?|\bcolleague,?"
     r"|\buser,?|\bcredits?:?(?: to)?|\bfrom:|\bto:|\bcc:|\bcontact(?:o)?:?|\bkontakt:?|\bmet|\btold|\bwith|\bdear|\bhi|\bhello|\bmerci (?:à|a)|\bdanke an|\bdank an|\bgracias a|\bhallo|\bbonjour|\bhola|\b(?:mr|mrs|ms|dr|prof|herr|frau|señora?|sra?|mme|mlle|m)\.?|\bvon|\bpar|\bpor)\s*$",
@@ -235,10 +254,20 @@ class Names:
         return word in NOT_NAMES or word.lower() in self.common
 
     def __call__(self, text: str) -> Iterator[Span]:
+        done = 0
+        for pair in PAIR.finditer(text):
+            if pair.start() >= done:  # names stay within a line, and in a line with such a pair
+                start = text.rfind("\n", 0, pair.start()) + 1
+                done = text.find("\n", pair.end())
+                done = len(text) if done < 0 else done
+                yield from self._line(text, start, done)
+
+    def _line(self, text: str, start: int, stop: int) -> Iterator[Span]:
         for form, base in NAME_FORMS:
-            at = 0
-            while m := form.search(text, at):
-                at = m.start() + 1
+            at = start
+            while m := form.search(text, at, stop):
+                # no other match begins before the next word
+                at = text.find(" ", m.start(), m.end()) + 1
                 given, family = m["given"], m["family"]
                 initial = given.endswith(".")
                 parts = re.split(r"[ -]", family)
@@ -246,17 +275,15 @@ class Names:
                     # the words after this one may still be a name
                     at = m.start("given") + len(given) if m.start("given") == m.start() else m.end("family")
                     continue
-                score = 0.2 + base
-                if not initial and (given in GIVEN_NAMES or given.split("-")[0] in GIVEN_NAMES):
+                score, known = 0.2 + base, not initial and (given in GIVEN_NAMES or given.split("-")[0] in GIVEN_NAMES)
+                if known:
                     score += 0.5
                 if all(self._no_name(p) for p in parts if p[:1].isupper()):
-                    score -= 0.6
-                before = text[max(0, m.start() - BEFORE) : m.start()]
-                before = before[before.rfind("\n") + 1 :]
+                    score -= 0.2 if known else 0.6
+                before = text[max(start, m.start() - BEFORE) : m.start()]
                 if NAME_BEFORE.search(before):
                     score += 0.45
-                after = text[m.end() : m.end() + AFTER]
-                if NAME_AFTER.match(after):
+                if NAME_AFTER.match(text[m.end() : m.end() + AFTER]):
                     score += 0.45
                 if score >= THRESHOLD:
                     at = m.end()
@@ -266,25 +293,22 @@ class Names:
 def spans(text: str, names: Names) -> list[Span]:
     """The spans of personal information of a text, in order and without overlap."""
     found: list[Span] = []
-    for f in (_mails, _addresses, _ids, _phones, names) if DIGITS.search(text) else (_mails, _addresses, names):
-        own = sorted((s for s in f(text) if s.score >= THRESHOLD), key=lambda s: (s.start - s.stop, -s.score, s.start))
-        best: list[Span] = []
-        for s in own:  # of one type, the longest
-            if all(s.stop <= b.start or s.start >= b.stop for b in best):
-                best.append(s)
-        found += best
+    for f in (_mails, _addresses, _ids, _phones, names):
+        # of one type, the longest
+        found += _apart(sorted((s for s in f(text) if s.score >= THRESHOLD), key=lambda s: (s.start - s.stop, -s.score, s.start)))
     found.sort(key=lambda s: (TYPES.index(s.kind) > 1, -round(s.score, 2), s.start - s.stop, TYPES.index(s.kind), s.start))
-    kept: list[Span] = []
-    taken: list[tuple[int, int]] = []
-    for s in found:
-        if all(s.stop <= a or s.start >= b for a, b in taken):
-            kept.append(s)
-            taken.append((s.start, s.stop))
-    return sorted(kept, key=lambda s: s.start)
+    return _apart(found)
 
 
-#: No number of a person is shorter; texts without such a run of digits need no number forms.
-DIGITS = re.compile(r"(?:\d[ .\-/()‑ A-Z]{0,4}){6}")
+def _apart(ranked: list[Span]) -> list[Span]:
+    """The spans, best first, that overlap no better one; in order of their places."""
+    kept: list[Span] = []
+    for s in ranked:
+        k = bisect_left(kept, s.stop, key=lambda x: x.start)  # all after this one begin later
+        if not k or kept[k - 1].stop <= s.start:
+            kept.insert(k, s)
+    return kept
+
 
 FOUND = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("pii_text", T.StringType()), T.StructField("score", T.DoubleType())]))
 
