@@ -2,8 +2,8 @@
 
 Notation: ``rule <- a b / c``; ``'text'`` matches a token by its text, ``KIND`` by its kind, a lower
 case name is a rule; ``* + ? & ! ( )`` as usual; ``~nl`` holds where a line break precedes the token.
-The first alternative that matches is taken. Every rule remembers its result at every position, so
-a text is recognised in linear time. The furthest token at which a match failed is kept.
+The first alternative that matches is taken. Rules that are named more than once and look at more than
+a fixed number of tokens remember their result at every position, so a text is recognised in linear time. The furthest token at which a match failed is kept.
 """
 
 from __future__ import annotations
@@ -101,9 +101,12 @@ class Grammar:
     def __init__(self, source: str):
         self.rules = _read(source)
         self.start = next(iter(self.rules))
-        self.literals = set()
+        self.literals: set[str] = set()
+        #: How often the grammar names each rule; what is named once is never tried twice from one caller,
+        #: whose own results are remembered.
+        self.uses = dict.fromkeys(self.rules, 0) | {self.start: 2}
         for node in self.rules.values():
-            self._literals(node)
+            self._count(node)
         self.T: list[str] = []
         self.K: list[str] = []
         self.C: list[int] = []
@@ -116,15 +119,17 @@ class Grammar:
         self.made: dict[str, Callable[[int], int]] = {}
         self.parse = self._rule(self.start)
 
-    def _literals(self, node: tuple) -> None:
+    def _count(self, node: tuple) -> None:
         if node[0] == "lit":
             self.literals.add(node[1])
+        elif node[0] == "rule":
+            self.uses[node[1]] += 1
         for x in node[1:]:
             if isinstance(x, list):
                 for y in x:
-                    self._literals(y)
+                    self._count(y)
             elif isinstance(x, tuple):
-                self._literals(x)
+                self._count(x)
 
     def _firsts(self) -> None:
         """The tokens that each rule can start with, and whether it can be empty; to a fixed point."""
@@ -175,7 +180,7 @@ class Grammar:
     def _rule(self, name: str) -> Callable[[int], int]:
         if name in self.made:
             return self.made[name]
-        if self._flat(self.rules[name]):
+        if self.uses[name] == 1 or self._flat(self.rules[name]):
             self.made[name] = self._make(self.rules[name])
             return self.made[name]
         memo: dict[int, int] = {}
@@ -302,6 +307,17 @@ class Grammar:
                     return -1 if p < 0 else g(p)
 
                 return two
+            if len(fs) == 3:
+                f, g, h = fs
+
+                def three(p: int) -> int:
+                    p = f(p)
+                    if p < 0:
+                        return -1
+                    p = g(p)
+                    return -1 if p < 0 else h(p)
+
+                return three
 
             def seq(p: int) -> int:
                 for f in fs:
