@@ -85,7 +85,8 @@ def _braces(text: str, lang: str) -> Tokens:
                     open_ifs += 1
                 elif word == "endif":
                     open_ifs -= 1
-                if open_ifs < 0 or (word and word not in _DIRECTIVES):
+                need = _NEEDED.get(word)
+                if open_ifs < 0 or (word and word not in _DIRECTIVES) or (need and not need.match(text, d.end(1))):
                     out.add("ERROR", "#", at, True)
                     open_ifs = max(open_ifs, 0)
                 at = d.end()
@@ -103,6 +104,14 @@ def _braces(text: str, lang: str) -> Tokens:
         if kind == "d":
             kind = "STR"
         start, at = m.start(kind), m.end()
+        if kind == "NAME" or (kind == "SIGN" and not script):
+            word = m[kind]
+            kinds.append("KEYWORD" if kind == "NAME" and word in words else kind)
+            texts.append(word)
+            places.append(start)
+            breaks.append(nl)
+            nl = False
+            continue
         if kind == "END":
             break
         if kind == "NL":
@@ -128,14 +137,8 @@ def _braces(text: str, lang: str) -> Tokens:
                 breaks.append(nl)
                 at, nl = r.end(), False
                 continue
-        word = m[kind]
-        if kind == "NAME":
-            if word in words:
-                kind = "KEYWORD"
-        elif kind != "SIGN":
-            word = _MARK
         kinds.append(kind)
-        texts.append(word)
+        texts.append(m[kind] if kind == "SIGN" else _MARK)
         places.append(start)
         breaks.append(nl)
         nl = False
@@ -147,6 +150,10 @@ def _braces(text: str, lang: str) -> Tokens:
 
 
 _GO_ENDS = frozenset("break continue fallthrough return ++ -- ) ] }".split())
+_WORD_NEXT, _ANY_NEXT = re.compile(r"(?:[ \t]|\\\r?\n|/\*[\s\S]*?\*/)*[A-Za-z_$]"), re.compile(r"(?:[ \t]|\\\r?\n|/\*[\s\S]*?\*/)*(?!//)[^\s]")
+_HEADER_NEXT = re.compile(r"(?:[ \t]|\\\r?\n|/\*[\s\S]*?\*/)*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_$])")
+#: What must follow a directive's name.
+_NEEDED = {"include": _HEADER_NEXT, "include_next": _HEADER_NEXT, "define": _WORD_NEXT, "undef": _WORD_NEXT, "ifdef": _WORD_NEXT, "ifndef": _WORD_NEXT, "if": _ANY_NEXT, "elif": _ANY_NEXT}
 _DIRECTIVES = frozenset("include include_next import define undef if ifdef ifndef elif elifdef elifndef else endif line error warning pragma ident assert unassert embed sccs".split())
 
 _PY = re.compile(
@@ -157,6 +164,7 @@ _PY = re.compile(
 )
 _INDENT = re.compile(r"[ \t\f]*")
 _OPENING, _CLOSING = frozenset("([{"), {")": "(", "]": "[", "}": "{"}
+_LEADING_ZERO = re.compile(r"0[0-9_]*[1-9][0-9_]*")
 #: Keywords that may follow a number without a space.
 _NUMBER_NEXT = frozenset("and else for if in is not or".split())
 
@@ -166,6 +174,7 @@ def _python(text: str) -> Tokens:
     at, n = (1 if text.startswith("﻿") else 0), len(text)
     stack, levels, fresh = [], [0], True
     words = _keywords["python"]
+    kinds, texts, places, breaks, match = out.kinds, out.texts, out.at, out.nl, _PY.match
     while True:
         if fresh and not stack:
             m = _INDENT.match(text, at)
@@ -194,7 +203,7 @@ def _python(text: str) -> Tokens:
             at, fresh = end, False
         if at >= n:
             break
-        m = _PY.match(text, at)
+        m = match(text, at)
         if not m:
             at = _INDENT.match(text, at).end()
             out.add("ERROR", text[at], at, False)
@@ -229,12 +238,15 @@ def _python(text: str) -> Tokens:
                 if not any(m["stuck"].startswith(w) for w in _NUMBER_NEXT):
                     out.add("ERROR", "number", start, False)
                 at -= len(m["stuck"])
-            elif re.fullmatch(r"0[0-9_]*[1-9][0-9_]*", word):
+            elif word[0] == "0" and _LEADING_ZERO.fullmatch(word):
                 out.add("ERROR", "number", start, False)
             word = _MARK
         else:
             word = _MARK
-        out.add(kind, word, start, False)
+        kinds.append(kind)
+        texts.append(word)
+        places.append(start)
+        breaks.append(False)
     if stack:
         out.add("ERROR", "end", n, False)
     if out.kinds and out.kinds[-1] not in ("NEWLINE", "DEDENT", "INDENT"):

@@ -148,7 +148,7 @@ BAD = {
     "javascript": ["function f( {", "const = 1;", "/* open", "import x\nfrom y import z"],
     "java": ["class A { void f() { g( ; } }", "class A {", "def f(): pass"],
     "go": ["package a\nfunc f() {\n", "package a\nx := 1 +\n}", "int f() { return 1; }"],
-    "c": ["int f( { }", "int f() { return 1 }", "std::vector<int> x;", "#if X\nint a;"],
+    "c": ["#include <stdio", "#define\nint a;", "int f( { }", "int f() { return 1 }", "std::vector<int> x;", "#if X\nint a;"],
     "cpp": ["class A {", "int f() { return (1; }", "def f(x):\n    return x"],
 }
 
@@ -386,6 +386,54 @@ def test_redaction_is_reversible(spark):
         assert back == text
 
 
+@pytest.mark.parametrize("form", [f[0] for f in pii.ID_FORMS[:-1]] + [f[0] for f in pii.PHONE_FORMS])
+def test_number_forms_hold_a_run_of_digits(form):
+    rng = random.Random(form.pattern)
+    found = 0
+    for _ in range(4_000):
+        text = "".join(rng.choice("0123456789" * 3 + " .-()/+AXab") for _ in range(rng.randrange(8, 30)))
+        for m in form.finditer(text):
+            if form in [f[0] for f in pii.ID_FORMS] or sum(c.isdigit() for c in m[0]) >= 7:
+                found += 1
+                assert pii.DIGITS.search(text)
+    made = ["1 54 09 99 179 145 91", "23 456 789 012", "964-04-3104", "046 454 286", "QQ 05 25 62 A", "12345678-Z", "X02200965", "+49 (0)30 23125654", "(020) 7946 0144", "617-555-0109", "01 23 45 67 89", "030 1234567", "612 345 678", "612 34 56 78", "555 0199 22", "0301234567", "(617) 555-0109"]
+    for x in made:
+        if form.search(x):
+            found += 1
+            assert pii.DIGITS.search(x)
+    assert found
+
+
+def test_a_form_with_two_digits_is_found_alone():
+    assert [s.kind for s in pii.spans("passport C1BCDEFGH2", pii.Names(frozenset()))] == ["id_number"]
+    many = " ".join(f"tel. 617-555-{k:04d}" for k in range(3000))
+    assert len(pii.spans(many, pii.Names(frozenset()))) == 3000
+
+
+def test_mixing_plans_any_number_of_slots(spark):
+    take = mixing.plan({"a": (10**10, 512 * 10**10), "b": (10**9, 512 * 10**9)}, {"a": (0.9, 1), "b": (0.1, 4)})
+    assert sum(take.values()) > 10**10 and take["a"] <= 10**10 and take["b"] <= 4 * 10**9
+    drawn = mixing.draws(spark, {"a": 60_000, "b": 20_000}).collect()
+    for no in (0, 1):
+        mine = sorted((r["first"], r["count"]) for r in drawn if r["source_no"] == no)
+        assert mine[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:]))
+    assert sum(r["count"] for r in drawn) == 80_000
+
+
+def test_splits_across_all_entities(spark):
+    from coppice.llm.splits import assign_across, crossings
+
+    rows = [("label", "1", ["label=1", "repository=a/b"]), ("label", "2", ["label=1", None]), ("repository", "3", ["repository=a/b"]), ("repository", "4", ["repository=c/d"]), ("repository", "5", [None]), ("label", "1", ["label=1", "repository=e/f"]), ("repository", "6", ["repository=x/y"])]
+    records = spark.createDataFrame(rows, "kind string, record string, nodes array<string>")
+    links = spark.createDataFrame([("e/f", "c/d", "fork")], "repository string, linked_repository string, relation string")
+    out = assign_across(records, links)
+    got = {(r["kind"], r["record"]): (r["root"], r["split"]) for r in out.collect()}
+    assert len(got) == 6 and len({got[k] for k in (("label", "1"), ("label", "2"), ("repository", "3"), ("repository", "4"))}) == 1
+    assert got["repository", "5"][0] != got["repository", "6"][0]
+    assert {r["in_several_splits"] for r in crossings(out, records, links).collect()} == {0}
+    assert assign_across(records.limit(0), links).count() == 0
+
+
 def test_check_digits():
     assert pii.luhn("046454286") and not pii.luhn("046454287")
     assert pii.mod_97("255081416802538") and pii.mod_23("12345678Z") and pii.mod_11_10("86095742719")
