@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coppice.functions.uniform import uniform
+
 
 def bucket(size: Column, longest: int, buckets: int) -> Column:
     """The bucket of a size: even widths, the rest in the last."""
@@ -34,8 +36,8 @@ def batched(df: DataFrame, keys: list[str], size: str, order: list[str], *, budg
     cut into batches of at most ``budget`` padded tokens.
 
     ``size`` may be a pair through ``sizes`` (source and target): then there is a grid of buckets, and
-    the longer of both counts. Sizes of 0 or null are dropped, sizes above ``longest`` too (see
-    :func:`oversized`). ``shards`` splits a bucket by a hash of the order columns, so that no bucket
+    the longer of both counts. Sizes of 0 or null are dropped. A size above ``longest`` is an error, as
+    no batch can hold it; set such samples aside with :func:`oversized` first. ``shards`` splits a bucket by a hash of the order columns, so that no bucket
     is one task; each shard has its own last, underfull batch. ``even``, by default ``longest``, is
     divided evenly among the buckets; the last one holds what is above it.
     """
@@ -44,8 +46,9 @@ def batched(df: DataFrame, keys: list[str], size: str, order: list[str], *, budg
     parts = sizes or [size]
     known = df
     for k, s in enumerate(parts):
-        known = known.where((F.col(s) > 0) & (F.col(s) <= longest)).withColumn(f"bucket{k}", bucket(F.col(s), even or longest, buckets))
-    known = known.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")).withColumn("__size", F.greatest(*parts) if len(parts) > 1 else F.col(parts[0]))
+        fits = F.when(F.col(s) <= longest, F.col(s)).otherwise(F.raise_error(F.lit(f"{s} above {longest}, the longest sample of a batch")).cast("int"))
+        known = known.where(F.col(s) > 0).withColumn(f"bucket{k}", bucket(fits, even or longest, buckets))
+    known = known.withColumn("shard", F.floor(uniform(0, "shard", *[F.col(o) for o in order]) * shards).cast("int")).withColumn("__size", F.greatest(*parts) if len(parts) > 1 else F.col(parts[0]))
     group = [*keys, *[f"bucket{k}" for k in range(len(parts))], "shard"]
     schema = T.StructType([f for f in known.schema.fields if f.name != "__size"] + [T.StructField("batch", T.IntegerType())])
 
@@ -57,9 +60,9 @@ def batched(df: DataFrame, keys: list[str], size: str, order: list[str], *, budg
     return known.groupBy(*group).applyInArrow(run, schema)
 
 
-def oversized(df: DataFrame, size: str, longest: int) -> DataFrame:
-    """The samples that no batch can hold."""
-    return df.where(F.col(size) > longest)
+def oversized(df: DataFrame, size: str, longest: int) -> tuple[DataFrame, DataFrame]:
+    """``(samples that a batch can hold, samples that none can)``; null sizes are in neither."""
+    return df.where(F.col(size) <= longest), df.where(F.col(size) > longest)
 
 
 def batch_report(batches: DataFrame, group: list[str], size: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from coppice.functions.uniform import uniform
 
@@ -124,45 +124,70 @@ def dedented(code: Column, spaces: int) -> Column:
     return F.regexp_replace(code, rf"(?m)^ {{1,{spaces}}}", "")
 
 
-def exploded(df: DataFrame, key: str, tokens: str = "data") -> DataFrame:
-    """``key, pos, token``, places from 0."""
-    return df.select(key, F.posexplode(tokens).alias("pos", "token"))
-
-
-def runs(long: DataFrame, key: str, value: str = "token", pos: str = "pos") -> DataFrame:
-    """``key, start, length, value`` of each run of equal neighbouring values."""
-    order = W.partitionBy(key).orderBy(pos)
-    new = F.when(F.lag(value).over(order).eqNullSafe(F.col(value)) & (F.row_number().over(order) > 1), 0).otherwise(1)
-    numbered = long.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order))
-    return numbered.groupBy(key, "__run").agg(F.min(pos).alias("start"), F.count("*").cast("int").alias("length"), F.first(value).alias("value")).drop("__run")
-
-
-def random_mask(long: DataFrame, key: str, p: float, seed: int, op: str = "mask_random", protected: Column | None = None) -> DataFrame:
-    """``key, pos, token, masked``: each token masked with probability p, protected places never."""
-    m = uniform(seed, op, F.col(key), F.col("pos")) < p
-    return long.withColumn("masked", m if protected is None else m & ~protected)
-
-
-def source_and_target(masked: DataFrame, key: str, masks: list[int] | range) -> DataFrame:
-    """``key, source, target`` of rows ``key, pos, token, masked``: each masked run becomes the next mask
-    token in the source and, behind that token, a segment of the target. Rows without a masked run
-    are left out; more runs than mask tokens are an error."""
-    order = W.partitionBy(key).orderBy("pos")
-    new = F.when(F.coalesce(F.lag("masked").over(order) == F.col("masked"), F.lit(False)), 0).otherwise(1)
-    numbered = masked.withColumn("__new", new)
-    numbered = numbered.withColumn("__m", F.sum(F.when(F.col("masked"), F.col("__new")).otherwise(0)).over(order))
-    if isinstance(masks, range):  # consecutive ids need no table
-        nth = (F.lit(masks.start) + F.col("__m") - 1).cast("int")
-    else:
-        nth = F.element_at(F.array(*[F.lit(m) for m in masks]), F.greatest(F.col("__m"), F.lit(1)).cast("int"))
-    mask = F.when(F.col("__m") > len(masks), F.raise_error(F.lit("more masked runs than mask tokens")).cast("int")).otherwise(nth)
-    first = F.col("masked") & (F.col("__new") == 1)
-    rows = numbered.select(key, "pos", "token", "masked", first.alias("first"), F.when(F.col("masked"), mask).alias("mask"))
-    s = F.when(~F.col("masked"), F.col("token")).when(F.col("first"), F.col("mask"))
-    t = F.when(F.col("first"), F.array("mask", "token")).when(F.col("masked"), F.array("token"))
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", s.alias("s"), t.alias("t")))).alias("r"), F.max("masked").alias("any")).where("any")
-    keep = lambda f: F.filter(F.transform("r", lambda x: x[f]), lambda x: x.isNotNull())
-    return packed.select(key, keep("s").alias("source"), F.flatten(keep("t")).alias("target"))
+def let(value: Column, fn) -> Column:
+    """``fn(value)``, where the value is computed once however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: the planner copies a costly expression into every
+    filter and column that uses it, but not through a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def array_runs(values: Column) -> Column:
+    """``start, length, value`` of each run of equal neighbouring values of an array, nulls equal; places
+    from 0. An empty array has no runs, null gives null."""
+
+    def ends(v: Column) -> Column:
+        at = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(at, lambda i: (i == 0) | ~F.get(v, i).eqNullSafe(F.get(v, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(i.alias("start"), (F.coalesce(F.get(s, k + 1), F.size(v)) - i).alias("length"), F.get(v, i).alias("value"))))
+
+    return F.when(values.isNotNull(), let(values, ends))
+
+
+def random_mask(tokens: Column, key: Column, p: float, seed: int, op: str = "mask_random", protected=None) -> Column:
+    """For each token whether it is masked: with probability p, tokens for which ``protected`` holds never."""
+    draw = lambda i: uniform(seed, op, key, i) < p
+    return F.transform(tokens, lambda t, i: draw(i) if protected is None else draw(i) & ~protected(t))
+
+
+def source_and_target(tokens: Column, masked: Column, masks: list[int] | range) -> Column:
+    """A struct of source and target: each run of masked tokens becomes the next mask token in the source
+    and, behind that token, a segment of the target. Null without a masked run; more runs than mask
+    tokens are an error. The array is never taken apart into rows."""
+
+    def mask(k: Column) -> Column:
+        if isinstance(masks, range):  # consecutive ids need no table
+            return (F.lit(masks.start) + k).cast("int")
+        return F.element_at(F.array(*[F.lit(m) for m in masks]), (k + 1).cast("int"))
+
+    def build(b: Column) -> Column:
+        t, m, runs = b["t"], b["m"], b["r"]
+        target = F.flatten(F.transform(runs, lambda r, k: F.concat(F.array(mask(k)), F.slice(t, r["start"] + 1, r["length"]))))
+        place = let(F.transform(runs, lambda r: r["start"]), lambda s: F.transform(t, lambda x, i: F.when(~F.get(m, i), x).when((i == 0) | ~F.get(m, i - 1), mask(F.array_position(s, i) - 1))))
+        return F.struct(F.filter(place, lambda x: x.isNotNull()).alias("source"), target.alias("target"))
+
+    hidden = F.filter(array_runs(masked), lambda r: r["value"])
+    bound = F.struct(tokens.alias("t"), masked.alias("m"), hidden.alias("r"))
+    many = F.raise_error(F.lit("more masked runs than mask tokens")).cast("boolean")
+    some = lambda b: F.when(F.size(b["r"]) > len(masks), many).otherwise(F.size(b["r"]) > 0)
+    return let(bound, lambda b: F.when(some(b), build(b)))
+
+
+def text_of(tokens: Column, words: Column) -> Column:
+    """The texts of the tokens, joined; ``words`` an array of texts by id. Unknown ids are left out."""
+    return F.array_join(F.transform(tokens, lambda t: F.get(words, t)), "")
+
+
+def words_by_id(vocabulary: DataFrame) -> Column:
+    """The texts of a vocabulary (``token_id, token``; a fixed table) as a constant array by id."""
+    rows = vocabulary.where("token_id >= 0 and token is not null").collect()
+    words: list[str | None] = [None] * (1 + max((r["token_id"] for r in rows), default=-1))
+    for r in rows:
+        words[r["token_id"]] = r["token"]
+    return F.from_json(F.lit(json.dumps(words)), "array<string>")
 
 
 def span_masked(tokens: Column, share: float, u: Column, mask: int) -> Column:

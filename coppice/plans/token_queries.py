@@ -46,11 +46,9 @@ def whitespace_files(spark, folder):
 
 def token_text(spark, folder):
     """Length and checksum of every file's text, by looking up its tokens."""
-    long = X.exploded(_data(spark, folder), "file_id").withColumnRenamed("token", "token_id")
-    words = long.join(F.broadcast(table(spark, folder, "vocabulary")), "token_id")
-    packed = words.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
-    text = F.array_join(F.col("w.token"), "")
-    return packed.select("file_id", F.length(text).alias("chars"), F.md5(text).alias("checksum"))
+    d = _data(spark, folder).select("file_id", "data", X.words_by_id(table(spark, folder, "vocabulary")).alias("words"))
+    text = X.once(d.where(F.exists("data", lambda t: F.get("words", t).isNotNull())), "text", X.text_of(F.col("data"), F.col("words")))
+    return text.select("file_id", F.length("text").alias("chars"), F.md5("text").alias("checksum"))
 
 
 def truncate_tokens(spark, folder):
@@ -96,15 +94,20 @@ def padded_sequences(spark, folder):
 
 def token_runs(spark, folder):
     """Runs of equal tokens of length 2 or more."""
-    return X.runs(X.exploded(_data(spark, folder), "file_id"), "file_id").where("length > 1")
+    long = F.filter(X.array_runs(F.col("data")), lambda r: r["length"] > 1)
+    return _data(spark, folder).select("file_id", F.explode(long).alias("r")).select("file_id", "r.start", "r.length", "r.value")
+
+
+def _masked_pairs(spark, folder, p, op, protected=None):
+    """``file_id, p.source, p.target`` of every file with a masked token."""
+    drawn = X.once(_data(spark, folder).select("file_id", "data"), "m", X.random_mask(F.col("data"), F.col("file_id"), p, SEED, op, protected))
+    return X.once(drawn, "p", X.source_and_target(F.col("data"), F.col("m"), MASKS)).where("p is not null").select("file_id", "p")
 
 
 def mask_bernoulli(spark, folder):
     """Tokens masked at random, one in eight; fold tokens never."""
-    long = X.exploded(_data(spark, folder), "file_id")
-    masked = X.random_mask(long, "file_id", 0.125, SEED, protected=F.col("token") == 1177)
-    out = X.source_and_target(masked, "file_id", MASKS)
-    return out.select("file_id", F.md5(_joined(F.col("source"))).alias("source"), F.md5(_joined(F.col("target"))).alias("target"), F.size("source").alias("n_source"), F.size("target").alias("n_target"))
+    out = _masked_pairs(spark, folder, 0.125, "mask_random", lambda t: t == 1177)
+    return out.select("file_id", F.md5(_joined(F.col("p.source"))).alias("source"), F.md5(_joined(F.col("p.target"))).alias("target"), F.size("p.source").alias("n_source"), F.size("p.target").alias("n_target"))
 
 
 def mask_token_span(spark, folder):
@@ -116,10 +119,8 @@ def mask_token_span(spark, folder):
 
 def pair_truncate(spark, folder):
     """Masked pairs cut to 300 source tokens."""
-    masked = X.random_mask(X.exploded(_data(spark, folder), "file_id"), "file_id", 0.01, SEED, "pair_truncate")
-    pairs = X.source_and_target(masked, "file_id", MASKS)
-    masks = F.filter("source", lambda t: t >= MASKS[0])
-    cut = pairs.withColumn("masks", masks).withColumn("c", X.truncated_pair(F.col("source"), F.col("target"), 300, F.col("masks"))).where("c is not null")
+    pairs = _masked_pairs(spark, folder, 0.01, "pair_truncate").select("file_id", "p.source", "p.target", F.filter("p.source", lambda t: t >= MASKS[0]).alias("masks"))
+    cut = X.once(pairs, "c", X.truncated_pair(F.col("source"), F.col("target"), 300, F.col("masks"))).where("c is not null")
     return cut.select("file_id", F.size("c.source").alias("n_source"), F.md5(_joined(F.col("c.target"))).alias("target"))
 
 
@@ -165,7 +166,7 @@ def bucket_batches(spark, folder):
 
 def language_batches(spark, folder):
     longest = _longest(spark, folder, 10)
-    b = B.batched(_sized(spark, folder), ["lang"], "size", ["file_id"], budget=max(32_000, longest), longest=longest, buckets=10, even=4_000)
+    b = B.batched(_sized(spark, folder), ["lang"], "size", ["file_id"], budget=max(32_000, longest), longest=longest, buckets=10, even=4_000, shards=4)
     return B.batch_report(b, ["lang", "bucket0", "shard", "batch"], "size")
 
 
@@ -197,6 +198,21 @@ def _masked_sql(p: float, op: str, extra: str = "") -> str:
 
 _JOIN = "array_to_string(list_transform({0}, lambda z: z::VARCHAR), ',')"
 
+
+def _batch_sql(group: str, shards: int, budget: int, buckets: int, even: str) -> str:
+    """Batches ``b(file_id, lang, size, bucket0, shard, batch)`` of the files of a group, one row after the other."""
+    shard = f"floor({uniform_sql(0, 'shard', 'file_id')} * {shards})::INT" if shards > 1 else "0"
+    return f"""{_F}, lim AS (SELECT greatest(max(len(data)), {buckets})::INT AS longest FROM code_data),
+        z AS (SELECT file_id, coalesce({_lang_sql('language')}, 'unknown') AS lang, len(data)::INT AS size FROM d WHERE len(data) > 0),
+        y AS (SELECT z.*, least(size // ({even} // {buckets}), {buckets - 1})::INT AS bucket0, {shard} AS shard, greatest({budget}, longest) AS budget FROM z, lim),
+        o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY {group} bucket0, shard) AS g, row_number() OVER (PARTITION BY {group} bucket0, shard ORDER BY file_id) AS rn FROM y),
+        w AS (SELECT g, rn, size AS most, 1 AS n, 0 AS batch FROM o WHERE rn = 1 UNION ALL
+          SELECT o.g, o.rn, CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN o.size ELSE greatest(w.most, o.size) END,
+            CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN 1 ELSE w.n + 1 END, w.batch + CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN 1 ELSE 0 END
+          FROM w JOIN o ON o.g = w.g AND o.rn = w.rn + 1),
+        b AS (SELECT o.*, w.batch::INT AS batch FROM o JOIN w USING (g, rn))"""
+
+
 QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, shifted_sequences, pad_tokens, padded_sequences, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, file_shards, bucket_batches, language_batches, collated_batches]
 SQL = {
     "line_count_filter": f"WITH {_F}, n AS (SELECT file_id, (len(list_filter(data, lambda t: t = 10)) + 2 * len(list_filter(data, lambda t: t = 9)))::INT AS lines FROM d) SELECT * FROM n WHERE lines BETWEEN 10 AND 200",
@@ -223,6 +239,16 @@ SQL = {
         SELECT file_id, CASE WHEN u < 0.5 THEN CASE WHEN n <= 400 THEN 'whole' ELSE 'cut' END WHEN u < 0.8 THEN 'cut' ELSE 'eos' END AS how,
           (CASE WHEN u < 0.5 THEN CASE WHEN n <= 400 THEN n ELSE least(n, 100) END WHEN u < 0.8 THEN least(n, 100) WHEN n > 0 AND data[n] = 2 THEN NULL ELSE n + 1 END)::INT AS n FROM a""",
     "first_n_per_language": f"WITH {_F}, g AS (SELECT file_id, {_lang_sql('language')} AS lang FROM f) SELECT lang, file_id FROM g WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY file_id) <= 5",
+    "pair_truncate": f"""WITH {_masked_sql(0.01, 'pair_truncate')},
+        e AS (SELECT *, sum(CASE WHEN NOT masked OR new = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos) AS place FROM k),
+        g AS (SELECT file_id, max(place) AS n, count(*) FILTER (WHERE masked AND new = 1) AS runs, count(*) FILTER (WHERE masked AND new = 1 AND place <= 300) AS kept, max(mask) FILTER (WHERE masked AND new = 1 AND place <= 300) AS last FROM e GROUP BY 1),
+        t AS (SELECT e.file_id, string_agg((CASE WHEN new = 1 THEN mask::INT::VARCHAR || ',' ELSE '' END) || token::VARCHAR, ',' ORDER BY pos) AS target FROM e JOIN g USING (file_id) WHERE masked AND (kept = runs OR kept = 1 OR mask <= last) GROUP BY 1)
+        SELECT g.file_id, least(n, 300)::INT AS n_source, md5(target) AS target FROM g JOIN t USING (file_id) WHERE runs > 0 AND (kept = runs OR kept > 0)""",
+    "bucket_batches": f"WITH RECURSIVE {_batch_sql('', 4, 32_000, 10, '4000')} SELECT file_id, lang, size, bucket0, shard, batch FROM b",
+    "language_batches": f"WITH RECURSIVE {_batch_sql('lang,', 4, 32_000, 10, '4000')} SELECT lang, bucket0, shard, batch, count(*) AS n, sum(size)::BIGINT AS tokens, (max(size) * count(*))::BIGINT AS cost FROM b GROUP BY 1, 2, 3, 4",
+    "collated_batches": f"""WITH RECURSIVE {_batch_sql('', 1, 6_000, 3, 'longest')}, l AS (SELECT bucket0, batch, max(size) AS width, count(*) AS n, sum(size) AS t FROM b GROUP BY 1, 2)
+        SELECT b.bucket0, b.batch, any_value(n)::INT AS nsamples, any_value(t)::BIGINT AS ntokens, any_value(width)::INT AS width, md5(string_agg({_JOIN.format('list_resize(d.data, width, 3)')}, ',' ORDER BY b.size DESC, b.file_id)) AS tokens, string_agg(b.file_id::VARCHAR, ',' ORDER BY b.size DESC, b.file_id) AS ids
+        FROM b JOIN l USING (bucket0, batch) JOIN d ON d.file_id = b.file_id GROUP BY 1, 2""",
     "shard_scan": f"WITH {_F} SELECT file_id, len(data)::INT AS size FROM f WHERE file_id % 4 = 1",
     "file_shards": f"WITH {_F} SELECT file_id, ((file_id % 4 + 4) % 4)::INT AS shard, len(data)::INT AS size FROM f",
 }

@@ -45,19 +45,21 @@ def test_small_token_operators(spark):
 
 def test_masked_source_and_target(spark):
     def pair(tokens, mask):
-        rows = [(1, k, t, bool(m)) for k, (t, m) in enumerate(zip(tokens, mask))]
-        out = X.source_and_target(spark.createDataFrame(rows, "id long, pos int, token int, masked boolean"), "id", [100, 101]).collect()
-        return (out[0]["source"], out[0]["target"]) if out else None
+        df = spark.createDataFrame([(tokens, [bool(m) for m in mask])], "t array<int>, m array<boolean>")
+        out = df.select(X.source_and_target(F.col("t"), F.col("m"), [100, 101]).alias("p")).first()["p"]
+        return out and (out["source"], out["target"])
 
     assert pair([5, 6, 7, 8, 9], [0, 1, 1, 0, 1]) == ([5, 100, 8, 101], [100, 6, 7, 101, 9])
     assert pair([5, 6, 7], [1, 0, 1]) == ([100, 6, 101], [100, 5, 101, 7])
-    assert pair([5, 6], [0, 0]) is None
+    assert pair([5, 6], [0, 0]) is None and pair([], []) is None and pair(None, []) is None
+    with pytest.raises(Exception, match="more masked runs"):
+        pair([5, 6, 7, 8, 9], [1, 0, 1, 0, 1])
 
 
 def test_runs(spark):
-    rows = [(1, k, v) for k, v in enumerate([0, 1, 1, 0, 1])]
-    got = X.runs(spark.createDataFrame(rows, "id long, pos int, token int"), "id").orderBy("start").collect()
-    assert [(r["start"], r["length"], r["value"]) for r in got] == [(0, 1, 0), (1, 2, 1), (3, 1, 0), (4, 1, 1)]
+    df = spark.createDataFrame([([0, 1, 1, 0, 1],), ([],), (None,), ([None, None, 3],)], "v array<int>")
+    got = [r["r"] and [tuple(x) for x in r["r"]] for r in df.select(X.array_runs(F.col("v")).alias("r")).collect()]
+    assert got == [[(0, 1, 0), (1, 2, 1), (3, 1, 0), (4, 1, 1)], [], None, [(0, 2, None), (2, 1, 3)]]
 
 
 def test_buckets(spark):
