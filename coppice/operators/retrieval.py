@@ -151,15 +151,18 @@ def average_precision(queries: DataFrame, keys: DataFrame, how: str = "cosine",
     """``query, r, ap``: over the R best keys of each query, R the number of relevant ones, the mean of
     the precision at each relevant place, divided by R; null where R is 0.
 
-    ``best``: an upper bound of R, to carry no more than that from each block (the largest class)."""
+    ``best``: an upper bound of R, to carry no more than that from each block; by default the size of
+    the largest class."""
+    if best is None:
+        best = max(1, keys.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
     order = W.partitionBy("query").orderBy(F.desc("score"), "key")
     found = scored(queries, keys, how, best).withColumn("rn", F.row_number().over(order))
-    found = found.join(F.broadcast(queries.select(F.col("id").alias("query"), "label")), "query").join(F.broadcast(class_sizes(keys)), "label", "left")
+    found = found.join(queries.select(F.col("id").alias("query"), "label"), "query").join(class_sizes(keys), "label", "left")
     top = found.where(F.col("rn") <= F.col("r")).withColumn("rel", F.col("relevant").cast("int"))
     upto = F.sum("rel").over(order.rowsBetween(W.unboundedPreceding, 0))
     scored_top = top.withColumn("p", F.when(F.col("rel") == 1, upto / F.col("rn")).otherwise(0.0))
     per = scored_top.groupBy("query").agg((F.sum("p") / F.first("r")).alias("ap"))
-    sizes = queries.select(F.col("id").alias("query"), "label").join(F.broadcast(class_sizes(keys)), "label", "left").select("query", F.coalesce("r", F.lit(0)).alias("r"))
+    sizes = queries.select(F.col("id").alias("query"), "label").join(class_sizes(keys), "label", "left").select("query", F.coalesce("r", F.lit(0)).alias("r"))
     return sizes.join(per, "query", "left").select("query", "r", F.when(F.col("r") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 

@@ -130,12 +130,17 @@ def pair_sums(trees: DataFrame, key: str = "file_id") -> DataFrame:
     """For every node, over its pairs with all nodes of its tree: ``idx, nodes, lca, up, down, distance``,
     the sums of the lowest common ancestors, of the steps up and down, and of the distances."""
 
-    def build(descendants):
-        lca, up = ta.lca_matrix(descendants), ta.movements(descendants)
-        sums = (lca.sum(1), up.sum(1), up.sum(0), ta.distances(descendants).sum(1))
-        return list(zip(range(len(lca)), [len(lca)] * len(lca), *(x.tolist() for x in sums)))
-
-    return tree_map(trees, [key], ["descendants"], build, "idx int, nodes int, lca long, up long, down long, distance long")
+    def build(parents, descendants, levels):
+        # from a parent to its child, the common ancestors with the child's own branch move down to the child
+        n = len(parents)
+        size, lca, shared = (np.asarray(descendants) + 1).tolist(), [0] * n, [0] * n
+        for i, p in enumerate(np.asarray(parents).tolist()):
+            if p >= 0:
+                lca[i], shared[i] = lca[p] + (i - p) * size[i], shared[p] + size[i]
+        depth, deep = np.asarray(levels).tolist(), int(np.sum(levels))
+        return [(i, n, lca[i], depth[i] * n - shared[i], deep - shared[i], depth[i] * n + deep - 2 * shared[i]) for i in range(n)]
+
+    return tree_map(trees, [key], ["parents", "descendants", "levels"], build, "idx int, nodes int, lca long, up long, down long, distance long")
 
 
 def steps(node_rows: DataFrame, key: str = "file_id") -> DataFrame:

@@ -11,12 +11,13 @@ from coppice.functions.uniform import generator
 from coppice.operators import augment as A
 from coppice.operators import batching as B
 from coppice.operators import identifiers as I
+from coppice.operators import ranking as R
 from coppice.operators import text as P
 from coppice.operators import tokens as X
 from coppice.operators import tree_arrays as ta
 from coppice.operators import trees as N
 from coppice.plans.token_queries import _lang_sql
-from coppice.plans.tree_queries import _trees, _vocabulary_ids
+from coppice.plans.tree_queries import _N, _R, _SUBTREE, _trees, _vocabulary_ids
 from coppice.sources.tables import table
 
 SEED = 42
@@ -69,7 +70,8 @@ def split_by_label_range(spark, folder):
 def split_by_id_list(spark, folder):
     """Programs of train whose position is in a list: here, the positions of multiples of 3."""
     rows = N.newest(table(spark, folder, "train", "index", "code", "collected_at"), "index", "collected_at").withColumn("idx", F.col("index").cast("long") - 100_000_000)
-    ids = spark.range(0, 1 << 20, 3).select(F.col("id").alias("idx"))
+    most = rows.agg(F.max("idx")).first()[0]
+    ids = spark.range(0, max(0, (-1 if most is None else most) + 1), 3).select(F.col("id").alias("idx"))
     return rows.join(ids, "idx", "left_semi").select("index", "idx", F.length("code").alias("chars"))
 
 
@@ -101,8 +103,7 @@ def encode_lines(spark, folder):
 def index_with_distractors(spark, folder):
     """The search index: targets labelled by the rank of their problem, and documents of label 0."""
     rows = table(spark, folder, "cocos", "query_id", "problem", "target").where("problem is not null and target is not null")
-    ranks = rows.select("problem").distinct().withColumn("label", F.dense_rank().over(W.orderBy("problem")))
-    targets = rows.join(F.broadcast(ranks), "problem").select("query_id", "label", P.stripped(F.col("target")).alias("code"))
+    targets = rows.join(R.ranked(rows, "problem", "label"), "problem").select("query_id", "label", P.stripped(F.col("target")).alias("code"))
     docs = table(spark, folder, "documents", "text", "source").where("text is not null and source = 'snippets'")
     distractors = docs.select(F.lit(-1).cast("long").alias("query_id"), F.lit(0).alias("label"), P.stripped(F.col("text")).alias("code"))
     return targets.unionByName(distractors).select("query_id", "label", F.length("code").alias("original_length"), F.md5("code").alias("code"))
@@ -264,7 +265,7 @@ SQL = {
     "split_by_label_range": """WITH a AS (SELECT * FROM train UNION ALL SELECT * FROM valid UNION ALL SELECT * FROM test), p AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY index ORDER BY collected_at DESC) = 1),
         l AS (SELECT try_cast(trim(label) AS DOUBLE)::INT AS label FROM p), s AS (SELECT CASE WHEN label BETWEEN 1 AND 64 THEN 'train' WHEN label BETWEEN 65 AND 80 THEN 'valid' WHEN label BETWEEN 81 AND 194 THEN 'test' END AS split, label FROM l)
         SELECT split, label, count(*) AS n FROM s WHERE split IS NOT NULL GROUP BY 1, 2""",
-    "split_by_id_list": f"WITH {_TR} SELECT index, index::BIGINT - 100000000 AS idx, length(code)::INT AS chars FROM p WHERE (index::BIGINT - 100000000) % 3 = 0 AND index::BIGINT - 100000000 BETWEEN 0 AND 1048575",
+    "split_by_id_list": f"WITH {_TR} SELECT index, index::BIGINT - 100000000 AS idx, length(code)::INT AS chars FROM p WHERE (index::BIGINT - 100000000) % 3 = 0 AND index::BIGINT >= 100000000",
     "pair_length_filter": "SELECT query_id, length(method_masked)::INT AS source, length(target)::INT AS target FROM cocos WHERE length(method_masked) <= 1200 AND length(target) <= 120 AND length(method_masked) >= length(target)",
     "format_masks": "SELECT query_id, md5(regexp_replace(method_masked, '___MASK(\\d*)___', ' [MASK\\1] ', 'g')) AS formatted, md5(regexp_replace(method_masked, 'VAR\\d+|FOLD\\d+|___MASK\\d*___|\\[(SEP|PAD|" + "|".join(X.LANGUAGE_TOKENS) + ")\\]', '', 'g')) AS removed FROM cocos WHERE method_masked IS NOT NULL",
     "line_window": "SELECT query_id, array_to_string(string_split(context_masked, chr(10))[greatest(method_start, 1):greatest(method_start, 1) + greatest(method_end - (mask_end - mask_start) - method_start + 1, 0) - 1], chr(10)) AS text FROM cocos WHERE context_masked IS NOT NULL AND mask_start IS NOT NULL AND mask_end IS NOT NULL AND method_start IS NOT NULL AND method_end IS NOT NULL",
@@ -277,5 +278,9 @@ SQL = {
     "indent_tokens": f"""WITH {_PO}, l AS (SELECT length(regexp_extract(unnest(string_split(code, chr(10))), '^( *)', 1))::INT AS n FROM p WHERE code IS NOT NULL)
         SELECT n AS spaces, rtrim(repeat('11,', (n // 8)::INT) || repeat('12,', (n % 8 // 4)::INT) || repeat('13,', (n % 4 // 2)::INT) || repeat('14,', (n % 2)::INT), ',') AS tokens, count(*) AS lines FROM l GROUP BY 1""",
     "embedding_norms": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12) AS n FROM e) SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 6) AS squares, round(v[1] / n, 6) AS first FROM n",
+    "identifier_occurrences": _R
+    + _N
+    + f""", g AS MATERIALIZED (SELECT file_id, list(descendants ORDER BY idx) AS d FROM n GROUP BY 1), y AS (SELECT max(token_id) AS symbol FROM vocabulary WHERE token = '[identifier]'),
+        k AS (SELECT n.file_id, n.idx, {_SUBTREE} AS c FROM n JOIN t USING (file_id) JOIN g USING (file_id) JOIN y ON n.token = y.symbol WHERE n.descendants > 0) SELECT file_id, min(idx) AS first_node, count(*)::INT AS n FROM k GROUP BY file_id, c""",
     "bracket_balance": f"WITH {_PO} SELECT file_id, length(regexp_replace(code, '[^(\\[{{]', '', 'g'))::INT AS opening, length(regexp_replace(code, '[^)\\]}}]', '', 'g'))::INT AS closing FROM p WHERE code IS NOT NULL",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators import tree_arrays as ta
 from coppice.operators import trees as N
+from coppice.operators.tokens import text_of, words_by_id
 from coppice.sources.tables import table
 
 
@@ -103,10 +104,8 @@ def nonterminal_histogram(spark, folder):
 
 def tree_text(spark, folder):
     """The source text of every tree: the texts of its leaves, joined."""
-    leaves = _nodes(spark, folder).where("descendants = 0").select("file_id", "idx", F.col("token").alias("token_id"))
-    words = leaves.join(F.broadcast(table(spark, folder, "vocabulary")), "token_id")
-    packed = words.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("idx", "token"))).alias("w"))
-    return packed.select("file_id", F.array_join(F.col("w.token"), "").alias("text"))
+    leaves = _trees(spark, folder).select("file_id", N.leaf_tokens(F.col("tokens"), F.col("descendants")).alias("leaves"), words_by_id(table(spark, folder, "vocabulary")).alias("words"))
+    return leaves.where(F.exists("leaves", lambda t: F.get("words", t).isNotNull())).select("file_id", text_of(F.col("leaves"), F.col("words")).alias("text"))
 
 
 def tree_round_trip(spark, folder):
@@ -133,8 +132,14 @@ def _vocabulary_ids(spark, folder, *names):
     return [found[n] for n in names]
 
 
+def _edited(spark, folder, edit):
+    """The arrays of every edited tree as texts."""
+    out = N.edited(_trees(spark, folder), edit)
+    return out.select("file_id", *[F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("parents", "descendants", "tokens")])
+
+
 def tree_delete_first_child(spark, folder):
-    return N.edited(_trees(spark, folder), lambda t: t.delete(1) if len(t) > 2 else None)
+    return _edited(spark, folder, lambda t: t.delete(1) if len(t) > 2 else None)
 
 
 def tree_replace_children(spark, folder):
@@ -144,7 +149,7 @@ def tree_replace_children(spark, folder):
         kids = [int(k) for k in ta.children_of(t.parents, 0) if t.descendants[k]]
         return t.replace_children(kids, [[7, 7]] * len(kids)) if kids else None
 
-    return N.edited(_trees(spark, folder), edit)
+    return _edited(spark, folder, edit)
 
 
 def tree_swap_ends(spark, folder):
@@ -154,19 +159,19 @@ def tree_swap_ends(spark, folder):
         kids = ta.children_of(t.parents, 0)
         return t.swap(int(kids[0]), int(kids[-1])) if len(kids) > 1 else None
 
-    return N.edited(_trees(spark, folder), edit)
+    return _edited(spark, folder, edit)
 
 
 def tree_insert_eos(spark, folder):
-    return N.edited(_trees(spark, folder), lambda t: t.insert(0, 2))
+    return _edited(spark, folder, lambda t: t.insert(0, 2))
 
 
 def tree_cat_twice(spark, folder):
-    return N.edited(_trees(spark, folder), lambda t: ta.Tree.cat([t, t], 1))
+    return _edited(spark, folder, lambda t: ta.Tree.cat([t, t], 1))
 
 
 def tree_crop(spark, folder):
-    return N.edited(_trees(spark, folder), lambda t: t.crop(50))
+    return _edited(spark, folder, lambda t: t.crop(50))
 
 
 def tree_drawings(spark, folder):
@@ -180,42 +185,70 @@ def subtree_hash(spark, folder):
     return N.tree_map(_trees(spark, folder), ["file_id"], ["parents", "tokens"], lambda p, t: list(enumerate(hash_subtrees(p, t))), "idx int, hash long")
 
 
+def subtree_classes(spark, folder):
+    """For every subtree of more than one node: how many subtrees of all files equal it, and the first of them."""
+    h = subtree_hash(spark, folder).join(_nodes(spark, folder).where("descendants > 0").select("file_id", "idx"), ["file_id", "idx"])
+    per = h.groupBy("hash").agg(F.count("*").alias("copies"), F.min(F.struct("file_id", "idx")).alias("f"))
+    return h.join(per, "hash").select("file_id", "idx", "copies", F.col("f.file_id").alias("first_file"), F.col("f.idx").alias("first_idx"))
+
+
+_R = "WITH RECURSIVE "
+#: A subtree as text: the tokens and descendants of its nodes.
+_SUBTREE = "md5(array_to_string(list_transform(t.tokens[n.idx + 1:n.idx + 1 + n.descendants], lambda z: z::VARCHAR), ',') || '|' || array_to_string(list_transform(g.d[n.idx + 1:n.idx + 1 + n.descendants], lambda z: z::VARCHAR), ','))"
 _T = "t AS MATERIALIZED (SELECT * FROM code_trees WHERE file_id IS NOT NULL AND tokens IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1)"
 _P = _T + ", p AS MATERIALIZED (SELECT file_id, generate_subscripts(tokens, 1)::INT - 1 AS idx, unnest(parents) AS parent, unnest(tokens) AS token FROM t)"
 _A = _P + ", a AS (SELECT file_id, idx, idx AS anc, parent AS up FROM p UNION ALL SELECT a.file_id, a.idx, p.idx, p.parent FROM a JOIN p ON p.file_id = a.file_id AND p.idx = a.up)"
-_N = _A + ", am AS MATERIALIZED (SELECT file_id, idx, anc FROM a), lv AS MATERIALIZED (SELECT file_id, idx, count(*)::INT - 1 AS level FROM am GROUP BY 1, 2), de AS MATERIALIZED (SELECT file_id, anc AS idx, count(*)::INT - 1 AS descendants FROM am GROUP BY 1, 2), n AS MATERIALIZED (SELECT p.*, level, descendants FROM p JOIN lv USING (file_id, idx) JOIN de USING (file_id, idx))"
-_R = "WITH RECURSIVE "
+_N = (
+    _P
+    + """, s AS MATERIALIZED (SELECT *, lead(idx) OVER (PARTITION BY file_id, parent ORDER BY idx) AS sib, (count(*) OVER (PARTITION BY file_id))::INT AS size FROM p),
+    r AS (SELECT file_id, idx, 0 AS level, NULL::INT AS nb FROM s WHERE parent < 0 UNION ALL SELECT s.file_id, s.idx, r.level + 1, coalesce(s.sib, r.nb) FROM r JOIN s ON s.file_id = r.file_id AND s.parent = r.idx),
+    n AS MATERIALIZED (SELECT s.file_id, s.idx, s.parent, s.token, s.size, s.sib, r.level, r.nb, (coalesce(r.nb, s.size) - s.idx - 1)::INT AS descendants FROM s JOIN r USING (file_id, idx))"""
+)
+_AN = _N + _A.removeprefix(_P) + ", am AS MATERIALIZED (SELECT file_id, idx, anc FROM a)"
+
+
+def _edit_sql(rows: str) -> str:
+    """The arrays of trees given as rows (file_id, o, level, token) in the order of o."""
+    return f"""{_R}{_N}, e0 AS ({rows}), e AS MATERIALIZED (SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY o))::INT - 1 AS idx, level, token FROM e0),
+        v AS (SELECT file_id, idx, level AS k, NULL::INT AS mark FROM e UNION ALL SELECT file_id, idx, level + 1, idx FROM e),
+        u AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY file_id, k ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS parent FROM v),
+        f AS MATERIALIZED (SELECT e.*, coalesce(u.parent, -1) AS parent, (count(*) OVER (PARTITION BY e.file_id))::INT AS size FROM e JOIN u ON e.file_id = u.file_id AND e.idx = u.idx AND u.mark IS NULL),
+        g AS MATERIALIZED (SELECT *, lead(idx) OVER (PARTITION BY file_id, parent ORDER BY idx) AS sib FROM f),
+        h AS (SELECT file_id, idx, NULL::INT AS nb FROM g WHERE parent < 0 UNION ALL SELECT g.file_id, g.idx, coalesce(g.sib, h.nb) FROM h JOIN g ON g.file_id = h.file_id AND g.parent = h.idx)
+        SELECT file_id, string_agg(parent::VARCHAR, ',' ORDER BY idx) AS parents, string_agg((coalesce(h.nb, size) - idx - 1)::INT::VARCHAR, ',' ORDER BY idx) AS descendants, string_agg(token::VARCHAR, ',' ORDER BY idx) AS tokens
+        FROM g JOIN h USING (file_id, idx) GROUP BY file_id"""
+
+
 
 QUERIES = [
     tree_levels, tree_descendants, tree_parents, tree_heights, tree_ancestors, tree_adjacency, tree_siblings, tree_leaf_distances, tree_pair_sums, tree_next_stepout, tree_leaves, tree_sizes, tree_valid, sibling_ngrams,
-    nonterminal_histogram, tree_text, tree_round_trip, tree_fold_definitions, tree_delete_first_child, tree_replace_children, tree_swap_ends, tree_insert_eos, tree_cat_twice, tree_crop, tree_drawings, subtree_hash,
+    nonterminal_histogram, tree_text, tree_round_trip, tree_fold_definitions, tree_delete_first_child, tree_replace_children, tree_swap_ends, tree_insert_eos, tree_cat_twice, tree_crop, tree_drawings, subtree_hash, subtree_classes,
 ]
 SQL = {
     "tree_levels": _R + _N + " SELECT file_id, idx, level FROM n",
     "tree_descendants": _R + _N + " SELECT file_id, idx, descendants FROM n",
     "tree_parents": "WITH " + _P + " SELECT p.file_id, idx, parent FROM p JOIN t USING (file_id) WHERE t.descendants IS NOT NULL",
-    "tree_heights": _R + _N + " SELECT a.file_id, a.anc AS idx, (max(n.level) - min(m.level))::INT AS height FROM am a JOIN n ON n.file_id = a.file_id AND n.idx = a.idx JOIN n m ON m.file_id = a.file_id AND m.idx = a.anc GROUP BY 1, 2",
+    "tree_heights": _R + _AN + " SELECT a.file_id, a.anc AS idx, (max(n.level) - min(m.level))::INT AS height FROM am a JOIN n ON n.file_id = a.file_id AND n.idx = a.idx JOIN n m ON m.file_id = a.file_id AND m.idx = a.anc GROUP BY 1, 2",
     "tree_ancestors": _R + _N + " SELECT file_id, idx, (level + 1)::BIGINT AS path_nodes, descendants::BIGINT AS below FROM n",
     "tree_adjacency": "WITH " + _P + " SELECT file_id, parent AS source, idx AS target FROM p WHERE parent >= 0 UNION ALL SELECT file_id, idx, parent FROM p WHERE parent >= 0",
     "tree_siblings": "WITH " + _P + " SELECT file_id, idx, (row_number() OVER w)::INT - 1 AS ordinal, lag(idx) OVER w AS left_sibling, lead(idx) OVER w AS right_sibling, count(*) OVER (PARTITION BY file_id, parent) - 1 AS n_siblings FROM p WHERE parent >= 0 WINDOW w AS (PARTITION BY file_id, parent ORDER BY idx)",
-    "tree_leaf_distances": _R + _N + """, l AS (SELECT file_id, idx AS left_leaf, lead(idx) OVER (PARTITION BY file_id ORDER BY idx) AS right_leaf FROM n WHERE descendants = 0),
+    "tree_leaf_distances": _R + _AN + """, l AS (SELECT file_id, idx AS left_leaf, lead(idx) OVER (PARTITION BY file_id ORDER BY idx) AS right_leaf FROM n WHERE descendants = 0),
         al AS MATERIALIZED (SELECT am.file_id, am.idx, any_value(n.level) AS level, list(anc) AS up FROM am JOIN n ON n.file_id = am.file_id AND n.idx = am.idx GROUP BY 1, 2),
         c1 AS MATERIALIZED (SELECT l.*, x.level AS li, x.up AS ux FROM l JOIN al x ON x.file_id = l.file_id AND x.idx = l.left_leaf),
         c2 AS MATERIALIZED (SELECT c1.*, y.level AS lj, list_max(list_intersect(ux, y.up)) AS lca, len(list_intersect(ux, y.up)) - 1 AS lk FROM c1 JOIN al y ON y.file_id = c1.file_id AND y.idx = c1.right_leaf)
         SELECT file_id, left_leaf, right_leaf, lca, (li - lk)::INT AS up, (lj - lk)::INT AS down, (li + lj - 2 * lk)::INT AS distance FROM c2""",
-    "tree_pair_sums": _R + _N + """, q AS (SELECT am.file_id, am.idx, anc, n.level, n.descendants + 1 - coalesce(lead(n.descendants + 1) OVER (PARTITION BY am.file_id, am.idx ORDER BY anc), 0) AS w FROM am JOIN n ON n.file_id = am.file_id AND n.idx = am.anc),
-        s AS (SELECT file_id, idx, sum(w)::INT AS nodes, sum(anc * w) AS lca, sum(level * w) AS shared FROM q GROUP BY 1, 2), z AS (SELECT file_id, sum(level) AS levels FROM n GROUP BY 1)
-        SELECT s.file_id, s.idx, nodes, lca::BIGINT AS lca, (level * nodes - shared)::BIGINT AS up, (levels - shared)::BIGINT AS down, (level * nodes + levels - 2 * shared)::BIGINT AS distance FROM s JOIN n ON n.file_id = s.file_id AND n.idx = s.idx JOIN z ON z.file_id = s.file_id""",
-    "tree_next_stepout": _R + _N + """, h AS (SELECT *, CASE WHEN idx + descendants + 1 < count(*) OVER (PARTITION BY file_id) THEN idx + descendants + 1 END AS nb FROM n)
-        SELECT h.file_id, h.idx, h.nb AS next_branch, u.nb AS step_out FROM h LEFT JOIN h u ON u.file_id = h.file_id AND u.idx = h.parent""",
-    "tree_leaves": "WITH " + _P + " SELECT file_id, idx, token FROM p WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.file_id = p.file_id AND c.parent = p.idx)",
+    "tree_pair_sums": _R + _AN + """, q AS (SELECT am.file_id, am.idx, anc, n.level, n.descendants + 1 - coalesce(lead(n.descendants + 1) OVER (PARTITION BY am.file_id, am.idx ORDER BY anc), 0) AS w FROM am JOIN n ON n.file_id = am.file_id AND n.idx = am.anc),
+        y AS (SELECT file_id, idx, sum(w)::INT AS nodes, sum(anc * w) AS lca, sum(level * w) AS shared FROM q GROUP BY 1, 2), z AS (SELECT file_id, sum(level) AS levels FROM n GROUP BY 1)
+        SELECT y.file_id, y.idx, nodes, lca::BIGINT AS lca, (level * nodes - shared)::BIGINT AS up, (levels - shared)::BIGINT AS down, (level * nodes + levels - 2 * shared)::BIGINT AS distance FROM y JOIN n ON n.file_id = y.file_id AND n.idx = y.idx JOIN z ON z.file_id = y.file_id""",
+    "tree_next_stepout": _R + _N + " SELECT n.file_id, n.idx, n.nb AS next_branch, u.nb AS step_out FROM n LEFT JOIN n u ON u.file_id = n.file_id AND u.idx = n.parent",
+    "tree_leaves": "WITH " + _P + ", q AS (SELECT *, lead(parent) OVER (PARTITION BY file_id ORDER BY idx) AS after FROM p) SELECT file_id, idx, token FROM q WHERE after IS DISTINCT FROM idx",
     "tree_sizes": _R + _N + " SELECT file_id, count(*)::INT AS nodes, (count(*) FILTER (WHERE descendants = 0))::INT AS leaves, max(level)::INT AS depth FROM n GROUP BY 1",
     "tree_valid": _R + _N + ", g AS (SELECT file_id, list(descendants ORDER BY idx) AS d FROM n GROUP BY 1) SELECT t.file_id, t.descendants = g.d AS valid FROM t JOIN g USING (file_id) WHERE t.descendants IS NOT NULL",
-    "sibling_ngrams": _R + _N + """, s AS (SELECT file_id, parent, idx, idx + descendants + 1 AS stop FROM n WHERE parent >= 0),
-        r AS (SELECT file_id, k AS n, idx AS start, nth_value(stop, k) OVER (PARTITION BY file_id, parent, k ORDER BY idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS stop FROM s, (SELECT unnest([2, 3, 4, 5, 6]) AS k))
-        SELECT file_id, n::INT AS n, count(*) AS runs, sum(stop - start)::BIGINT AS nodes FROM r WHERE stop IS NOT NULL GROUP BY 1, 2""",
+    "sibling_ngrams": _R + _N + """, y AS (SELECT file_id, parent, idx, idx + descendants + 1 AS stop FROM n WHERE parent >= 0),
+        z AS (SELECT file_id, k AS n, idx AS start, nth_value(stop, k) OVER (PARTITION BY file_id, parent, k ORDER BY idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS stop FROM y, (SELECT unnest([2, 3, 4, 5, 6]) AS k))
+        SELECT file_id, n::INT AS n, count(*) AS runs, sum(stop - start)::BIGINT AS nodes FROM z WHERE stop IS NOT NULL GROUP BY 1, 2""",
     "nonterminal_histogram": "WITH " + _P + ", i AS (SELECT DISTINCT file_id, parent AS idx FROM p WHERE parent >= 0) SELECT p.token AS token_id, v.token, count(*) AS n, count(DISTINCT p.file_id) AS files FROM p JOIN i USING (file_id, idx) LEFT JOIN vocabulary v ON v.token_id = p.token GROUP BY 1, 2",
-    "tree_text": "WITH " + _P + " SELECT file_id, string_agg(v.token, '' ORDER BY idx) AS text FROM p JOIN vocabulary v ON v.token_id = p.token WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.file_id = p.file_id AND c.parent = p.idx) GROUP BY 1",
+    "tree_text": "WITH " + _P + ", q AS (SELECT *, lead(parent) OVER (PARTITION BY file_id ORDER BY idx) AS after FROM p) SELECT file_id, string_agg(v.token, '' ORDER BY idx) AS text FROM q JOIN vocabulary v ON v.token_id = q.token WHERE after IS DISTINCT FROM idx GROUP BY 1",
     "tree_round_trip": "WITH " + _P + " SELECT file_id, string_agg(token::VARCHAR, ',' ORDER BY idx) AS tokens, string_agg(parent::VARCHAR, ',' ORDER BY idx) AS parents FROM p GROUP BY 1",
     "tree_fold_definitions": _R + _N + """, v AS (SELECT max(token_id) FILTER (WHERE token = '[definition]') AS d, max(token_id) FILTER (WHERE token = 'FOLD0') AS f FROM vocabulary),
         k AS (SELECT n.file_id, n.idx, n.descendants FROM n, v WHERE n.token = v.d AND n.descendants > 0),
@@ -223,4 +256,24 @@ SQL = {
         x AS (SELECT n.file_id, n.idx, n.token, o.idx AS lo FROM n LEFT JOIN o ON o.file_id = n.file_id AND n.idx BETWEEN o.idx AND o.idx + o.descendants WHERE n.descendants = 0),
         y AS (SELECT file_id, coalesce(lo, idx) AS pos, max(lo) AS lo, min(token) AS own, count(*) AS c FROM x GROUP BY 1, 2)
         SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY pos))::INT - 1 AS position, CASE WHEN lo IS NULL THEN own ELSE (SELECT f FROM v) END AS token, (CASE WHEN lo IS NULL THEN 0 ELSE c END)::INT AS removed FROM y""",
+    "tree_delete_first_child": _edit_sql("SELECT n.file_id, n.idx AS o, level, token FROM n JOIN (SELECT file_id, nb FROM n WHERE idx = 1) c USING (file_id) WHERE size > 2 AND (n.idx < 1 OR n.idx >= c.nb)"),
+    "tree_replace_children": _edit_sql(
+        "SELECT file_id, 10 * idx AS o, level, token FROM n WHERE (idx = 0 OR parent = 0) AND file_id IN (SELECT file_id FROM n WHERE parent = 0 AND descendants > 0) UNION ALL SELECT file_id, 10 * idx + k, 2, 7 FROM n, (SELECT unnest([1, 2]) AS k) WHERE parent = 0 AND descendants > 0"
+    ),
+    "tree_swap_ends": _edit_sql(
+        "SELECT n.file_id, CASE WHEN n.idx = 0 THEN 0 WHEN n.idx < c.nb THEN 3 * size WHEN n.idx >= z.last THEN size ELSE 2 * size END + n.idx AS o, level, token FROM n JOIN (SELECT file_id, nb FROM n WHERE idx = 1) c USING (file_id) JOIN (SELECT file_id, max(idx) AS last FROM n WHERE parent = 0 GROUP BY 1 HAVING count(*) > 1) z USING (file_id)"
+    ),
+    "tree_insert_eos": _edit_sql("SELECT file_id, idx AS o, level, token FROM n UNION ALL SELECT file_id, size, 1, 2 FROM n WHERE idx = 0"),
+    "tree_cat_twice": _edit_sql("SELECT file_id, k * size + idx AS o, level + 1 AS level, token FROM n, (SELECT unnest([0, 1]) AS k) UNION ALL SELECT file_id, -1, 0, 1 FROM n WHERE idx = 0"),
+    "tree_crop": _edit_sql("SELECT file_id, idx AS o, level, token FROM (SELECT *, count(*) FILTER (WHERE descendants = 0) OVER (PARTITION BY file_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS leaves FROM n) WHERE idx = 0 OR leaves < 50"),
+    "subtree_classes": _R
+    + _N
+    + f""", g AS MATERIALIZED (SELECT file_id, list(descendants ORDER BY idx) AS d FROM n GROUP BY 1), k AS MATERIALIZED (SELECT n.file_id, n.idx, {_SUBTREE} AS c FROM n JOIN t USING (file_id) JOIN g USING (file_id) WHERE n.descendants > 0),
+        f AS (SELECT c, count(*) AS copies, min({{'a': file_id, 'b': idx}}) AS f FROM k GROUP BY 1) SELECT file_id, idx, copies, f.f.a AS first_file, f.f.b AS first_idx FROM k JOIN f USING (c)""",
+    "tree_drawings": _R
+    + _N
+    + """, w AS (SELECT n.file_id, n.idx, n.parent, n.sib, translate(coalesce(v.token, n.token::VARCHAR), ' ' || chr(10) || chr(9) || chr(13) || chr(11), '␣⏎⇥↵⇟') AS label FROM n LEFT JOIN vocabulary v ON v.token_id = n.token),
+        x AS (SELECT file_id, idx, '' AS stem, label AS line FROM w WHERE parent < 0 UNION ALL
+          SELECT w.file_id, w.idx, x.stem || CASE WHEN w.sib IS NULL THEN '    ' ELSE '│   ' END, x.stem || CASE WHEN w.sib IS NULL THEN '└── ' ELSE '├── ' END || w.label FROM x JOIN w ON w.file_id = x.file_id AND w.parent = x.idx)
+        SELECT file_id, string_agg(line, chr(10) ORDER BY idx) AS drawing FROM x GROUP BY 1""",
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql import Window as W
 
+from coppice.operators.ranking import ranked
+
 #: The schemas of the inputs, as DDL.
 TREE_CORPUS = "tokens array<int>, parents array<int>, descendants array<int>, hashes array<bigint>, language string, repository string, path string"
 SNIPPETS = "problem string, problem_description string, method_masked string, target string, context_masked string, file string, mask_start int, mask_end int, method_start int, method_end int, context_start int, context_end int"
@@ -39,8 +40,8 @@ def snippets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     problem, problem_description``. Labels count the sorted problems from 1; 0 is for distractors."""
     rows = row_numbers(json_lines(spark, path, SNIPPETS))
     problems = rows.groupBy("problem").agg(F.min("problem_description").alias("problem_description"))
-    problems = problems.withColumn("label", F.dense_rank().over(W.orderBy("problem")))
-    labelled = rows.join(F.broadcast(problems.select("problem", "label")), "problem")
+    problems = problems.join(ranked(problems, "problem", "label"), "problem")
+    labelled = rows.join(problems.select("problem", "label"), "problem")
     one = lambda column: labelled.select("query_id", "label", "problem", F.col(column).alias("code"))
     return one("method_masked"), one("target"), problems.select("label", "problem", "problem_description")
 
