@@ -193,6 +193,13 @@ def retrieval_suite(queries: DataFrame, keys: DataFrame, how: str = "cosine") ->
     return per.agg(F.count("*").alias("n"), pct("ap").alias("map"), pct("ndcg").alias("ndcg"), pct("rp").alias("r_precision"), pct("p1").alias("p_1"), pct("p3").alias("p_3"), pct("p10").alias("p_10"))
 
 
+def log_rows(queries: DataFrame, keys: DataFrame, k: int, how: str = "cosine") -> DataFrame:
+    """``query, query_label, rank, key, key_label, score``: the best k keys of every query, to be read."""
+    best = top_k(queries, keys, k, how)
+    rows = best.join(queries.select(F.col("id").alias("query"), F.col("label").alias("query_label")), "query").join(keys.select(F.col("id").alias("key"), F.col("label").alias("key_label")), "key")
+    return rows.select("query", "query_label", "rank", "key", "key_label", F.round("score", 6).alias("score"))
+
+
 def predictions(queries: DataFrame, keys: DataFrame, n: int = 499, how: str = "cosine") -> DataFrame:
     """``index, answers``: the ids of the best n keys of each query as text, best first."""
     best = top_k(queries, keys, n, how)

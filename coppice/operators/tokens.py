@@ -231,6 +231,13 @@ def dispatched(u: Column, shares: list[float], transforms: list[Column]) -> Colu
     return out if len(shares) > 1 else transforms[0]
 
 
+def modified(pair: Column, modify, *, source: bool = True, target: bool = True) -> Column:
+    """A struct of source and target (sequences, or structs of trees) with ``modify`` applied to one side
+    or both; null where a modified side is null, as a sample that a modifier drops."""
+    s, t = (modify(pair["source"]) if source else pair["source"]), (modify(pair["target"]) if target else pair["target"])
+    return F.when(s.isNotNull() & t.isNotNull(), F.struct(s.alias("source"), t.alias("target")))
+
+
 def chain(df: DataFrame, *steps) -> DataFrame:
     """An ordered list of DataFrame transforms, applied one after the other."""
     return reduce(lambda d, f: d.transform(f), steps, df)

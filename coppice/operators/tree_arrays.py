@@ -166,6 +166,50 @@ def node_at(parents, position: tuple[int, ...]) -> int:
     return node
 
 
+def descendants_of_incidences(matrix) -> np.ndarray:
+    """From an incidence matrix (see :func:`incidence_matrix`): the nodes below each node."""
+    return np.asarray(matrix, bool).sum(axis=1) - 1
+
+
+def parents_of_incidences(matrix) -> np.ndarray:
+    """From an incidence matrix: each node's parent, the last other node on its path."""
+    m = np.asarray(matrix, bool) & ~np.eye(len(matrix), dtype=bool)
+    return np.where(m, np.arange(len(m))[:, None], -1).max(axis=0, initial=-1)
+
+
+def incidence_nodes(matrix, pad: int = -1) -> np.ndarray:
+    """An incidence matrix with each row's node in the places it marks, ``pad`` in the others."""
+    m = np.asarray(matrix, bool)
+    return np.where(m, np.arange(len(m))[:, None], pad)
+
+
+def level_masks(parents, down: bool = False) -> list[tuple[int, np.ndarray]]:
+    """``(level, which nodes lie on it)`` from the deepest level up to the root's children, or, with
+    ``down``, from the root to the last level but one; a tree of one level has none."""
+    levels = levels_of(as_ints(parents))
+    most = int(levels.max(initial=0))
+    return [(k, levels == k) for k in (range(most) if down else range(most, 0, -1))]
+
+
+def subtree_mask(descendants, node: int) -> np.ndarray:
+    """Which nodes lie in the branch of a node, itself included."""
+    d = as_ints(descendants)
+    at = np.arange(len(d))
+    return (at >= node) & (at <= node + d[node])
+
+
+def is_descendant_of(descendants, node: int, ancestor: int) -> bool:
+    return ancestor < node <= ancestor + int(descendants[ancestor])
+
+
+def child_with_data(parents, data, node: int, value) -> int:
+    """The first child of a node that holds a value; an error where there is none."""
+    for k in children_of(parents, node).tolist():
+        if data[k] == value:
+            return k
+    raise TreeError(f"node {node} has no child with {value!r}")
+
+
 class Tree:
     """An editable tree: node levels and parallel data columns."""
 
@@ -187,6 +231,12 @@ class Tree:
     def __len__(self) -> int:
         return len(self.parents)
 
+    def __eq__(self, other) -> bool:
+        """Equal structure and equal columns."""
+        return isinstance(other, Tree) and self.parents.tolist() == other.parents.tolist() and self.columns == other.columns
+
+    __hash__ = None
+
     def branch(self, node: int) -> slice:
         """The slice of a node and all below it."""
         if not 0 <= node < len(self):

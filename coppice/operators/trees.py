@@ -20,18 +20,23 @@ def newest(df: DataFrame, key: str, time: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.col(time)).alias("v")).select(key, "v.*")
 
 
-def tree_map(df: DataFrame, keep: list[str], arrays: list[str], fn: Callable[..., list[tuple]], fields: str) -> DataFrame:
+def tree_map(df: DataFrame, keep: list[str], arrays: list[str], fn: Callable[..., list[tuple]], fields: str, *, errors: str | None = None) -> DataFrame:
     """Apply ``fn(*arrays of a row) -> rows`` to every row, over Arrow batches.
 
     ``keep`` columns are repeated before the new ``fields`` (a DDL string). Null arrays arrive as None;
-    a :class:`~coppice.operators.tree_arrays.TreeError` gives no row.
+    a :class:`~coppice.operators.tree_arrays.TreeError` gives no row. With ``errors``, the name of a
+    further text column, no error passes unseen: any exception gives one row that holds its message
+    there and nulls in the new fields; all other rows have a null there.
     """
-    new = T._parse_datatype_string(fields)
+    new = T._parse_datatype_string(f"{fields}, {errors} string" if errors else fields)
     schema = T.StructType([df.schema[k] for k in keep] + new.fields)
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in new.fields]
 
+    def failed(error: Exception) -> list[tuple]:
+        return [(*[None] * (len(kinds) - 1), str(error))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -43,8 +48,16 @@ def tree_map(df: DataFrame, keep: list[str], arrays: list[str], fn: Callable[...
                     values = [None if not c[i].is_valid else (np.asarray(c[i].values) if isinstance(c.type, pa.ListType) and pa.types.is_integer(c.type.value_type) and not c[i].values.null_count else c[i].as_py()) for c in cols]
                     try:
                         rows = fn(*values)
-                    except ta.TreeError:
-                        continue
+                    except ta.TreeError as error:
+                        if errors is None:
+                            continue
+                        rows = failed(error)
+                    except Exception as error:  # noqa: BLE001 - kept as a row
+                        if errors is None:
+                            raise
+                        rows = failed(error)
+                    else:
+                        rows = rows if errors is None else [(*r, None) for r in rows]
                     for r in rows:
                         owner.append(i)
                         for o, v in zip(out, r):
@@ -94,7 +107,23 @@ def leaf_count(descendants: Column) -> Column:
 
 def closure(trees: DataFrame, key: str = "file_id") -> DataFrame:
     """``key, ancestor, idx``: every node with each node on its path from the root, itself included."""
-    return tree_map(trees, [key], ["parents"], lambda p: [(a, i) for i in range(len(p)) for a in ta.ancestors_of(p, i)], "ancestor int, idx int")
+
+    def build(parents):
+        # a node's path is its parent's and the node itself: one array copy a node, no walk
+        up: list[np.ndarray] = []
+        for i, p in enumerate(np.asarray(parents).tolist()):
+            up.append(np.append(up[p], i) if p >= 0 else np.array([i]))
+        return list(zip(np.concatenate(up).tolist(), np.repeat(np.arange(len(up)), [len(x) for x in up]).tolist())) if up else []
+
+    return tree_map(trees, [key], ["parents"], build, "ancestor int, idx int")
+
+
+def paths(parents) -> list[str]:
+    """The path from the root to each node as text."""
+    out: list[str] = []
+    for i, p in enumerate(np.asarray(parents).tolist()):
+        out.append(f"{out[p]},{i}" if p >= 0 else str(i))
+    return out
 
 
 def heights(trees: DataFrame, key: str = "file_id") -> DataFrame:

@@ -88,6 +88,12 @@ def nearest_label_confusion(spark: SparkSession, folder: str) -> DataFrame:
     return said.join(keys.select(F.col("id").alias("query"), "label"), "query").groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 
+def retrieval_log(spark: SparkSession, folder: str) -> DataFrame:
+    """What a search found, to be read: the best three keys of every query with both labels and the score."""
+    keys = _keys(spark, folder)
+    return R.log_rows(_queries(keys), keys, 3)
+
+
 _E = "e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 _DOT = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))"
 _LEN = "list_sum(list_transform({0}.v, lambda x: x * x))"
@@ -128,7 +134,7 @@ _COLUMNS = """n AS (SELECT i, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM (SELEC
     e AS (SELECT vec_id AS id, label, list_transform(list_zip(embedding, ns), lambda z: z[1]::DOUBLE / z[2]) AS v FROM embeddings, l)"""
 _TOP = _scores() + ", o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rn FROM s)"
 
-QUERIES = [search_cosine_metrics, search_l1_metrics, search_l2_metrics, search_ranks, map_at_r, map_benchmark, map_at_r_colnorm, retrieval_suite, top_k_answers, top499_predictions, nearest_label, nearest_label_confusion]
+QUERIES = [search_cosine_metrics, search_l1_metrics, search_l2_metrics, search_ranks, map_at_r, map_benchmark, map_at_r_colnorm, retrieval_suite, top_k_answers, top499_predictions, nearest_label, nearest_label_confusion, retrieval_log]
 SQL = {
     "search_cosine_metrics": _search_sql("cosine"),
     "search_l1_metrics": _search_sql("l1"),
@@ -144,6 +150,7 @@ SQL = {
           sum(CASE WHEN rn <= n_rel THEN rel ELSE 0 END) / greatest(max(n_rel), 1)::DOUBLE AS rp,
           sum(CASE WHEN rn <= 1 THEN rel ELSE 0 END) / 1.0::DOUBLE AS p1, sum(CASE WHEN rn <= 3 THEN rel ELSE 0 END) / 3.0::DOUBLE AS p3, sum(CASE WHEN rn <= 10 THEN rel ELSE 0 END) / 10.0::DOUBLE AS p10 FROM g GROUP BY 1)
         SELECT count(*) AS n, round(avg(ap) * 100, 2) AS map, round(avg(ndcg) * 100, 2) AS ndcg, round(avg(rp) * 100, 2) AS r_precision, round(avg(p1) * 100, 2) AS p_1, round(avg(p3) * 100, 2) AS p_3, round(avg(p10) * 100, 2) AS p_10 FROM p""",
+    "retrieval_log": f"WITH {_TOP} SELECT query, ql AS query_label, rn::INT AS rank, key, kl AS key_label, round(score, 6) AS score FROM o WHERE rn <= 3",
     "top_k_answers": f"WITH {_TOP} SELECT query, key, rn::INT AS rank, ql = kl AS relevant FROM o WHERE rn <= 10",
     "top499_predictions": f"WITH {_TOP} SELECT query::VARCHAR AS index, count(*)::INT AS n, string_agg(key::VARCHAR, ',' ORDER BY rn) AS answers FROM o WHERE rn <= 499 GROUP BY 1",
     "nearest_label": f"""WITH {_TOP}, n AS (SELECT ql AS l, kl AS p FROM o WHERE rn = 1),

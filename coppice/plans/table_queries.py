@@ -109,6 +109,17 @@ def index_with_distractors(spark, folder):
     return targets.unionByName(distractors).select("query_id", "label", F.length("code").alias("original_length"), F.md5("code").alias("code"))
 
 
+def length_order(spark, folder):
+    """The search index by untruncated length, shortest first; sorted in ranges, not in one task."""
+    return index_with_distractors(spark, folder).orderBy("original_length", "query_id", "code")
+
+
+def language_files(spark, folder):
+    """How many files each language has, whatever its spelling."""
+    files = N.newest(table(spark, folder, "code_data", "file_id", "language", "ingested_at"), "file_id", "ingested_at")
+    return files.groupBy(language_identifier(F.col("language")).alias("language")).agg(F.count("*").alias("files"))
+
+
 def mclass_sampler(spark, folder):
     """Batches with four programs of every label."""
     rows = N.newest(table(spark, folder, "train", "index", "label", "collected_at"), "index", "collected_at").where("label is not null")
@@ -250,7 +261,7 @@ _EXT = ", ".join(f"('{e}', '{lang}')" for lang, es in EXTENSIONS.items() for e i
 _SYM = ", ".join(f"('{lang}', '{c}', '{s}')" for lang, classes in I.SYMBOLS.items() for c, group in zip(I.CLASSES, classes) for s in group.split())
 
 QUERIES = [
-    alias_lookup, extension_language, identifier_symbols, meta_urls, split_by_label_range, split_by_id_list, pair_length_filter, format_masks, line_window, encode_lines, index_with_distractors, mclass_sampler, dedent_text,
+    alias_lookup, extension_language, identifier_symbols, meta_urls, split_by_label_range, split_by_id_list, pair_length_filter, format_masks, line_window, encode_lines, index_with_distractors, length_order, language_files, mclass_sampler, dedent_text,
     indent_tokens, embedding_norms, parse_unparse, bracket_balance, bpe_round_trip, truncate_fold, mask_span_tree, mask_random_spans, mask_subtrees, identifier_occurrences, identifier_mask, unique_identifiers_pair,
 ]
 SQL = {
@@ -273,6 +284,7 @@ SQL = {
         SELECT file_id, md5(array_to_string(list_concat(list_concat(l[1:2], [lead || '___MASK___']), l[5:]), chr(10))) AS context, substr(span, length(lead) + 1) AS target FROM s""",
     "index_with_distractors": """WITH t AS (SELECT query_id, (dense_rank() OVER (ORDER BY problem))::INT AS label, regexp_replace(target, '^\\s+', '') AS code FROM cocos WHERE problem IS NOT NULL AND target IS NOT NULL),
         u AS (SELECT * FROM t UNION ALL SELECT -1, 0, regexp_replace(text, '^\\s+', '') FROM documents WHERE text IS NOT NULL AND source = 'snippets') SELECT query_id, label, length(code)::INT AS original_length, md5(code) AS code FROM u""",
+    "language_files": f"WITH f AS (SELECT * FROM code_data WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1) SELECT {_lang_sql('language')} AS language, count(*) AS files FROM f GROUP BY 1",
     "mclass_sampler": f"WITH {_TR} SELECT index, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '{SEED}', 'per_class', index)), index) - 1) // 4)::INT AS batch FROM p WHERE label IS NOT NULL",
     "dedent_text": f"WITH {_PO}, l AS (SELECT file_id, list_transform(string_split(code, chr(10)), lambda x: regexp_replace(x, '^ {{1,4}}', '')) AS l FROM p WHERE code IS NOT NULL) SELECT file_id, md5(array_to_string(l, chr(10))) AS dedented FROM l",
     "indent_tokens": f"""WITH {_PO}, l AS (SELECT length(regexp_extract(unnest(string_split(code, chr(10))), '^( *)', 1))::INT AS n FROM p WHERE code IS NOT NULL)
@@ -284,3 +296,4 @@ SQL = {
         k AS (SELECT n.file_id, n.idx, {_SUBTREE} AS c FROM n JOIN t USING (file_id) JOIN g USING (file_id) JOIN y ON n.token = y.symbol WHERE n.descendants > 0) SELECT file_id, min(idx) AS first_node, count(*)::INT AS n FROM k GROUP BY file_id, c""",
     "bracket_balance": f"WITH {_PO} SELECT file_id, length(regexp_replace(code, '[^(\\[{{]', '', 'g'))::INT AS opening, length(regexp_replace(code, '[^)\\]}}]', '', 'g'))::INT AS closing FROM p WHERE code IS NOT NULL",
 }
+SQL["length_order"] = SQL["index_with_distractors"]

@@ -9,6 +9,8 @@ from coppice.functions.languages import language_identifier
 from coppice.functions.uniform import uniform, uniform_sql
 from coppice.operators import batching as B
 from coppice.operators import tokens as X
+from coppice.operators.collation import collated_pairs as collated
+from coppice.operators.tokenizer import CodeTokenizer, detokenised, tokenised
 from coppice.operators.trees import newest
 from coppice.sources.tables import table
 
@@ -179,6 +181,58 @@ def collated_batches(spark, folder):
     return c.select("bucket0", "batch", "nsamples", "ntokens", F.size(F.col("tokens")[0]).alias("width"), F.md5(_joined(F.flatten("tokens"))).alias("tokens"), _joined(F.col("ids")).alias("ids"))
 
 
+def _pairs(spark, folder):
+    """A span of every file masked: ``file_id, lang, source, target``, the target with its end token."""
+    u = uniform(SEED, "mask_span", F.col("file_id"))
+    lang = F.coalesce(language_identifier(F.col("language")), F.lit("unknown"))
+    both = X.once(_data(spark, folder).select("file_id", "data", lang.alias("lang")), "p", X.span_masked(F.col("data"), 0.25, u, MASKS[0])).where("p is not null")
+    both = both.select("file_id", "lang", F.col("p.source").alias("source"), F.array_append("p.target", F.lit(X.EOS)).alias("target"))
+    return both.withColumns({"n_source": F.size("source"), "n_target": F.size("target")})
+
+
+def _paired(spark, folder, keys):
+    pairs = _pairs(spark, folder)
+    longest = max(pairs.agg(F.max(F.greatest("n_source", "n_target"))).first()[0] or 0, 4)
+    sizes = pairs.select("file_id", *keys, "n_source", "n_target")
+    return pairs, B.batched(sizes, keys, "n_source", ["file_id"], budget=max(24_000, longest), longest=longest, buckets=4, sizes=["n_source", "n_target"], shards=2, even=3_000)
+
+
+def pair_batches(spark, folder):
+    """Batches of pairs over a grid of buckets of source and target sizes; the longer side counts."""
+    return _paired(spark, folder, [])[1]
+
+
+def language_pair_batches(spark, folder):
+    """A grid of buckets for every language: pairs and padded cost of every batch."""
+    b = _paired(spark, folder, ["lang"])[1].withColumn("size", F.greatest("n_source", "n_target"))
+    return B.batch_report(b, ["lang", "bucket0", "bucket1", "shard", "batch"], "size")
+
+
+def collated_pairs(spark, folder):
+    """Every batch of pairs as padded matrices, with the targets that feed a decoder."""
+    pairs, b = _paired(spark, folder, [])
+    c = collated(b.select("file_id", "bucket0", "bucket1", "shard", "batch").join(pairs, "file_id"), ["bucket0", "bucket1", "shard", "batch"], "file_id", left_source=True)
+    text = lambda c: F.md5(_joined(F.flatten(c))).alias(c)
+    return c.select("bucket0", "bucket1", "shard", "batch", "nsamples", "source_ntokens", "target_ntokens", _joined(F.col("ids")).alias("ids"), *[text(x) for x in ("source_tokens", "target_tokens", "shifted_tokens")])
+
+
+def modified_pairs(spark, folder):
+    """A token put in front of the source, of the target, or of both."""
+    pairs = _pairs(spark, folder)
+    first = lambda t: X.with_token(t, F.lit(X.CLS))
+    out = [X.modified(F.struct("source", "target"), first, source=a, target=b).alias(n) for n, a, b in (("s", True, False), ("t", False, True), ("st", True, True))]
+    size = [F.size(f"{n}.{side}").alias(f"{n}_{side}") for n in ("s", "t", "st") for side in ("source", "target")]
+    return pairs.select("file_id", *out).select("file_id", *size)
+
+
+def text_ids_round_trip(spark, folder, tokenizer="/opt/tokenizers/byte_bpe_50k.json"):
+    """Texts of the parsed files turned into ids of a public tokenizer and back."""
+    rows = newest(table(spark, folder, "parsing_outputs", "file_id", "code", "parsed_at"), "file_id", "parsed_at").where("code is not null")
+    coder = CodeTokenizer.load(tokenizer)
+    back = detokenised(tokenised(rows, "file_id", "code", coder), "file_id", "ids", coder)
+    return back.join(rows, "file_id").select("file_id", F.length("text").alias("chars"), F.md5("text").alias("checksum"), (F.col("text") == F.col("code")).alias("same"))
+
+
 _F = "f AS (SELECT * FROM code_data WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1), d AS (SELECT file_id, data, language FROM f WHERE data IS NOT NULL)"
 _X = _F + ", x AS (SELECT file_id, generate_subscripts(data, 1)::INT - 1 AS pos, unnest(data) AS token FROM d)"
 
@@ -199,21 +253,40 @@ def _masked_sql(p: float, op: str, extra: str = "") -> str:
 _JOIN = "array_to_string(list_transform({0}, lambda z: z::VARCHAR), ',')"
 
 
-def _batch_sql(group: str, shards: int, budget: int, buckets: int, even: str) -> str:
-    """Batches ``b(file_id, lang, size, bucket0, shard, batch)`` of the files of a group, one row after the other."""
-    shard = f"floor({uniform_sql(0, 'shard', 'file_id')} * {shards})::INT" if shards > 1 else "0"
-    return f"""{_F}, lim AS (SELECT greatest(max(len(data)), {buckets})::INT AS longest FROM code_data),
-        z AS (SELECT file_id, coalesce({_lang_sql('language')}, 'unknown') AS lang, len(data)::INT AS size FROM d WHERE len(data) > 0),
-        y AS (SELECT z.*, least(size // ({even} // {buckets}), {buckets - 1})::INT AS bucket0, {shard} AS shard, greatest({budget}, longest) AS budget FROM z, lim),
-        o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY {group} bucket0, shard) AS g, row_number() OVER (PARTITION BY {group} bucket0, shard ORDER BY file_id) AS rn FROM y),
+_OVER = "greatest(w.most, o.size) * (w.n + 1) > o.budget"
+
+
+def _greedy_sql(rows: str, keys: list[str]) -> str:
+    """Batches ``b`` of rows (file_id, keys, size, budget), one row after the other within the keys."""
+    by = ", ".join(keys)
+    return f"""o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY {by}) AS g, row_number() OVER (PARTITION BY {by} ORDER BY file_id) AS rn FROM {rows}),
         w AS (SELECT g, rn, size AS most, 1 AS n, 0 AS batch FROM o WHERE rn = 1 UNION ALL
-          SELECT o.g, o.rn, CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN o.size ELSE greatest(w.most, o.size) END,
-            CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN 1 ELSE w.n + 1 END, w.batch + CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN 1 ELSE 0 END
-          FROM w JOIN o ON o.g = w.g AND o.rn = w.rn + 1),
+          SELECT o.g, o.rn, CASE WHEN {_OVER} THEN o.size ELSE greatest(w.most, o.size) END, CASE WHEN {_OVER} THEN 1 ELSE w.n + 1 END, w.batch + CASE WHEN {_OVER} THEN 1 ELSE 0 END FROM w JOIN o ON o.g = w.g AND o.rn = w.rn + 1),
         b AS (SELECT o.*, w.batch::INT AS batch FROM o JOIN w USING (g, rn))"""
 
 
-QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, shifted_sequences, pad_tokens, padded_sequences, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, file_shards, bucket_batches, language_batches, collated_batches]
+def _shard_sql(shards: int) -> str:
+    return f"floor({uniform_sql(0, 'shard', 'file_id')} * {shards})::INT" if shards > 1 else "0"
+
+
+def _batch_sql(keys: list[str], shards: int, budget: int, buckets: int, even: str) -> str:
+    """Batches of the files of a group."""
+    return f"""{_F}, lim AS (SELECT greatest(max(len(data)), {buckets})::INT AS longest FROM code_data),
+        z AS (SELECT file_id, coalesce({_lang_sql('language')}, 'unknown') AS lang, len(data)::INT AS size FROM d WHERE len(data) > 0),
+        y AS (SELECT z.*, least(size // ({even} // {buckets}), {buckets - 1})::INT AS bucket0, {_shard_sql(shards)} AS shard, greatest({budget}, longest) AS budget FROM z, lim), {_greedy_sql('y', [*keys, 'bucket0', 'shard'])}"""
+
+
+_PAIRS = f"""{_F}, a AS (SELECT file_id, coalesce({_lang_sql('language')}, 'unknown') AS lang, data, len(data) AS n, floor(len(data) * 0.25::DOUBLE + 0.5::DOUBLE)::INT AS k0, {uniform_sql(SEED, 'mask_span', 'file_id')} AS u FROM d),
+        a1 AS (SELECT *, CASE WHEN k0 >= n THEN n - 1 ELSE k0 END AS k FROM a), a2 AS (SELECT *, floor(u * (n - k + 1))::INT AS at0 FROM a1 WHERE n > 1 AND k > 0),
+        q AS MATERIALIZED (SELECT file_id, lang, list_concat(list_concat(data[1:at0], [2000]), data[at0 + k + 1:n]) AS source, list_concat(data[at0 + 1:at0 + k], [2]) AS target FROM a2)"""
+
+
+def _pair_sql(keys: list[str]) -> str:
+    return f"""{_PAIRS}, z AS (SELECT file_id, lang, len(source)::INT AS n_source, len(target)::INT AS n_target, greatest(len(source), len(target))::INT AS size FROM q), lim AS (SELECT greatest(24000, max(size)) AS budget FROM z),
+        y AS (SELECT z.*, least(n_source // 750, 3)::INT AS bucket0, least(n_target // 750, 3)::INT AS bucket1, {_shard_sql(2)} AS shard, budget FROM z, lim), {_greedy_sql('y', [*keys, 'bucket0', 'bucket1', 'shard'])}"""
+
+
+QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, shifted_sequences, pad_tokens, padded_sequences, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, file_shards, bucket_batches, language_batches, collated_batches, pair_batches, language_pair_batches, collated_pairs, modified_pairs, text_ids_round_trip]
 SQL = {
     "line_count_filter": f"WITH {_F}, n AS (SELECT file_id, (len(list_filter(data, lambda t: t = 10)) + 2 * len(list_filter(data, lambda t: t = 9)))::INT AS lines FROM d) SELECT * FROM n WHERE lines BETWEEN 10 AND 200",
     "language_filter": f"WITH {_F} SELECT file_id, {_lang_sql('language')} AS language FROM f WHERE {_lang_sql('language')} IN ('python', 'go', 'cpp')",
@@ -244,11 +317,22 @@ SQL = {
         g AS (SELECT file_id, max(place) AS n, count(*) FILTER (WHERE masked AND new = 1) AS runs, count(*) FILTER (WHERE masked AND new = 1 AND place <= 300) AS kept, max(mask) FILTER (WHERE masked AND new = 1 AND place <= 300) AS last FROM e GROUP BY 1),
         t AS (SELECT e.file_id, string_agg((CASE WHEN new = 1 THEN mask::INT::VARCHAR || ',' ELSE '' END) || token::VARCHAR, ',' ORDER BY pos) AS target FROM e JOIN g USING (file_id) WHERE masked AND (kept = runs OR kept = 1 OR mask <= last) GROUP BY 1)
         SELECT g.file_id, least(n, 300)::INT AS n_source, md5(target) AS target FROM g JOIN t USING (file_id) WHERE runs > 0 AND (kept = runs OR kept > 0)""",
-    "bucket_batches": f"WITH RECURSIVE {_batch_sql('', 4, 32_000, 10, '4000')} SELECT file_id, lang, size, bucket0, shard, batch FROM b",
-    "language_batches": f"WITH RECURSIVE {_batch_sql('lang,', 4, 32_000, 10, '4000')} SELECT lang, bucket0, shard, batch, count(*) AS n, sum(size)::BIGINT AS tokens, (max(size) * count(*))::BIGINT AS cost FROM b GROUP BY 1, 2, 3, 4",
-    "collated_batches": f"""WITH RECURSIVE {_batch_sql('', 1, 6_000, 3, 'longest')}, l AS (SELECT bucket0, batch, max(size) AS width, count(*) AS n, sum(size) AS t FROM b GROUP BY 1, 2)
+    "bucket_batches": f"WITH RECURSIVE {_batch_sql([], 4, 32_000, 10, '4000')} SELECT file_id, lang, size, bucket0, shard, batch FROM b",
+    "language_batches": f"WITH RECURSIVE {_batch_sql(['lang'], 4, 32_000, 10, '4000')} SELECT lang, bucket0, shard, batch, count(*) AS n, sum(size)::BIGINT AS tokens, (max(size) * count(*))::BIGINT AS cost FROM b GROUP BY 1, 2, 3, 4",
+    "collated_batches": f"""WITH RECURSIVE {_batch_sql([], 1, 6_000, 3, 'longest')}, l AS (SELECT bucket0, batch, max(size) AS width, count(*) AS n, sum(size) AS t FROM b GROUP BY 1, 2)
         SELECT b.bucket0, b.batch, any_value(n)::INT AS nsamples, any_value(t)::BIGINT AS ntokens, any_value(width)::INT AS width, md5(string_agg({_JOIN.format('list_resize(d.data, width, 3)')}, ',' ORDER BY b.size DESC, b.file_id)) AS tokens, string_agg(b.file_id::VARCHAR, ',' ORDER BY b.size DESC, b.file_id) AS ids
         FROM b JOIN l USING (bucket0, batch) JOIN d ON d.file_id = b.file_id GROUP BY 1, 2""",
+    "pair_batches": f"WITH RECURSIVE {_pair_sql([])} SELECT file_id, n_source, n_target, bucket0, bucket1, shard, batch FROM b",
+    "language_pair_batches": f"WITH RECURSIVE {_pair_sql(['lang'])} SELECT lang, bucket0, bucket1, shard, batch, count(*) AS n, sum(size)::BIGINT AS tokens, (max(size) * count(*))::BIGINT AS cost FROM b GROUP BY 1, 2, 3, 4, 5",
+    "collated_pairs": f"""WITH RECURSIVE {_pair_sql([])}, l AS (SELECT bucket0, bucket1, shard, batch, max(n_source) AS ws, max(n_target) AS wt FROM b GROUP BY ALL),
+        x AS (SELECT b.*, ws, wt, source, target FROM b JOIN l USING (bucket0, bucket1, shard, batch) JOIN q ON q.file_id = b.file_id)
+        SELECT bucket0, bucket1, shard, batch, count(*)::INT AS nsamples, sum(n_source)::BIGINT AS source_ntokens, sum(n_target)::BIGINT AS target_ntokens, string_agg(file_id::VARCHAR, ',' ORDER BY n_source DESC, file_id) AS ids,
+          md5(string_agg(repeat('3,', ws - n_source) || {_JOIN.format('source')}, ',' ORDER BY n_source DESC, file_id)) AS source_tokens, md5(string_agg({_JOIN.format('list_resize(target, wt, 3)')}, ',' ORDER BY n_source DESC, file_id)) AS target_tokens,
+          md5(string_agg({_JOIN.format('list_resize(list_concat([2], target[1:n_target - 1]), wt, 3)')}, ',' ORDER BY n_source DESC, file_id)) AS shifted_tokens FROM x GROUP BY 1, 2, 3, 4""",
+    "modified_pairs": f"""WITH {_PAIRS}, n AS (SELECT file_id, len(source)::INT AS s, len(target)::INT AS t, source[1] = 1 AS a, target[1] = 1 AS b FROM q)
+        SELECT file_id, CASE WHEN a THEN NULL ELSE s + 1 END AS s_source, CASE WHEN a THEN NULL ELSE t END AS s_target, CASE WHEN b THEN NULL ELSE s END AS t_source, CASE WHEN b THEN NULL ELSE t + 1 END AS t_target,
+          CASE WHEN a OR b THEN NULL ELSE s + 1 END AS st_source, CASE WHEN a OR b THEN NULL ELSE t + 1 END AS st_target FROM n""",
+    "text_ids_round_trip": "WITH p AS (SELECT * FROM parsing_outputs WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY parsed_at DESC) = 1) SELECT file_id, length(code)::INT AS chars, md5(code) AS checksum, true AS same FROM p WHERE code IS NOT NULL",
     "shard_scan": f"WITH {_F} SELECT file_id, len(data)::INT AS size FROM f WHERE file_id % 4 = 1",
     "file_shards": f"WITH {_F} SELECT file_id, ((file_id % 4 + 4) % 4)::INT AS shard, len(data)::INT AS size FROM f",
 }

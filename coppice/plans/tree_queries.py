@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coppice.operators import batching as B
 from coppice.operators import tree_arrays as ta
 from coppice.operators import trees as N
+from coppice.operators.collation import collated_trees as collated
+from coppice.operators.text import join_leaves
+from coppice.operators.tokenizer import CodeTokenizer
 from coppice.operators.tokens import text_of, words_by_id
 from coppice.sources.tables import table
 
@@ -193,6 +197,88 @@ def subtree_classes(spark, folder):
 
 
 _R = "WITH RECURSIVE "
+def tree_from_incidences(spark, folder):
+    """Parents and descendants of every node from the pairs of nodes and ancestors alone."""
+    c = N.closure(_trees(spark, folder))
+    below = c.groupBy("file_id", F.col("ancestor").alias("idx")).agg((F.count("*") - 1).cast("int").alias("descendants"))
+    up = c.groupBy("file_id", "idx").agg(F.coalesce(F.max(F.when(F.col("ancestor") < F.col("idx"), F.col("ancestor"))), F.lit(-1)).alias("parent"))
+    return below.join(up, ["file_id", "idx"])
+
+
+def tree_incidence_nodes(spark, folder):
+    """The path from the root to every node, the node included."""
+    return N.tree_map(_trees(spark, folder), ["file_id"], ["parents"], lambda p: list(enumerate(N.paths(p))), "idx int, path string")
+
+
+def tree_level_masks(spark, folder):
+    """The nodes of every level of every tree."""
+    per = _nodes(spark, folder).groupBy("file_id", "level").agg(F.array_sort(F.collect_list("idx")).alias("n"))
+    return per.select("file_id", "level", F.size("n").alias("nodes"), F.md5(F.concat_ws(",", F.transform("n", lambda x: x.cast("string")))).alias("members"))
+
+
+def tree_child_with_data(spark, folder):
+    """The first child of every node that holds the definition token."""
+    symbol = _vocabulary_ids(spark, folder, "[definition]")[0]
+    return _nodes(spark, folder).where((F.col("token") == symbol) & (F.col("parent") >= 0)).groupBy("file_id", F.col("parent").alias("idx")).agg(F.min("idx").alias("child"))
+
+
+def tree_equal(spark, folder):
+    """For every tree the first file with an equal one, structure and data, and how many there are."""
+    t = _trees(spark, folder).select("file_id", F.sha2(F.concat_ws("|", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("tokens", "parents")]), 256).alias("h"))
+    per = t.groupBy("h").agg(F.min("file_id").alias("first_file"), F.count("*").alias("copies"))
+    return t.join(per, "h").select("file_id", "first_file", "copies")
+
+
+def tree_dead_letters(spark, folder):
+    """The branch of node 100 removed; trees that have none are kept with the reason."""
+
+    def build(parents, tokens):
+        return [(len(ta.Tree(parents, tokens).delete(100)),)]
+
+    return N.tree_map(_trees(spark, folder), ["file_id"], ["parents", "tokens"], build, "nodes int", errors="reason")
+
+
+def leaf_spans(spark, folder):
+    """Where each leaf's text begins and ends in its tree's source text."""
+    words = dict(table(spark, folder, "vocabulary").select("token_id", "token").collect())
+
+    def build(descendants, tokens):
+        out, at = [], 0
+        for i, (d, t) in enumerate(zip(descendants, tokens)):
+            if d == 0:
+                n = len(words.get(int(t)) or "")
+                out.append((i, at, at + n))
+                at += n
+        return out
+
+    return N.tree_map(_trees(spark, folder), ["file_id"], ["descendants", "tokens"], build, "idx int, start int, stop int")
+
+
+def tree_ids_round_trip(spark, folder, tokenizer="/opt/tokenizers/byte_bpe_50k.json"):
+    """String trees turned into ids of a public tokenizer and back: nodes, and whether nothing changed."""
+    vocabulary = dict(table(spark, folder, "vocabulary").select("token_id", "token").collect())
+    inner = [w for w in vocabulary.values() if w and w.startswith("[")]
+    coder = CodeTokenizer.load(tokenizer, inner)
+    shared = spark.sparkContext.broadcast(coder)
+
+    def build(parents, tokens):
+        labels = [vocabulary.get(int(t)) or "[UNK]" for t in tokens]
+        up, labels = join_leaves([int(x) for x in parents], labels)  # leaves that are split already are joined first
+        return [(len(labels), shared.value.decode_tree(*shared.value.encode_tree(up, labels)) == (up, labels))]
+
+    return N.tree_map(_trees(spark, folder), ["file_id"], ["parents", "tokens"], build, "nodes int, same boolean")
+
+
+def collated_trees(spark, folder):
+    """Batches of whole trees, budget 20000 tokens or the largest tree, padded on the left to multiples of 8."""
+    trees = _trees(spark, folder).withColumn("size", F.size("tokens"))
+    longest = max(trees.agg(F.max("size")).first()[0] or 0, 4)
+    b = B.batched(trees.select("file_id", "size"), [], "size", ["file_id"], budget=max(20_000, longest), longest=longest, buckets=4)
+    c = collated(b.join(trees.drop("size"), "file_id"), ["bucket0", "batch"], "file_id", left=True, multiple=8)
+    text = lambda c: F.md5(F.array_join(F.transform(F.flatten(c), lambda x: x.cast("string")), ",")).alias(c)
+    return c.select("bucket0", "batch", "width", F.size("ids").alias("nsamples"), *[text(x) for x in ("tokens", "parents", "descendants", "labels")])
+
+
 #: A subtree as text: the tokens and descendants of its nodes.
 _SUBTREE = "md5(array_to_string(list_transform(t.tokens[n.idx + 1:n.idx + 1 + n.descendants], lambda z: z::VARCHAR), ',') || '|' || array_to_string(list_transform(g.d[n.idx + 1:n.idx + 1 + n.descendants], lambda z: z::VARCHAR), ','))"
 _T = "t AS MATERIALIZED (SELECT * FROM code_trees WHERE file_id IS NOT NULL AND tokens IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1)"
@@ -223,6 +309,7 @@ def _edit_sql(rows: str) -> str:
 QUERIES = [
     tree_levels, tree_descendants, tree_parents, tree_heights, tree_ancestors, tree_adjacency, tree_siblings, tree_leaf_distances, tree_pair_sums, tree_next_stepout, tree_leaves, tree_sizes, tree_valid, sibling_ngrams,
     nonterminal_histogram, tree_text, tree_round_trip, tree_fold_definitions, tree_delete_first_child, tree_replace_children, tree_swap_ends, tree_insert_eos, tree_cat_twice, tree_crop, tree_drawings, subtree_hash, subtree_classes,
+    tree_from_incidences, tree_incidence_nodes, tree_level_masks, tree_child_with_data, tree_equal, tree_dead_letters, leaf_spans, tree_ids_round_trip, collated_trees,
 ]
 SQL = {
     "tree_levels": _R + _N + " SELECT file_id, idx, level FROM n",
@@ -276,4 +363,28 @@ SQL = {
         x AS (SELECT file_id, idx, '' AS stem, label AS line FROM w WHERE parent < 0 UNION ALL
           SELECT w.file_id, w.idx, x.stem || CASE WHEN w.sib IS NULL THEN '    ' ELSE '│   ' END, x.stem || CASE WHEN w.sib IS NULL THEN '└── ' ELSE '├── ' END || w.label FROM x JOIN w ON w.file_id = x.file_id AND w.parent = x.idx)
         SELECT file_id, string_agg(line, chr(10) ORDER BY idx) AS drawing FROM x GROUP BY 1""",
+    "tree_from_incidences": _R + _N + " SELECT file_id, idx, descendants, parent FROM n",
+    "tree_incidence_nodes": _R + _N + ", x AS (SELECT file_id, idx, idx::VARCHAR AS path FROM n WHERE parent < 0 UNION ALL SELECT n.file_id, n.idx, x.path || ',' || n.idx FROM x JOIN n ON n.file_id = x.file_id AND n.parent = x.idx) SELECT * FROM x",
+    "tree_level_masks": _R + _N + " SELECT file_id, level, count(*)::INT AS nodes, md5(string_agg(idx::VARCHAR, ',' ORDER BY idx)) AS members FROM n GROUP BY 1, 2",
+    "tree_child_with_data": "WITH " + _P + " SELECT file_id, parent AS idx, min(idx) AS child FROM p WHERE parent >= 0 AND token = (SELECT max(token_id) FROM vocabulary WHERE token = '[definition]') GROUP BY 1, 2",
+    "tree_equal": "WITH " + _T + " SELECT file_id, min(file_id) OVER (PARTITION BY tokens, parents) AS first_file, count(*) OVER (PARTITION BY tokens, parents) AS copies FROM t WHERE len(tokens) > 0 OR len(tokens) = 0",
+    "tree_dead_letters": _R + _N + " SELECT t.file_id, CASE WHEN len(t.tokens) > 100 THEN (len(t.tokens) - n.descendants - 1)::INT END AS nodes, CASE WHEN len(t.tokens) > 100 THEN NULL ELSE 'no node 100' END AS reason FROM t LEFT JOIN n ON n.file_id = t.file_id AND n.idx = 100",
+    "leaf_spans": "WITH "
+    + _P
+    + """, q AS (SELECT *, lead(parent) OVER (PARTITION BY file_id ORDER BY idx) AS after FROM p), l AS (SELECT file_id, idx, coalesce(length(v.token), 0) AS n FROM q LEFT JOIN vocabulary v ON v.token_id = q.token WHERE after IS DISTINCT FROM idx),
+        s AS (SELECT *, sum(n) OVER (PARTITION BY file_id ORDER BY idx) AS stop FROM l) SELECT file_id, idx, (stop - n)::INT AS start, stop::INT AS stop FROM s""",
+    "tree_ids_round_trip": "WITH " + _P + " SELECT p.file_id, (count(*) FILTER (WHERE u.token IS DISTINCT FROM 5))::INT AS nodes, true AS same FROM p LEFT JOIN p u ON u.file_id = p.file_id AND u.idx = p.parent GROUP BY 1",
+    "collated_trees": _R
+    + _N
+    + """, lim AS (SELECT greatest(max(len(tokens)), 4)::INT AS longest FROM t), y AS (SELECT file_id, len(tokens)::INT AS size, least(len(tokens) // (longest // 4), 3)::INT AS bucket0, greatest(20000, longest) AS budget FROM t, lim WHERE len(tokens) > 0),
+        o AS MATERIALIZED (SELECT *, bucket0 AS g, row_number() OVER (PARTITION BY bucket0 ORDER BY file_id) AS rn FROM y),
+        w AS (SELECT g, rn, size AS most, 1 AS n, 0 AS batch FROM o WHERE rn = 1 UNION ALL
+          SELECT o.g, o.rn, CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN o.size ELSE greatest(w.most, o.size) END,
+            CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN 1 ELSE w.n + 1 END, w.batch + CASE WHEN greatest(w.most, o.size) * (w.n + 1) > o.budget THEN 1 ELSE 0 END FROM w JOIN o ON o.g = w.g AND o.rn = w.rn + 1),
+        b AS (SELECT o.file_id, bucket0, w.batch::INT AS batch, size FROM o JOIN w USING (g, rn)), l AS (SELECT bucket0, batch, ((max(size) + 7) // 8 * 8)::INT AS width FROM b GROUP BY 1, 2),
+        k AS (SELECT b.bucket0, b.batch, width, b.file_id, (width - b.size)::INT AS pad, list(token ORDER BY idx) AS tokens, list(CASE WHEN parent < 0 THEN parent ELSE parent + width - b.size END ORDER BY idx) AS parents, list(descendants + 1 ORDER BY idx) AS descendants, list(descendants ORDER BY idx) AS labels
+          FROM b JOIN l USING (bucket0, batch) JOIN n ON n.file_id = b.file_id GROUP BY 1, 2, 3, 4, 5)
+        SELECT bucket0, batch, width, count(*)::INT AS nsamples, """
+    + ", ".join(f"md5(string_agg(repeat('{fill},', pad) || array_to_string(list_transform({c}, lambda z: z::VARCHAR), ','), ',' ORDER BY file_id)) AS {c}" for c, fill in (("tokens", -1), ("parents", -1), ("descendants", 0), ("labels", -1)))
+    + " FROM k GROUP BY 1, 2, 3",
 }
