@@ -6,50 +6,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names, aliases and extensions of the languages that have a grammar.
-ALIASES: dict[str, str] = {
-    "c": "",
-    "cpp": "c++",
-    "css": "",
-    "c-sharp": "csharp c#",
-    "haskell": "",
-    "html": "xhtml",
-    "go": "golang",
-    "java": "",
-    "javascript": "js node",
-    "julia": "",
-    "ocaml": "",
-    "php": "",
-    "python": "rusthon python3 python2",
-    "ruby": "jruby macruby rake rb rbx",
-    "rust": "",
-    "scala": "",
-    "typescript": "ts",
+ALIASES: dict[str, tuple[str, ...]] = {
+    "c": (),
+    "cpp": ("c++",),
+    "css": (),
+    "c-sharp": ("csharp", "c#"),
+    "haskell": (),
+    "html": ("xhtml",),
+    "go": ("golang",),
+    "java": (),
+    "javascript": ("js", "node"),
+    "julia": (),
+    "ocaml": (),
+    "php": (),
+    "python": ("rusthon", "python3", "python2"),
+    "ruby": ("jruby", "macruby", "rake", "rb", "rbx"),
+    "rust": (),
+    "scala": (),
+    "typescript": ("ts",),
 }
-EXTENSIONS: dict[str, str] = {
-    "c": ".c .cats .h .idc",
-    "cpp": ".cpp .c++ .cc .cp .cxx .h .h++ .hh .hpp .hxx .inc .inl .ino .ipp .re .tcc .tpp",
-    "css": ".css",
-    "c-sharp": ".cs .cake .cshtml .csx",
-    "haskell": ".hs .hsc",
-    "html": ".html .htm .html.hl .inc .st .xht .xhtml",
-    "go": ".go",
-    "java": ".java",
-    "javascript": ".js ._js .bones .es .es6 .frag .gs .jake .jsb .jscad .jsfl .jsm .jss .mjs .njs .pac .sjs .ssjs .xsjs .xsjslib",
-    "julia": ".jl",
-    "ocaml": ".ml .eliom .eliomi .ml4 .mli .mll .mly",
-    "php": ".php .aw .ctp .fcgi .inc .php3 .php4 .php5 .phps .phpt",
-    "python": ".py .bzl .cgi .fcgi .gyp .gypi .lmi .py3 .pyde .pyi .pyp .pyt .pyw .rpy .spec .tac .wsgi .xpy",
-    "ruby": ".rb .builder .eye .fcgi .gemspec .god .jbuilder .mspec .pluginspec .podspec .rabl .rake .rbuild .rbw .rbx .ru .ruby .spec .thor .watchr",
-    "rust": ".rs .rs.in",
-    "scala": ".scala .kojo .sbt .sc",
-    "typescript": ".ts .tsx",
+EXTENSIONS: dict[str, tuple[str, ...]] = {
+    "c": (".c", ".cats", ".h", ".idc"),
+    "cpp": (".cpp", ".c++", ".cc", ".cp", ".cxx", ".h", ".h++", ".hh", ".hpp", ".hxx", ".inc", ".inl", ".ino", ".ipp", ".re", ".tcc", ".tpp"),
+    "css": (".css",),
+    "c-sharp": (".cs", ".cake", ".cshtml", ".csx"),
+    "haskell": (".hs", ".hsc"),
+    "html": (".html", ".htm", ".html.hl", ".inc", ".st", ".xht", ".xhtml"),
+    "go": (".go",),
+    "java": (".java",),
+    "javascript": (".js", "._js", ".bones", ".es", ".es6", ".frag", ".gs", ".jake", ".jsb", ".jscad", ".jsfl", ".jsm", ".jss", ".mjs", ".njs", ".pac", ".sjs", ".ssjs", ".xsjs", ".xsjslib"),
+    "julia": (".jl",),
+    "ocaml": (".ml", ".eliom", ".eliomi", ".ml4", ".mli", ".mll", ".mly"),
+    "php": (".php", ".aw", ".ctp", ".fcgi", ".inc", ".php3", ".php4", ".php5", ".phps", ".phpt"),
+    "python": (".py", ".bzl", ".cgi", ".fcgi", ".gyp", ".gypi", ".lmi", ".py3", ".pyde", ".pyi", ".pyp", ".pyt", ".pyw", ".rpy", ".spec", ".tac", ".wsgi", ".xpy"),
+    "ruby": (".rb", ".builder", ".eye", ".fcgi", ".gemspec", ".god", ".jbuilder", ".mspec", ".pluginspec", ".podspec", ".rabl", ".rake", ".rbuild", ".rbw", ".rbx", ".ru", ".ruby", ".spec", ".thor", ".watchr"),
+    "rust": (".rs", ".rs.in"),
+    "scala": (".scala", ".kojo", ".sbt", ".sc"),
+    "typescript": (".ts", ".tsx"),
 }
-# Further spellings that occur in data but not in the table above.
-SPELLINGS: dict[str, str] = {"py": "python", "cplusplus": "cpp", "cxx": "cpp", "cc": "cpp", "cs": "c-sharp", "ecmascript": "javascript", "nodejs": "javascript", "node.js": "javascript"}
 
-ALIAS_OF = {name: lang for lang, more in ALIASES.items() for name in (lang, *more.split())}
+ALIAS_OF = {name: lang for lang, more in ALIASES.items() for name in (lang, *more)}
 #: Extension to its only language; extensions of several languages are missing here.
-ONLY_LANGUAGE = {e: owners[0] for e in {x for s in EXTENSIONS.values() for x in s.split()} if len(owners := [lang for lang, s in EXTENSIONS.items() if e in s.split()]) == 1}
+ONLY_LANGUAGE = {e: owners[0] for e in {x for s in EXTENSIONS.values() for x in s} if len(owners := [lang for lang, s in EXTENSIONS.items() if e in s]) == 1}
 
 
 def _chain(c: Column, table: dict[str, str]) -> Column:

@@ -31,6 +31,12 @@ def cut(sizes: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
+def fitting(size: str, longest: int) -> Column:
+    """A size column; a size above ``longest`` is an error."""
+    above = F.raise_error(F.lit(f"{size} above {longest}, the longest sample of a batch")).cast("int")
+    return F.when(F.col(size) > longest, above).otherwise(F.col(size))
+
+
 def batched(df: DataFrame, keys: list[str], size: str, order: list[str], *, budget: int, longest: int, buckets: int, sizes: list[str] | None = None, shards: int = 1, even: int | None = None) -> DataFrame:
     """``df`` with ``bucket..., shard, batch``: samples of a key and bucket in order of ``order`` (unique),
     cut into batches of at most ``budget`` padded tokens.
@@ -46,8 +52,7 @@ def batched(df: DataFrame, keys: list[str], size: str, order: list[str], *, budg
     parts = sizes or [size]
     known = df
     for k, s in enumerate(parts):
-        fits = F.when(F.col(s) <= longest, F.col(s)).otherwise(F.raise_error(F.lit(f"{s} above {longest}, the longest sample of a batch")).cast("int"))
-        known = known.where(F.col(s) > 0).withColumn(f"bucket{k}", bucket(fits, even or longest, buckets))
+        known = known.where(F.col(s) > 0).withColumn(f"bucket{k}", bucket(fitting(s, longest), even or longest, buckets))
     known = known.withColumn("shard", F.floor(uniform(0, "shard", *[F.col(o) for o in order]) * shards).cast("int")).withColumn("__size", F.greatest(*parts) if len(parts) > 1 else F.col(parts[0]))
     group = [*keys, *[f"bucket{k}" for k in range(len(parts))], "shard"]
     schema = T.StructType([f for f in known.schema.fields if f.name != "__size"] + [T.StructField("batch", T.IntegerType())])

@@ -53,6 +53,11 @@ def _side(name: str, left: bool, pad: int) -> list[Column]:
     return [tokens.alias(f"{name}_tokens"), lengths.alias(f"{name}_lengths"), mask.alias(f"{name}_mask"), total.alias(f"{name}_ntokens")]
 
 
+def _squares(name: str, fill) -> Column:
+    n = width(F.transform("r", lambda x: F.size(x[name])))
+    return F.transform("r", lambda x: padded_matrix(x[name], n, n, fill)).alias(name)
+
+
 def collated_pairs(
     batched: DataFrame, batch: list[str], order: str, *, source: str = "source", target: str = "target", left_source: bool = False, left_target: bool = False, feed: bool = True, pad: int = PAD, eos: int = EOS,
     matrices: dict[str, object] | None = None,
@@ -71,7 +76,5 @@ def collated_pairs(
         w = width(F.transform("r", lambda x: F.size(x["target"])))
         ended = lambda t: F.when(F.element_at(t, -1) == eos, shifted(t)).otherwise(F.raise_error(F.lit("a target does not end with the end token")).cast("array<int>"))
         out.append(F.transform("r", lambda x: padded(ended(x["target"]), w, pad, left_target)).alias("shifted_tokens"))
-    for name, fill in more.items():
-        n = width(F.transform("r", lambda x, name=name: F.size(x[name])))
-        out.append(F.transform("r", lambda x, name=name, n=n, fill=fill: padded_matrix(x[name], n, n, fill)).alias(name))
+    out += [_squares(name, fill) for name, fill in more.items()]
     return rows.select(*batch, F.transform("r", lambda x: x["id"]).alias("ids"), F.size("r").alias("nsamples"), *out)

@@ -41,23 +41,23 @@ def hash_subtrees(parents, tokens) -> list[int]:
 
 
 # The nonterminals that hold identifiers, types, primitive types and methods or attributes.
-SYMBOLS: dict[str, tuple[str, str, str, str]] = {
-    "c": ("[identifier]", "[type_identifier]", "[primitive_type] [sized_type_specifier]", "[field_identifier]"),
-    "c-sharp": ("[identifier]", "", "[predefined_type]", ""),
-    "cpp": ("[identifier]", "[type_identifier] [namespace_identifier]", "[primitive_type]", "[field_identifier]"),
-    "css": ("[property_name] [id_name] [class_name] [attribute_name]", "", "[unit] [tag_name]", "[function_name]"),
-    "go": ("[identifier] [field_identifier]", "[package_identifier] [type_identifier]", "", ""),
-    "haskell": ("[variable] [constructor]", "[type_variable] [type] [module]", "", ""),
-    "java": ("[identifier]", "[type_identifier]", "[floating_point_type] [integral_type] [void_type] [boolean_type]", ""),
-    "javascript": ("[identifier]", "", "", "[property_identifier] [shorthand_property_identifier_pattern] [shorthand_property_identifier]"),
-    "julia": ("[identifier]", "", "", ""),
-    "ocaml": ("[value_name] [value_pattern] [class_name] [constructor_name] [label_name] [field_name]", "[module_name] [module_type_name] [class_type_name]", "[type_constructor]", "[method_name]"),
-    "php": ("[name]", "", "[primitive_type]", ""),
-    "python": ("[identifier]", "", "", ""),
-    "ruby": ("[identifier] [instance_variable] [simple_symbol]", "[constant]", "", ""),
-    "rust": ("[identifier]", "[type_identifier]", "[primitive_type]", "[field_identifier] [shorthand_field_identifier]"),
-    "scala": ("[identifier]", "[type_identifier]", "", ""),
-    "typescript": ("[identifier]", "[type_identifier]", "", "[property_identifier] [shorthand_property_identifier_pattern] [shorthand_property_identifier]"),
+SYMBOLS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "c": (("[identifier]",), ("[type_identifier]",), ("[primitive_type]", "[sized_type_specifier]"), ("[field_identifier]",)),
+    "c-sharp": (("[identifier]",), (), ("[predefined_type]",), ()),
+    "cpp": (("[identifier]",), ("[type_identifier]", "[namespace_identifier]"), ("[primitive_type]",), ("[field_identifier]",)),
+    "css": (("[property_name]", "[id_name]", "[class_name]", "[attribute_name]"), (), ("[unit]", "[tag_name]"), ("[function_name]",)),
+    "go": (("[identifier]", "[field_identifier]"), ("[package_identifier]", "[type_identifier]"), (), ()),
+    "haskell": (("[variable]", "[constructor]"), ("[type_variable]", "[type]", "[module]"), (), ()),
+    "java": (("[identifier]",), ("[type_identifier]",), ("[floating_point_type]", "[integral_type]", "[void_type]", "[boolean_type]"), ()),
+    "javascript": (("[identifier]",), (), (), ("[property_identifier]", "[shorthand_property_identifier_pattern]", "[shorthand_property_identifier]")),
+    "julia": (("[identifier]",), (), (), ()),
+    "ocaml": (("[value_name]", "[value_pattern]", "[class_name]", "[constructor_name]", "[label_name]", "[field_name]"), ("[module_name]", "[module_type_name]", "[class_type_name]"), ("[type_constructor]",), ("[method_name]",)),
+    "php": (("[name]",), (), ("[primitive_type]",), ()),
+    "python": (("[identifier]",), (), (), ()),
+    "ruby": (("[identifier]", "[instance_variable]", "[simple_symbol]"), ("[constant]",), (), ()),
+    "rust": (("[identifier]",), ("[type_identifier]",), ("[primitive_type]",), ("[field_identifier]", "[shorthand_field_identifier]")),
+    "scala": (("[identifier]",), ("[type_identifier]",), (), ()),
+    "typescript": (("[identifier]",), ("[type_identifier]",), (), ("[property_identifier]", "[shorthand_property_identifier_pattern]", "[shorthand_property_identifier]")),
 }
 CLASSES = ("identifier", "types", "primitive_types", "methods")
 #: The nonterminal that stands for all identifiers.
@@ -67,7 +67,7 @@ ANY_IDENTIFIER = "[IDENTIFIER]"
 def symbols_of(lang: str, identifier: bool = True, types: bool = True, primitive_types: bool = True, methods: bool = True) -> set[str]:
     """The nonterminals of a language's identifiers, by class; the general one is always among them."""
     use = (identifier, types, primitive_types, methods)
-    return {ANY_IDENTIFIER}.union(*(s.split() for s, u in zip(SYMBOLS[lang], use) if u))
+    return {ANY_IDENTIFIER}.union(*(s for s, u in zip(SYMBOLS[lang], use) if u))
 
 
 def occurrences(parents, tokens, symbol: int) -> tuple[list[int], list[int], dict[int, int]]:

@@ -207,7 +207,7 @@ def format_masks(text: Column, spaces: bool = True) -> Column:
 
 
 # The languages that have a token.
-LANGUAGE_TOKENS = "C C-SHARP CPP CSS GO HASKELL JAVA JAVASCRIPT JULIA OCAML PHP PYTHON RUBY RUST SCALA TYPESCRIPT".split()
+LANGUAGE_TOKENS = ("C", "C-SHARP", "CPP", "CSS", "GO", "HASKELL", "JAVA", "JAVASCRIPT", "JULIA", "OCAML", "PHP", "PYTHON", "RUBY", "RUST", "SCALA", "TYPESCRIPT")
 SPECIALS = r"(VAR\d+|FOLD\d+|___MASK\d*___|\[(?:SEP|PAD|" + "|".join(LANGUAGE_TOKENS) + r")\])"
 
 

@@ -32,7 +32,7 @@ def alias_lookup(spark, folder):
 def extension_language(spark, folder):
     """The languages of every path: by extension and, where several have it, by files of the same name
     with another of a language's extensions; ties stay."""
-    rows = [(e, lang) for lang, es in EXTENSIONS.items() for e in es.split()]
+    rows = [(e, lang) for lang, es in EXTENSIONS.items() for e in es]
     dim = spark.createDataFrame(rows, "ext string, lang string")
     paths = table(spark, folder, "code_data", "path").where("path is not null").distinct().withColumn("ext", extension(F.col("path")))
     paths = paths.where("ext <> ''").withColumn("stem", F.expr("substr(path, 1, length(path) - length(ext))"))
@@ -46,7 +46,7 @@ def extension_language(spark, folder):
 
 def identifier_symbols(spark, folder):
     """Every language's identifier nonterminals by class, with their ids in the vocabulary."""
-    rows = [(lang, c, s) for lang, classes in I.SYMBOLS.items() for c, group in zip(I.CLASSES, classes) for s in group.split()]
+    rows = [(lang, c, s) for lang, classes in I.SYMBOLS.items() for c, group in zip(I.CLASSES, classes) for s in group]
     dim = spark.createDataFrame(rows, "lang string, class string, token string")
     return dim.join(F.broadcast(table(spark, folder, "vocabulary")), "token", "left").select("lang", "class", "token", "token_id")
 
@@ -257,8 +257,8 @@ def unique_identifiers_pair(spark, folder):
 _V = "values_ AS (SELECT * FROM (VALUES {}) t({}))"
 _PO = "p AS (SELECT * FROM parsing_outputs WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY parsed_at DESC) = 1)"
 _TR = "p AS (SELECT * FROM train WHERE index IS NOT NULL QUALIFY row_number() OVER (PARTITION BY index ORDER BY collected_at DESC) = 1)"
-_EXT = ", ".join(f"('{e}', '{lang}')" for lang, es in EXTENSIONS.items() for e in es.split())
-_SYM = ", ".join(f"('{lang}', '{c}', '{s}')" for lang, classes in I.SYMBOLS.items() for c, group in zip(I.CLASSES, classes) for s in group.split())
+_EXT = ", ".join(f"('{e}', '{lang}')" for lang, es in EXTENSIONS.items() for e in es)
+_SYM = ", ".join(f"('{lang}', '{c}', '{s}')" for lang, classes in I.SYMBOLS.items() for c, group in zip(I.CLASSES, classes) for s in group)
 
 QUERIES = [
     alias_lookup, extension_language, identifier_symbols, meta_urls, split_by_label_range, split_by_id_list, pair_length_filter, format_masks, line_window, encode_lines, index_with_distractors, length_order, language_files, mclass_sampler, dedent_text,

@@ -132,10 +132,18 @@ def write_predictions(df: DataFrame, path: str) -> None:
     """JSON lines of predictions."""
     df.write.mode("overwrite").json(path)
 
-def write_zipped(batches: DataFrame, columns: list[str], path: str, version: int) -> None:
-    """Batches of equally long lists, a JSON line per position; every version has a folder of its own."""
+def write_zipped(batches: DataFrame, columns: list[str], path: str, version: int, keep: int = 5) -> None:
+    """Batches of equally long lists, a JSON line per position. Every version has a folder of its own, of
+    which the last ``keep`` stay."""
     rows = batches.select(F.explode(F.arrays_zip(*columns)).alias("r")).select("r.*")
     rows.write.mode("overwrite").json(f"{path}/version={version}")
+    context = batches.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("version=") and int(name[8:]) <= version - keep:
+            system.delete(status.getPath(), True)
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """Rendered pages, one text file folder a page."""

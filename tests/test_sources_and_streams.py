@@ -1,11 +1,12 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from coppice.operators.batching import cut
 from coppice.sources import readers as S
-from coppice.streaming.batches import Accumulator, batched_stream
+from coppice.streaming.batches import Accumulator, batched_stream, endless
 
 
 def test_snippets_and_distractors(spark, tmp_path):
@@ -78,6 +79,42 @@ def test_batches_of_a_stream(spark, tmp_path):
             assert r["ids"] == want[r["batch"]]
 
 
+def test_old_versions_are_removed(spark, tmp_path):
+    df = spark.createDataFrame([([1], ["a"])], "x array<int>, y array<string>")
+    for version in range(7):
+        S.write_zipped(df, ["x", "y"], str(tmp_path / "v"), version)
+    assert sorted(x.name for x in (tmp_path / "v").iterdir()) == [f"version={k}" for k in range(2, 7)]
+
+
+def test_pairs_of_a_stream(spark, tmp_path):
+    folder = str(tmp_path / "pairs")
+    rows = spark.createDataFrame([(i, "k", (7 * i) % 20 + 1, (3 * i) % 20 + 1) for i in range(40)], "id long, k string, s int, t int")
+    rows.coalesce(1).write.parquet(folder)
+    out = batched_stream(spark.readStream.schema(rows.schema).parquet(folder), "k", "s", "id", budget=60, longest=20, buckets=2, sizes=["s", "t"])
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    q = out.writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    done = q.awaitTermination(60)
+    q.stop()
+    assert done
+    got = spark.table("pairs").collect()
+    side = {r["id"]: (r["s"], r["t"]) for r in rows.collect()}
+    assert got and {r["bucket"] for r in got} <= {0, 1, 2, 3}
+    for r in got:
+        assert r["cost"] == max(max(side[i]) for i in r["ids"]) * len(r["ids"]) <= 60
+        assert {min(side[i][0] // 10, 1) * 2 + min(side[i][1] // 10, 1) for i in r["ids"]} == {r["bucket"]}
+
+
+def test_a_table_without_end(spark, tmp_path):
+    stream = endless(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int"), "k", 50)
+    q = stream.writeStream.format("memory").queryName("endless").outputMode("append").option("checkpointLocation", str(tmp_path / "cp3")).start()
+    for _ in range(60):
+        time.sleep(1)
+        if spark.table("endless").where("pass > 0").count() > 3:
+            break
+    q.stop()
+    assert {(r["k"], r["v"]) for r in spark.table("endless").collect()} == {("a", 1), ("b", 2), ("c", 3)} and spark.table("endless").agg(F.max("pass")).first()[0] > 0
+
+
 def test_accumulator(spark, tmp_path):
     acc = Accumulator(str(tmp_path / "acc"), 5)
     for epoch in range(4):

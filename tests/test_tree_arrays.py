@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from coppice.operators import tree_arrays as ta
 
+# The documented trees of six and of sixteen nodes, and the results for them.
 SIX = [-1, 0, 0, 2, 2, 4]
 SIXTEEN = [-1, 0, 1, 2, 3, 4, 5, 2, 7, 1, 9, 10, 11, 12, 9, 0]
 
@@ -97,3 +98,27 @@ def test_drawing():
     assert ta.render(SIX, "abcdef", style="ascii") == "a\n|-- b\n+-- c\n    |-- d\n    +-- e\n        +-- f"
     assert ta.render(SIX, "abcdef", most=1).endswith("[...]")
     assert ta.unvisible(ta.visible("a b\n\tc")) == "a b\n\tc"
+
+
+def test_incidences_give_the_tree_back():
+    m = ta.incidence_matrix(ta.descendants_of(SIXTEEN))
+    assert ta.descendants_of_incidences(m).tolist() == ta.descendants_of(SIXTEEN).tolist()
+    assert ta.parents_of_incidences(m).tolist() == SIXTEEN
+    assert [x for x in ta.incidence_nodes(m)[:, 6].tolist() if x >= 0] == ta.ancestors_of(SIXTEEN, 6)
+
+
+def test_levels_masks_and_children():
+    masks = ta.level_masks(SIX)
+    assert [k for k, _ in masks] == [3, 2, 1] and np.flatnonzero(masks[0][1]).tolist() == [5]
+    assert [k for k, _ in ta.level_masks(SIX, down=True)] == [0, 1, 2] and ta.level_masks([-1]) == [] and ta.level_masks([]) == []
+    d = ta.descendants_of(SIX)
+    assert np.flatnonzero(ta.subtree_mask(d, 2)).tolist() == [2, 3, 4, 5]
+    assert ta.is_descendant_of(d, 5, 2) and not ta.is_descendant_of(d, 2, 2) and not ta.is_descendant_of(d, 1, 2)
+    assert ta.child_with_data(SIX, [9, 8, 8, 7, 7, 7], 0, 8) == 1 and ta.child_with_data(SIX, [9, 8, 8, 7, 7, 7], 2, 7) == 3
+    with pytest.raises(ta.TreeError):
+        ta.child_with_data(SIX, [0] * 6, 0, 1)
+
+
+def test_equal_trees():
+    a, b = ta.Tree(SIX, [1, 2, 3, 4, 5, 6]), ta.Tree(SIX, [1, 2, 3, 4, 5, 6])
+    assert a == b and a != ta.Tree(SIX, [1, 2, 3, 4, 5, 7]) and a != ta.Tree([-1, 0, 1, 2, 3, 4], [1, 2, 3, 4, 5, 6]) and a != 1
