@@ -193,3 +193,9 @@ def test_trees_with_nulls_and_repeats(spark):
     assert got == {1: ([-1, 0], [1, 0]), 3: ([], []), 4: ([-1, 0], [1, 0])}
     assert N.nodes(t).count() == 4
     assert N.nodes(t.limit(0)).count() == 0
+
+
+def test_further_spellings_of_languages(spark):
+    said = ["py", " C++ ", "Node.js", "cs", "GoLang", "unheard", None]
+    got = [one(spark, language_identifier(F.lit(x).cast("string"), spellings=True)) for x in said]
+    assert got == ["python", "cpp", "javascript", "c-sharp", "go", "unheard", None]
