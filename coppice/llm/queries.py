@@ -224,5 +224,39 @@ def queries() -> dict:
     return {f.__name__: f for f in names}
 
 
+#: White space as the words of problem 7 know it, beyond what the SQL's own class holds.
+_SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _similar_sql(sets: str, select: str, where: str) -> str:
+    """Pairs of rows of ``sets(id, side, item)`` (items distinct) with six tenths of their items in common."""
+    return f"""{sets}, z AS (SELECT id, any_value(side) AS side, count(*) AS n FROM s GROUP BY id), m AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM s a JOIN s b ON a.item = b.item AND {where} GROUP BY 1, 2)
+        SELECT {select} FROM m JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE o * 10 >= (x.n + y.n - o) * 6"""
+
+
+def _sequence_sql() -> str:
+    from coppice.functions.languages import ALIAS_OF
+
+    cases = " ".join(f"WHEN '{a}' THEN '{x}'" for a, x in ALIAS_OF.items())
+    return f"""f AS (SELECT file_id, data, CASE lower(trim(language)) {cases} END AS lang FROM code_data WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC, len(data) DESC) = 1),
+        q AS (SELECT f.file_id, f.data, l.max_tokens, l.max_tokens_in_batch FROM f JOIN batch_limits l ON l.language = CASE WHEN lang IN (SELECT language FROM batch_limits) THEN lang ELSE 'any' END)"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """SQL that compares everything with everything: for small tables, as a check."""
+    trees = """WITH t AS (SELECT * FROM code_trees WHERE file_id IS NOT NULL AND tokens IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC) = 1),
+        p AS (SELECT file_id, generate_subscripts(tokens, 1)::INT - 1 AS idx, unnest(tokens) AS token, unnest(parents) AS parent FROM t),
+        l AS (SELECT *, lead(parent) OVER (PARTITION BY file_id ORDER BY idx) AS after FROM p), k AS (SELECT file_id AS id, idx, token FROM l WHERE after IS DISTINCT FROM idx AND token >= 15),
+        r AS (SELECT id, token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2, lead(token, 3) OVER w AS t3, count(*) OVER (PARTITION BY id) AS words FROM k WINDOW w AS (PARTITION BY id ORDER BY idx)),
+        s AS MATERIALIZED (SELECT DISTINCT id, 0 AS side, [token, t1, t2, t3] AS item FROM r WHERE words >= 20 AND t3 IS NOT NULL)"""
+    programs = f"""WITH e AS (SELECT index, code, collected_at, 'train' AS side FROM train UNION ALL SELECT index, code, collected_at, 'valid' FROM valid UNION ALL SELECT index, code, collected_at, 'test' FROM test),
+        d AS (SELECT * FROM e WHERE index IS NOT NULL QUALIFY row_number() OVER (PARTITION BY index ORDER BY collected_at DESC) = 1), w AS (SELECT index AS id, side, regexp_extract_all(code, '[A-Za-z0-9_]+|[^{_SPACE}A-Za-z0-9_]') AS l FROM d WHERE code IS NOT NULL),
+        r AS (SELECT id, side, l, unnest(range(1, len(l) - 2)) AS i FROM w WHERE len(l) >= 20), s AS MATERIALIZED (SELECT DISTINCT id, side, l[i:i + 3] AS item FROM r)"""
+    return {
+        "p1_found": _similar_sql(trees, "a AS file_id_a, b AS file_id_b", "a.id < b.id"),
+        "p5_found": f"""WITH {_sequence_sql()}, o AS (SELECT file_id, data, max_tokens FROM q WHERE len(data) > max_tokens), u AS (SELECT file_id, max_tokens, generate_subscripts(data, 1) AS pos, unnest(data) AS token FROM o),
+        n AS (SELECT *, coalesce(sum(CASE WHEN token IN (9, 10) THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM u), c AS (SELECT file_id, line, max_tokens, count(*) AS n FROM n GROUP BY ALL)
+        SELECT file_id, CASE WHEN max(n) > any_value(max_tokens) THEN 'forced' ELSE 'clean' END AS cut FROM c GROUP BY 1""",
+        "p6_found": f"WITH {_sequence_sql()} SELECT file_id FROM q WHERE len(data) > max_tokens_in_batch",
+        "p7_found": _similar_sql(programs, "y.side AS split, a AS train_index, b AS eval_index", "a.side = 'train' AND b.side <> 'train'"),
+    }
