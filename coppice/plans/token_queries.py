@@ -72,21 +72,11 @@ def add_language_token(spark, folder):
     return _data(spark, folder).select("file_id", t.alias("t")).where("t is not null").select("file_id", F.element_at("t", 1).alias("first"), F.size("t").alias("n"))
 
 
-def shifted_targets(spark, folder):
-    return _data(spark, folder).select("file_id", _joined(X.shifted(X.truncated(F.col("data"), 32))).alias("tokens"))
-
-
 def shifted_sequences(spark, folder):
     """Every whole sequence shifted: its own last token first."""
     return _data(spark, folder).select("file_id", F.size("data").alias("n"), F.md5(_joined(X.shifted(F.col("data")))).alias("tokens"))
 
 
-def pad_tokens(spark, folder):
-    """The first 40 tokens, padded to 40, and which places hold one."""
-    cut = X.truncated(F.col("data"), 40)
-    return _data(spark, folder).select("file_id", _joined(X.padded(cut, F.lit(40))).alias("tokens"), F.size(F.filter(X.attention(cut, F.lit(40)), lambda x: x)).alias("length"))
-
-
 def padded_sequences(spark, folder):
     """Every whole sequence, padded to the next multiple of 64, and which places hold a token."""
     d, width = F.col("data"), (F.ceil(F.size("data") / 64) * 64).cast("int")
@@ -286,7 +276,7 @@ def _pair_sql(keys: list[str]) -> str:
         y AS (SELECT z.*, least(n_source // 750, 3)::INT AS bucket0, least(n_target // 750, 3)::INT AS bucket1, {_shard_sql(2)} AS shard, budget FROM z, lim), {_greedy_sql('y', [*keys, 'bucket0', 'bucket1', 'shard'])}"""
 
 
-QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_targets, shifted_sequences, pad_tokens, padded_sequences, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, file_shards, bucket_batches, language_batches, collated_batches, pair_batches, language_pair_batches, collated_pairs, modified_pairs, text_ids_round_trip]
+QUERIES = [line_count_filter, language_filter, whitespace_files, token_text, truncate_tokens, add_eos_cls, add_language_token, shifted_sequences, padded_sequences, token_runs, mask_bernoulli, mask_token_span, pair_truncate, dispatch, first_n_per_language, shard_scan, file_shards, bucket_batches, language_batches, collated_batches, pair_batches, language_pair_batches, collated_pairs, modified_pairs, text_ids_round_trip]
 SQL = {
     "line_count_filter": f"WITH {_F}, n AS (SELECT file_id, (len(list_filter(data, lambda t: t = 10)) + 2 * len(list_filter(data, lambda t: t = 9)))::INT AS lines FROM d) SELECT * FROM n WHERE lines BETWEEN 10 AND 200",
     "language_filter": f"WITH {_F} SELECT file_id, {_lang_sql('language')} AS language FROM f WHERE {_lang_sql('language')} IN ('python', 'go', 'cpp')",
@@ -295,9 +285,7 @@ SQL = {
     "truncate_tokens": f"WITH {_F} SELECT file_id, len(data)::INT AS original_length, {_JOIN.format('data[1:62]')} AS tokens FROM d",
     "add_eos_cls": f"WITH {_F} SELECT file_id, (len(data) + 2)::INT AS n, 1::INT AS first, 2::INT AS last FROM d WHERE (len(data) = 0 OR (data[len(data)] <> 2 AND data[1] <> 1))",
     "add_language_token": f"WITH {_F}, g AS (SELECT file_id, data, CASE {_lang_sql('language')} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in LANGUAGE_IDS.items())} END AS i FROM d) SELECT file_id, i::INT AS first, (len(data) + 1)::INT AS n FROM g WHERE i IS NOT NULL",
-    "shifted_targets": f"WITH {_F}, c AS (SELECT file_id, data[1:32] AS t FROM d) SELECT file_id, {_JOIN.format('CASE WHEN len(t) > 0 THEN list_concat(t[len(t):len(t)], t[1:len(t) - 1]) ELSE t END')} AS tokens FROM c",
     "shifted_sequences": f"WITH {_F} SELECT file_id, len(data)::INT AS n, md5({_JOIN.format('CASE WHEN len(data) > 0 THEN list_concat(data[len(data):len(data)], data[1:len(data) - 1]) ELSE data END')}) AS tokens FROM d",
-    "pad_tokens": f"WITH {_F} SELECT file_id, {_JOIN.format('list_resize(data[1:40], 40, 3)')} AS tokens, least(len(data), 40)::INT AS length FROM d",
     "padded_sequences": f"WITH {_F}, w AS (SELECT file_id, data, len(data)::INT AS n, ((len(data) + 63) // 64 * 64)::INT AS width FROM d) SELECT file_id, width, md5({_JOIN.format('list_resize(data, width, 3)')}) AS tokens, md5(repeat('1', n) || repeat('0', width - n)) AS mask FROM w",
     "token_runs": f"""WITH {_X}, n AS (SELECT *, CASE WHEN lag(token) OVER (PARTITION BY file_id ORDER BY pos) = token THEN 0 ELSE 1 END AS new FROM x), r AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY pos) AS run FROM n)
         SELECT file_id, min(pos) AS start, count(*)::INT AS length, min(token) AS value FROM r GROUP BY file_id, run HAVING count(*) > 1""",
