@@ -7,6 +7,7 @@ local folder of our own takes its place.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -51,6 +52,13 @@ def dropped(*tables: DataFrame | None) -> None:
             _delete(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver look for what nobody holds any more: until it does, the executors keep the files
+    of past shuffles, also of tables that are long written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """``df``, to be joined by shuffling whatever its size is taken for: the planner estimates exploded
     rows, and arrays that a file holds compressed, at a fraction of their size in memory."""

@@ -22,7 +22,7 @@ def similar_classes(trees: DataFrame, *, num: int = NUM, den: int = DEN, width:
     in no class; of redelivered rows the last counts. Members hold every other file, once.
     """
     sets = written(tree_sets(trees.where("file_id is not null"), ["file_id", "ingested_at"], width=width, least=least, first_id=FIRST_ID))
-    members, heads = classes(sets, "file_id", "ingested_at")
+    members, heads = classes(sets, "file_id", "ingested_at", ("n", "packed"))
     members, pairs = written(members), trie_join(heads, num=num, den=den)
     dropped(sets)
     return members, pairs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,25 +115,54 @@ def text_sets(df: DataFrame, keys: list[str], text: str, *, width: int, least: i
     return df.select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers, compressed byte by byte: the upper bytes of small numbers take next to no room."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    """What :func:`planes` was given."""
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
+
+
+def packed(items: np.ndarray, width: int) -> bytes:
+    """The items that a set of runs comes from: an eighth of the room that the hashes take."""
+    return bytes([width, items.itemsize]) + planes(items)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The set of runs of :func:`packed` items, as :func:`runs_of` makes it."""
+    return runs_of(from_planes(data[2:], {4: np.int32, 8: np.int64}[data[1]]), data[0])
+
+
 def tree_sets(df: DataFrame, keys: list[str], *, width: int, least: int, first_id: int) -> DataFrame:
     """The shingle set of each tree's leaf tokens (``tokens, parents, descendants``), without the ids
-    below ``first_id``: ``keys, sig, n, shingles``. Rows with null tokens or fewer than ``least`` such
-    leaves are left out."""
+    below ``first_id``: ``keys, sig, n, packed``; :func:`unpacked` makes the set again. Rows with null
+    tokens or fewer than ``least`` such leaves are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 cols = [part.column(len(keys) + k) for k in range(3)]
-                sets = []
+                keep, sigs, sizes, data = [], [], [], []
                 for i in range(part.num_rows):
                     tokens, parents, below = (np.asarray(c[i].values.fill_null(0)) if c[i].is_valid else None for c in cols)
                     leaves = None if tokens is None else leaves_of(tokens, parents, below)
                     leaves = None if leaves is None else leaves[leaves >= first_id]
-                    sets.append(runs_of(leaves, width) if leaves is not None and len(leaves) >= least else None)
-                yield _emit([part.column(k) for k in range(len(keys))], keys, sets)
-
-    schema = T.StructType([df.schema[k] for k in keys] + SET_SCHEMA.fields)
+                    if leaves is None or len(leaves) < least:
+                        continue
+                    s = runs_of(leaves, width)
+                    keep.append(i)
+                    sigs.append(signature(s))
+                    sizes.append(len(s))
+                    data.append(packed(leaves, width))
+                take = pa.array(keep, pa.int64())
+                arrays = [part.column(k).take(take) for k in range(len(keys))] + [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "sig", "n", "packed"])
+
+    schema = T.StructType([df.schema[k] for k in keys] + SET_SCHEMA.fields[:2] + [T.StructField("packed", T.BinaryType())])
     return df.select(*keys, "tokens", "parents", "descendants").mapInArrow(run, schema)
 
 

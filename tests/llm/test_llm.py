@@ -2,6 +2,7 @@ import ast
 import datetime as dt
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from coppice.llm import bpe, mixing, origin, packing, pieces, pii, syntax, triej
 from coppice.llm.forest import spanning_forest
 from coppice.llm.neardup import groups, similar_pairs
 from coppice.llm.overlap import overlaps, report
-from coppice.llm.shingles import runs_of, text_sets
+from coppice.llm.shingles import packed, runs_of, text_sets, unpacked
 from coppice.llm.splits import assign, deal, raw_values, related_pairs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -73,6 +74,85 @@ def test_similar_pairs_equal_brute_force(spark, block, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_similar_pairs_in_many_chunks_and_rounds(spark, monkeypatch):
+    import coppice.llm.neardup as nd
+
+    df = spark.createDataFrame(tree_rows(), TREE)
+    want = sorted(map(tuple, similar_pairs(df).collect()))
+    tables = []
+    keep = triejoin.written
+    monkeypatch.setattr(triejoin, "written", lambda x: tables.append(x.columns) or keep(x))
+    for name, value in {"CHUNK": 300, "ROUND": 2000, "SHARE": 0}.items():
+        monkeypatch.setattr(triejoin, name, value)
+    assert sorted(map(tuple, nd.similar_pairs(df).collect())) == want and want
+    assert tables.count(["home", "lo", "hi", "b", "rep"]) > 1
+
+
+def test_packed_sets_and_bitmaps():
+    rng = np.random.default_rng(4)
+    sets = []
+    for k in range(60):
+        x = rng.integers(15, 1200, int(rng.integers(20, 900))).astype([np.int32, np.int64][k % 2])
+        assert np.array_equal(unpacked(packed(x, 4)), runs_of(x, 4))
+        sets.append(runs_of(x, 4))
+    for k in range(60):  # most of another set and some of its own, at various sizes
+        own = sets[k][rng.random(len(sets[k])) < rng.uniform(0.5, 1)]
+        sets.append(np.union1d(own, rng.integers(-(2**63), 2**63, int(rng.integers(1, 80)))))
+    sizes, bits = np.array([len(s) for s in sets]), [triejoin.parities(s) for s in sets]
+    full = [set(s.tolist()) for s in sets]
+    similar = {(i, j) for i, j in combinations(range(120), 2) if jaccard(full[i], full[j]) >= 0.6}
+    hit = triejoin.near(np.zeros(120, np.int64), np.full(120, -1), sizes, bits, 6, 10)
+    assert similar and set(np.flatnonzero(hit).tolist()) >= {k for p in similar for k in p}
+    cells = np.arange(60).repeat(2)  # of two sets each
+    order = np.arange(120).reshape(2, 60).T.ravel()
+    hit = triejoin.near(cells, np.full(120, -1), sizes[order], [bits[k] for k in order], 6, 10)
+    assert all(hit[2 * k] and hit[2 * k + 1] for k in range(60) if (k, k + 60) in similar)
+    assert not triejoin.near(np.zeros(60, np.int64), np.full(60, -1), sizes[:60], bits[:60], 6, 10).any()
+    one_side = np.zeros(120, np.int64)
+    assert not triejoin.near(np.zeros(120, np.int64), one_side, sizes, bits, 6, 10).any()
+
+
+def test_similar_pairs_write_less_than_four_times_their_input(spark, tmp_path, monkeypatch):
+    import coppice.functions.scratch as scratch
+    import coppice.llm.neardup as nd
+
+    rng = np.random.default_rng(6)
+    pool = rng.integers(15, 1200, 40_000)
+    rows = []
+    for i in range(600):  # one leaf in two nodes, passages that other files have too
+        at = rng.integers(0, len(pool) - 40, 8)
+        x = np.concatenate([*(pool[a : a + 20] for a in at), rng.integers(15, 1200, 160)])
+        tokens = np.ravel(np.column_stack([rng.integers(1100, 1200, len(x)), x]))
+        parents = np.where(np.arange(len(tokens)) % 2, np.arange(len(tokens)) - 1, np.maximum(0, np.arange(len(tokens)) - 2 * rng.integers(1, 30, len(tokens))))
+        parents[0] = -1
+        below = np.where(np.arange(len(tokens)) % 2, 0, rng.integers(1, 60, len(tokens)))
+        rows.append((i, tokens.tolist(), parents.tolist(), below.tolist(), T0))
+    spark.createDataFrame(rows, TREE).coalesce(1).write.parquet(str(tmp_path / "trees"))
+    size = lambda folder: sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+
+    def stages():
+        """Bytes shuffled by stage."""
+        java = spark.sparkContext._gateway
+        none = java.jvm.java.util.ArrayList()
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, java.new_array(java.jvm.double, 0), none)
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(found.apply, range(found.size()))}
+
+    tables = []
+    keep = scratch.written
+
+    def written(df):
+        back = keep(df)
+        tables.append(size(scratch._path_of[back].removeprefix("file://")))
+        return back
+
+    monkeypatch.setattr(nd, "written", written)
+    monkeypatch.setattr(triejoin, "written", written)
+    before = max(stages(), default=-1)
+    similar_pairs(spark.read.parquet(str(tmp_path / "trees"))).collect()
+    moved = sum(n for k, n in stages().items() if k > before)
+    assert moved and sum(tables) + moved < 4 * size(tmp_path / "trees")
+
+
 def test_groups_of_files(spark):
     df = spark.createDataFrame(tree_rows(), TREE)
     g = {r["file_id"]: r for r in groups(df).collect()}
